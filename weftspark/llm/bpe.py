@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import shape, slices
 from .pieces import Memo
 
 _NEVER = 1 << 40
@@ -131,7 +131,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
     source = docs.select(*keep, F.col(text))
-    return source.mapInArrow(run, source.select(*keep, F.lit(b"").alias("ids")).schema)
+    return source.mapInArrow(run, shape(source.select(*keep, F.lit(b"").alias("ids"))))
 
 
 def bpe_decode(df: DataFrame, ranks_path: str) -> DataFrame:
@@ -146,7 +146,7 @@ def bpe_decode(df: DataFrame, ranks_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "bytes"])
 
     source = df.select(*keep, "ids")
-    return source.mapInArrow(run, source.select(*keep, F.lit(b"").alias("bytes")).schema)
+    return source.mapInArrow(run, shape(source.select(*keep, F.lit(b"").alias("bytes"))))
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -161,6 +161,6 @@ def bpe_digest(docs: DataFrame, ranks_path: str) -> DataFrame:
             )
 
     ids = bpe_encode(docs.select("doc_id", "text"), ranks_path)
-    listed = ids.mapInArrow(run, ids.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("decimal"), "ids").schema)
+    listed = ids.mapInArrow(run, shape(ids.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("decimal"), "ids")))
     hashed = listed.select("doc_id", "n_tokens", F.sha2("decimal", 256).alias("ids_sha256"), "ids")
     return bpe_decode(hashed, ranks_path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -11,21 +11,26 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ``[\x20\x09-\x0D]``, the white space of all contracts here.
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+_own_root: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset (tests
-    in local mode) a temporary folder is made and set for the session.
+    Only where that is unset (tests in local mode) a temporary folder is made,
+    once for the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="weftspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own_root:
+            _own_root.append(tempfile.mkdtemp(prefix="weftspark-"))
+        root = _own_root[0]
     return root.rstrip("/")
 
 
@@ -62,6 +67,11 @@ def text_key() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
 
 
+def shape(df: DataFrame) -> T.StructType:
+    """The schema of ``df`` with every column nullable, for results of tasks."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+
+
 def task_number() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0

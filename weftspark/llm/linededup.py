@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, partition_count, slices, task_number, text_bytes, text_key
+from .common import SPACE, materialise, partition_count, shape, slices, task_number, text_bytes, text_key
 
 _LINES = "doc_id {doc}, text_key long, n_lines long, position long, h1 long, h2 long"
 
@@ -115,8 +115,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     found = lines.filter("position >= 0").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "position", "h1", "h2")
     order = ["h1", "h2", "no_id", "doc_id", "position"]
     ordered = found.repartitionByRange(partition_count(docs), *order).sortWithinPartitions(*order)
-    schema = ordered.select("*", F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("part")).schema
-    streamed = materialise(ordered.mapInArrow(_first_runs, schema), "runs")
+    schema = ordered.select("*", F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("part"))
+    streamed = materialise(ordered.mapInArrow(_first_runs, shape(schema)), "runs")
     # At most two rows a partition: the smallest document that each saw of the hashes at its edges.
     edges = streamed.filter("kind = 2").groupBy("h1", "h2").agg(F.min(F.struct("no_id", "doc_id")).alias("owner"))
     waiting = streamed.filter("kind = 1").join(edges, ["h1", "h2"]).filter(~F.col("owner.doc_id").eqNullSafe(F.col("doc_id")))
@@ -138,7 +138,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
                     maps.append(None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "n_lines")), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "text_key", "n_lines", "n_dropped", "keep"])
 
-    return joined.mapInArrow(bitmaps, joined.select("doc_id", "text_key", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.lit(b"").alias("keep")).schema)
+    return joined.mapInArrow(bitmaps, shape(joined.select("doc_id", "text_key", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.lit(b"").alias("keep"))))
 
 
 def read_bitmap(keep: bytes | None, n_lines: int) -> np.ndarray:
@@ -184,4 +184,4 @@ def line_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             sha = [hashlib.sha256(kept_text(t, k)).hexdigest() for t, k in zip(text_bytes(batch), batch.column("__keep").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__n_lines"), batch.column("__n_dropped"), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return joined.mapInArrow(run, joined.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.lit("").alias("kept_sha256")).schema)
+    return joined.mapInArrow(run, shape(joined.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.lit("").alias("kept_sha256"))))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, partition_count, slices, task_number, text_bytes
+from .common import SPACE, materialise, partition_count, shape, slices, task_number, text_bytes
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -60,7 +60,7 @@ def named(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with an integer ``name`` in place of ``keys``: sorted within hash partitions and numbered while streaming."""
     rest = [c for c in df.columns if c not in keys]
     ordered = df.repartition(partition_count(df), *keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(lambda it: _number(it, keys, rest), df.select(*rest, F.lit(0).cast("long").alias("name")).schema)
+    return ordered.mapInArrow(lambda it: _number(it, keys, rest), shape(df.select(*rest, F.lit(0).cast("long").alias("name"))))
 
 
 def identities(docs: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, partition_count, slices, task_number
+from .common import materialise, partition_count, shape, slices, task_number
 from .pieces import Memo, library_pieces
 
 #: Width of the hashed vectors, dimensions and bits a dimension of the curve.
@@ -93,11 +93,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
                 yield pa.RecordBatch.from_arrays([rows, part.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "curve_key", "doc_tokens", "ids"])
 
     source = docs.select("doc_id", "text")
-    made = source.mapInArrow(tokens, source.select(F.lit(0).cast("long").alias("row"), "doc_id", F.lit(0).cast("long").alias("curve_key"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(b"").alias("ids")).schema)
+    made = source.mapInArrow(tokens, shape(source.select(F.lit(0).cast("long").alias("row"), "doc_id", F.lit(0).cast("long").alias("curve_key"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(b"").alias("ids"))))
     made = materialise(made, "tokens")
     places = document_starts(made.select("row", "doc_id", "curve_key", "doc_tokens"))
     joined = made.join(places, "row")
-    return joined.mapInArrow(_cutter(length), made.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), "ids", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "curve_key").schema)
+    return joined.mapInArrow(_cutter(length), shape(made.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), "ids", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "curve_key")))
 
 
 def document_starts(made: DataFrame) -> DataFrame:
@@ -159,4 +159,4 @@ def pack_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: i
             yield pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(c) for c in names], names=names)
 
     pieces = pack(docs, tokenizer_path, end_id, length)
-    return pieces.mapInArrow(run, pieces.withColumn("ids_crc32", F.lit(0).cast("long")).select(*names).schema)
+    return pieces.mapInArrow(run, shape(pieces.withColumn("ids_crc32", F.lit(0).cast("long")).select(*names)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import shape, slices
 
 #: Fixed values of the contract: what each kind matches, and the fewest characters of it.
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -112,7 +112,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     source = docs.select(*keep, F.col(text))
     zero = [F.lit(0).cast("long").alias(n) for n in names[:4]] + [F.lit("").alias(n) for n in names[4:]]
-    return source.mapInArrow(run, source.select(*keep, *zero).schema)
+    return source.mapInArrow(run, shape(source.select(*keep, *zero)))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, partition_count, shared_path, slices, task_number
+from .common import materialise, partition_count, shape, shared_path, slices, task_number
 from .pieces import Memo, library_pieces
 
 MAGIC = b"WVLT1\n"
