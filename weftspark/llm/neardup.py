@@ -2,19 +2,21 @@
 
 Sets of word shingles are hashed; rows with one set are one node.  Bands of
 minima give buckets; within a bucket the packed low bits of the minima estimate
-the similarity of two nodes, corrected for bits that agree by chance.  Pairs
-that may be similar enough are compared on their full sets, so every link is
-exact.  Components come from links by large and small stars.
-
-No bucket is given up or cut short: a large one is dealt as pairs of blocks, and
-what a first round leaves apart is looked at again in full.
+the similarity of two nodes, corrected for bits that agree by chance.  Chains of
+pairs that may be similar enough make clusters, and within a cluster pairs are
+compared on their full sets, so every link is exact.  Components come from links
+by large and small stars.
+
+No bucket is given up or cut short: large buckets and clusters are dealt as
+pairs of blocks, and tasks tell only the links that join something, so that
+rows grow with documents and not with pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, partition_count, slices, text_bytes
+from .common import discard, materialise, partition_count, shape, slices, text_bytes
 
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 2
 #: Members of a block of a large bucket.
@@ -124,112 +126,169 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, signature binary, bands array<long>")
 
 
-def _pairs_of(members: list[tuple], least: float, first_only: bool) -> list[tuple]:
-    """(a, b) with a < b of a bucket's block pair: similar by estimate and not yet of one component.
+def _stars(sigs: np.ndarray, least: float) -> np.ndarray:
+    """For each row, the first row that it reaches over pairs similar by estimate."""
+    n = len(sigs)
+    near = np.empty((n, n), bool)
+    for i in range(0, n, 256):
+        near[i : i + 256] = estimates(sigs[i : i + 256], sigs) >= least
+    np.fill_diagonal(near, True)
+    label = np.arange(n)
+    while True:
+        new = np.empty_like(label)
+        for i in range(0, n, 256):
+            new[i : i + 256] = np.where(near[i : i + 256], label, n).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rest: list[str]) -> Iterator[list[tuple]]:
+    """Rows of ``rest`` by runs of equal ``keys`` of sorted batches."""
+    key, group = None, []
+    for batch in batches:
+        for k, member in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), zip(*(batch.column(c).to_pylist() for c in rest), strict=True), strict=True):
+            if k != key:
+                if group:
+                    yield group
+                key, group = k, []
+            group.append(member)
+    if group:
+        yield group
+
+
+def _link_batches(groups: Iterator[list[tuple]], links_of: Callable[[list[tuple]], list[tuple]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    found: dict[tuple, None] = {}
+    for group in groups:
+        if len(group) > 1:
+            found.update(dict.fromkeys(links_of(group)))
+        if len(found) > 50_000:
+            yield _link_batch(list(found), kind)
+            found = {}
+    yield _link_batch(list(found), kind)
 
-    ``first_only``: for each b the smallest a and the most similar a.
-    """
-    ids = [m[0] for m in members]
-    label = np.unique([m[2] for m in members], return_inverse=True)[1]
-    block = np.array([m[3] for m in members])
-    sigs = np.frombuffer(b"".join(m[1] for m in members), np.uint64).reshape(len(members), -1)
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    sigs, label, block, ids = sigs[order], label[order], block[order], [ids[i] for i in order]
-    mixed = block.min() != block.max()
-    out = []
-    for i in range(0, len(ids), 256):
-        e = estimates(sigs[i : i + 256], sigs)
-        at = np.arange(i, min(i + 256, len(ids)))
-        good = (e >= least) & (np.arange(len(ids))[None, :] < at[:, None]) & (label[at][:, None] != label[None, :])
-        if mixed:
-            good &= block[at][:, None] != block[None, :]
-        if first_only:
-            for r in np.flatnonzero(good.any(axis=1)).tolist():
-                a = {int(np.argmax(good[r])), int(np.argmax(np.where(good[r], e[r], -9)))}
-                out += [(ids[x], ids[i + r]) for x in a]
-        else:
-            out += [(ids[x], ids[i + r]) for r, x in zip(*np.nonzero(good), strict=True)]
-    return [p for p in out if p[0] != p[1]]
-
-
-def _candidates(members: DataFrame, sizes: DataFrame, labels: DataFrame | None, least: float, first_only: bool) -> DataFrame:
-    """Distinct pairs (a, b) that may be links, from buckets whose members aren't all of one component."""
-    if labels is None:
-        open_ = members.join(sizes, "band").withColumn("label", F.col("id"))
-    else:
-        own = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        several = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("band", "n")
-        open_ = own.join(several, "band")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = (
-        open_.withColumn("blocks", blocks)
-        .withColumn("block", own_block)
-        .select("band", "id", "signature", "label", "block", other)
-        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "signature", "label", "block")
-        .repartition(partition_count(members), "band", "i", "j")
-        .sortWithinPartitions("band", "i", "j")
-    )
-    kind = members.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        names: list[tuple] = []
-        arrow = None
-        for batch in batches:
-            arrow = batch.schema.field("id").type
-            for b, i, j, *member in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "id", "signature", "label", "block")), strict=True):
-                if (b, i, j) != key:
-                    if len(group) > 1:
-                        names += _pairs_of(group, least, first_only)
-                    key, group = (b, i, j), []
-                group.append(member)
-                if len(names) > 100_000:
-                    yield _pair_batch(names, arrow)
-                    names = []
-        if len(group) > 1:
-            names += _pairs_of(group, least, first_only)
-        for i in range(0, len(names), 100_000):
-            yield _pair_batch(names[i : i + 100_000], arrow)
+def _link_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
-def _pair_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    pairs = list(dict.fromkeys(pairs))
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind)], names=["a", "b"])
 
+def _dealt(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
+    """``rows`` (with ``id``) of each ``key`` as pairs (i, j) of blocks, so that any two rows meet in a pair and no task gets a whole large group."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    named = rows.join(sizes, key).withColumn("blocks", blocks).withColumn("block", own)
+    return named.select(*rows.columns, "block", other).select(*rows.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).repartition(partition_count(rows), key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    kind = pairs.schema["a"].dataType.simpleString()
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(band, id) of the bands that two or more of ``nodes`` (id, bands) have: one shuffle, streamed in order of bands."""
+    each = nodes.select(F.explode("bands").alias("band"), "id")
+    ordered = each.repartition(partition_count(nodes), "band").sortWithinPartitions("band", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        last, last_set = None, None
+        held = None  # the last row so far, and whether it has a neighbour of its band
         for batch in batches:
-            a_texts, b_texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
-            keep = []
-            for x, y in zip(a_texts, b_texts, strict=True):
-                if x != last or last_set is None:
-                    last, last_set = x, shingle_set(x or b"", known, size)
-                other = shingle_set(y or b"", known, size)
-                common = len(np.intersect1d(last_set, other, assume_unique=True))
-                union = len(last_set) + len(other) - common
-                keep.append(common > 0 and 100 * common >= percent * union)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            band = batch.column("band").to_numpy()
+            same = band[1:] == band[:-1]
+            keep = np.zeros(len(band), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if held is not None:
+                if held[0].column("band")[0].as_py() == band[0]:
+                    keep[0] = True
+                    yield held[0]
+                elif held[1]:
+                    yield held[0]
+            yield batch.slice(0, len(band) - 1).filter(pa.array(keep[:-1]))
+            held = batch.slice(len(band) - 1), bool(keep[-1])
+        if held is not None and held[1]:
+            yield held[0]
+
+    return ordered.mapInArrow(run, shape(each))
+
+
+def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
+    """id, label: groups of nodes that chains of pairs similar by estimate hold together; nodes alone are left out."""
+    buckets = materialise(shared_bands(nodes), "buckets")
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    members = buckets.join(nodes.select("id", "signature"), "id")
+    kind = _ARROW[nodes.schema["id"].dataType.simpleString()]
+
+    def stars(group: list[tuple]) -> list[tuple]:
+        label = _stars(np.frombuffer(b"".join(s for _, s in group), np.uint64).reshape(len(group), -1), least)
+        return [(group[a][0], group[b][0]) for b, a in enumerate(label.tolist()) if group[a][0] != group[b][0]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _link_batches(_groups(batches, ["band", "i", "j"], ["id", "signature"]), stars, kind)
+
+    found = components(_dealt(members, "band", sizes, BLOCK).mapInArrow(run, f"a {nodes.schema['id'].dataType.simpleString()}, b {nodes.schema['id'].dataType.simpleString()}"))
+    return found.unionByName(found.select(F.col("label").alias("id"), "label").distinct())
+
+
+def _exact_links(group: list[tuple], size: int, percent: int, least: float, known: dict[bytes, int]) -> list[tuple]:
+    """Links that hold the linked texts of a group (id, text) together: pairs in order of their estimate, compared on full sets unless already joined."""
+    sets = [shingle_set(t or b"", known, size) for _, t in group]
+    sigs = np.frombuffer(b"".join(packed(minima(s)) for s in sets), np.uint64).reshape(len(sets), -1)
+    counts = np.array([len(s) for s in sets])
+    a, b, e = [], [], []
+    for i in range(0, len(sets), 256):
+        est = estimates(sigs[i : i + 256], sigs)
+        lo = np.minimum(counts[i : i + 256, None], counts[None, :])
+        hi = np.maximum(counts[i : i + 256, None], counts[None, :])
+        r, c = np.nonzero((est >= least) & (np.arange(len(sets))[None, :] < np.arange(i, i + len(est))[:, None]) & (100 * lo >= percent * hi))
+        a.append(c), b.append(r + i), e.append(est[r, c])
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.argsort(-np.concatenate(e), kind="stable")
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p == q:
+            continue
+        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if common and 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+            root[q] = p
+            links.append((group[x][0], group[y][0]))
+    return [(x, y) for x, y in links if x != y]
+
+
+def confirmed_links(clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join what is linked within ``clusters`` (id, label), each confirmed on the full sets of ``docs`` (doc_id, text).
+
+    Of pairs whose documents are joined already, none is told: rows grow with
+    documents, not with pairs.
+    """
+    clusters = materialise(clusters, "clusters")
+    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    # Neither side is small at scale: the same join at every size.
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id")
+    least = least_estimate(percent / 100)
+    name = docs.schema["doc_id"].dataType.simpleString()
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        binary = (b.set_column(b.schema.get_field_index("text"), "text", b.column("text").cast(pa.binary())) for b in batches)
+        return _link_batches(_groups(binary, ["label", "i", "j"], ["id", "text"]), lambda g: _exact_links(g, size, percent, least, known), _ARROW[name])
+
+    return _dealt(texts, "label", sizes, BLOCK // 2).mapInArrow(run, f"a {name}, b {name}")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label: the smallest id reachable over ``links`` (a, b), for each id in one; large and small stars in turn.
+    """id, label: the smallest id reachable over ``links`` (a, b), for each other id that is in one; large and small stars in turn.
 
     Each step moves rows in proportion to the links; no component meets in a task.
     """
@@ -263,19 +322,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     """
     sigs = materialise(signatures(docs, size), "signatures")
     live = sigs.filter("doc_id is not null and set_hash is not null")
-    sets = live.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    sets = materialise(sets, "sets")
-    nodes = live.join(sets, "set_hash").filter("doc_id = id").select("id", "signature", "bands").dropDuplicates(["id", "signature"])
-    bands = nodes.select("id", F.explode("bands").alias("band"))
-    sizes = materialise(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = materialise(nodes.select("id", "signature", F.explode("bands").alias("band")).join(sizes, "band", "left_semi"), "members")
-    texts = docs.select("doc_id", "text")
-    least = least_estimate(percent / 100)
-    first = materialise(_candidates(members, sizes, None, least, True), "candidates")
-    links = materialise(_confirmed(first, texts, size, percent), "links")
-    rest = materialise(_candidates(members, sizes, components(links), least, False).join(first, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(materialise(_confirmed(rest, texts, size, percent), "links"))
-    labels = components(links)
+    sets = materialise(live.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "sets")
+    nodes = live.join(sets.hint("merge"), "set_hash").filter("doc_id = id").select("id", "signature", "bands")
+    nodes = materialise(nodes, "nodes")
+    clusters = candidate_clusters(nodes, least_estimate(percent / 100))
+    labels = components(confirmed_links(clusters, docs.select("doc_id", "text"), size, percent))
     # Copies hang on their node: they take its label without a link of their own.
     node_of = sets.join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component"))
     tied = _shared_ids(live, node_of)
@@ -286,7 +337,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
 
 def _shared_ids(live: DataFrame, node_of: DataFrame) -> DataFrame:
     """``node_of``, with nodes joined that are texts of one doc_id."""
-    several = live.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("lo <> hi").select("doc_id")
+    several = live.groupBy("doc_id").agg(F.min(F.xxhash64("set_hash")).alias("lo"), F.max(F.xxhash64("set_hash")).alias("hi")).filter("lo <> hi").select("doc_id")
     tied = live.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(node_of, "set_hash")
     least = tied.groupBy("doc_id").agg(F.min("component").alias("to"))
     links = tied.join(least, "doc_id").filter("component <> to").select(F.col("component").alias("a"), F.col("to").alias("b"))
