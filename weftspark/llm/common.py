@@ -2,48 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ``[\x20\x09-\x0D]``, the white space of all contracts here.
-SPACE = b" \t\n\x0b\x0c\r"
-
-
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
+from ..tables import materialise, shared_path, shared_root
 
-    Only where that is unset (tests in local mode) a temporary folder is made,
-    once for the process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _own_root:
-            _own_root.append(tempfile.mkdtemp(prefix="weftspark-"))
-        root = _own_root[0]
-    return root.rstrip("/")
+__all__ = ["SPACE", "discard", "materialise", "partition_count", "shape", "shared_path", "shared_root", "slices", "task_number", "text_bytes", "text_key"]
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/weftspark/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ``[\x20\x09-\x0D]``, the white space of all contracts here.
+SPACE = b" \t\n\x0b\x0c\r"
 
 
 def discard(df: DataFrame) -> None:
