@@ -11,7 +11,7 @@ their bytes, and memoised.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shape, slices
-from .pieces import Memo
+from .pieces import SLICE, shared_memo
 
 _NEVER = 1 << 40
 
@@ -115,6 +115,20 @@ class PairCodec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+_codecs: dict[str, PairCodec] = {}
+
+
+def _codec(ranks_path: str) -> PairCodec:
+    """A worker's codec for a vocabulary; it outlives tasks."""
+    if ranks_path not in _codecs:
+        _codecs[ranks_path] = PairCodec(load_ranks(ranks_path))
+    return _codecs[ranks_path]
+
+
+def _pair_pieces(ranks_path: str) -> Callable[[list[str]], Iterable[bytes]]:
+    return _codec(ranks_path).encode_pieces
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit token ids of the whole text.
 
@@ -124,9 +138,9 @@ def bpe_encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFram
     keep = [c for c in docs.columns if c not in (text, "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(PairCodec(load_ranks(ranks_path)).encode_pieces)
+        memo = shared_memo(_pair_pieces, ranks_path)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 ids = memo.encode([t or "" for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
@@ -139,7 +153,7 @@ def bpe_decode(df: DataFrame, ranks_path: str) -> DataFrame:
     keep = [c for c in df.columns if c not in ("ids", "bytes")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PairCodec(load_ranks(ranks_path))
+        codec = _codec(ranks_path)
         for batch in batches:
             for part in slices(batch, "ids"):
                 out = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in part.column("ids").to_pylist()]

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, partition_count, shape, slices, task_number
-from .pieces import Memo, library_pieces
+from .pieces import SLICE, library_pieces, shared_memo
 
 #: Width of the hashed vectors, dimensions and bits a dimension of the curve.
 WIDTH, DIMENSIONS, BITS = 256, 3, 10
@@ -82,10 +82,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, projector = Memo(library_pieces(tokenizer_path)), Projector()
+        memo, projector = shared_memo(library_pieces, tokenizer_path), Projector()
         end, row = np.array([end_id], "<u2").tobytes(), task_number() << 33
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 ids = [x + end for x in memo.encode([t or "" for t in part.column("text").to_pylist()])]
                 keys = hilbert_key(projector.points([np.frombuffer(x, "<u2")[:-1] for x in ids]))
                 rows = pa.array(range(row, row + len(ids)), pa.int64())

@@ -23,52 +23,34 @@ def cut(text: str) -> list[str]:
 
 
 class Memo:
-    """Token ids of texts, remembering those of chunks and pieces.
+    """Token ids of texts, remembering those of pieces.
 
-    A space before a character that is no white space always begins a piece, so
-    a text falls into chunks there, and a chunk's ids don't depend on the rest.
-    ``encode_pieces`` gets distinct pieces and returns their ids as bytes of
-    ``dtype``.  Both memos are emptied at ``limit`` entries: memory is bounded.
+    ``encode_pieces`` gets distinct pieces and returns their ids as bytes.  The
+    memo is emptied at ``limit`` entries, and pieces of over ``longest``
+    characters are not remembered: memory is bounded.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = 1_500_000) -> None:
-        self.encode_pieces, self.limit = encode_pieces, limit
-        self.chunks: dict[str, bytes] = {}
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = 700_000, longest: int = 64) -> None:
+        self.encode_pieces, self.limit, self.longest = encode_pieces, limit, longest
         self.pieces: dict[str, bytes] = {}
 
-    def _fill(self, missing: list[str]) -> None:
-        """Ids of chunks that aren't known yet; each stands behind a space."""
-        parts, known = cut(" " + " ".join(missing)), self.pieces
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            known.update(zip(new, self.encode_pieces(new), strict=True))
-        ids = list(map(known.__getitem__, parts))
-        at = [i for i, p in enumerate(parts) if p[0] == " "]
-        for c, i, j in zip(missing, at, [*at[1:], len(parts)], strict=True):
-            self.chunks[c] = ids[i] if j - i == 1 else b"".join(ids[i:j])
-
-    def _whole(self, text: str) -> bytes:
-        parts, known = cut(text), self.pieces
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            known.update(zip(new, self.encode_pieces(new), strict=True))
-        return b"".join([known[p] for p in parts])
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.limit or len(self.chunks) > self.limit:
-            self.chunks.clear()
+        if len(self.pieces) > self.limit:
             self.pieces.clear()
-        split = [t.split(" ") if _CHUNKS.search(t) is None and not t.endswith(" ") else None for t in texts]
-        chunks = self.chunks
-        missing = list({c for x in split if x for c in x[1:] if c not in chunks})
-        for i in range(0, len(missing), 50_000):
-            self._fill(missing[i : i + 50_000])
-        get = chunks.__getitem__
-        return [self._whole(t) if x is None else self._whole(x[0]) + b"".join(map(get, x[1:])) for t, x in zip(texts, split, strict=True)]
-
-
-#: A space whose next character is white space: such texts are cut whole.
-_CHUNKS = re.compile(r" [\s\x1c-\x1f\x85\xa0]")
+        known, parts = self.pieces, [cut(t) for t in texts]
+        new: set[str] = set()
+        for x in parts:
+            new.update(x)
+        new = new.difference(known)
+        if new:
+            missing = list(new)
+            known.update(zip(missing, self.encode_pieces(missing), strict=True))
+        get = known.__getitem__
+        out = [b"".join(map(get, x)) for x in parts]
+        for p in new:
+            if len(p) > self.longest:
+                del known[p]
+        return out
 
 
 def library_pieces(path: str, dtype: str = "<u2") -> Callable[[list[str]], Iterable[bytes]]:
@@ -94,9 +76,23 @@ def library_pieces(path: str, dtype: str = "<u2") -> Callable[[list[str]], Itera
             ids = np.array(tok.encode("".join(part), add_special_tokens=False).ids, dtype)
             at = np.flatnonzero(begins[ids])
             if len(at) == len(part):
-                out.update(zip(part, (x.tobytes() for x in np.split(ids, at[1:])), strict=True))
+                data, cuts = ids.tobytes(), (at * ids.itemsize).tolist()
+                out.update((p, data[a:b]) for p, a, b in zip(part, cuts, [*cuts[1:], len(data)], strict=True))
         rest = [p for p in pieces if p not in out]
         out.update(zip(rest, (np.array(e.ids, dtype).tobytes() for e in tok.encode_batch(rest, add_special_tokens=False)), strict=True))
         return [out[p] for p in pieces]
 
     return encode
+
+
+#: Texts that a memo takes at once, in bytes: their chunks are all held for that time.
+SLICE = 2 << 20
+_memos: dict[tuple, Memo] = {}
+
+
+def shared_memo(make: Callable[[str], Callable[[list[str]], Iterable[bytes]]], path: str) -> Memo:
+    """A worker's memo for a vocabulary: it outlives tasks, and stays within its limit."""
+    key = make.__module__, make.__qualname__, path
+    if key not in _memos:
+        _memos[key] = Memo(make(path))
+    return _memos[key]

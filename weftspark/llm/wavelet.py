@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, partition_count, shape, shared_path, slices, task_number
-from .pieces import Memo, library_pieces
+from .pieces import SLICE, library_pieces, shared_memo
 
 MAGIC = b"WVLT1\n"
 #: Bits between two stored counts of ones.
@@ -109,12 +109,13 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All values in order, by undoing each plane's sort from the last."""
-        out = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.size, kind)
         for p in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[p], count=self.size).astype(bool)
             back = np.empty_like(out)
             back[~bit] = out[: self.zeros[p]]
-            back[bit] = out[self.zeros[p] :] | np.uint32(1 << (len(self.planes) - 1 - p))
+            back[bit] = out[self.zeros[p] :] | kind(1 << (len(self.planes) - 1 - p))
             out = back
         return out
 
@@ -149,7 +150,7 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shard_tokens: int = 4_000_000, bits: int = 16) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shard_tokens: int = 2_000_000, bits: int = 16) -> DataFrame:
     """Write the ids of all texts, in ascending doc_id order, to shard files in ``folder``; return their manifest.
 
     Manifest: part, shard (both ascend with doc_id), path, documents, tokens,
@@ -161,7 +162,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = Memo(library_pieces(tokenizer_path)), np.array([end_id], "<u2").tobytes()
+        memo, end = shared_memo(library_pieces, tokenizer_path), np.array([end_id], "<u2").tobytes()
         store, base = _filesystem(folder)
         part, shard, tokens = task_number(), 0, 0
         ids: list[bytes] = []
@@ -177,7 +178,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": path, "documents": len(ids), "tokens": tokens, "bytes": len(data)}], schema=_MANIFEST)
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 for doc, x in zip(piece.column("doc_id").to_pylist(), memo.encode([t or "" for t in piece.column("text").to_pylist()]), strict=True):
                     ids.append(x + end)
                     names.append(doc)
@@ -221,7 +222,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return placed.repartition(partition_count(manifest), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def shards_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 4_000_000) -> DataFrame:
+def shards_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
     """Per document, as read back from the files: doc_id, start, n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
