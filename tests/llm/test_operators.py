@@ -183,7 +183,7 @@ def test_urls(spark):
         ],
         "page_id long, url string, html string",
     )
-    got = sorted((tuple(r)[:5] for r in urlgraph.filter_urls(pages, urlgraph.rule_table(spark)).collect()), key=repr)
+    got = sorted((tuple(r)[:5] for r in urlgraph.filter_urls(pages, urlgraph.rule_table(spark), lift=0.1).collect()), key=repr)
     assert got == sorted(
         [
             (1, "good.example.com", "/en/7x", "example.com/en/7", "allow"), (2, "www.bad.org", "/es/1", "org/es/", "block"), (3, "mid.net", "/a", None, "block"), (4, "far.net", "/de/b", "net/de/", "allow"),
