@@ -11,6 +11,7 @@ their bytes, and memoised.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
@@ -164,17 +165,23 @@ def bpe_decode(df: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, after encoding and decoding."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, after encoding and decoding.
+
+    Both in one pass, so that a task has one Python worker and one codec.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, codec = shared_memo(_pair_pieces, ranks_path), _codec(ranks_path)
         for batch in batches:
-            ids = [np.frombuffer(x or b"", "<u4") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([" ".join(map(str, x.tolist())).encode() for x in ids], pa.binary()), batch.column("ids")],
-                names=["doc_id", "n_tokens", "decimal", "ids"],
-            )
-
-    ids = bpe_encode(docs.select("doc_id", "text"), ranks_path)
-    listed = ids.mapInArrow(run, shape(ids.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("decimal"), "ids")))
-    hashed = listed.select("doc_id", "n_tokens", F.sha2("decimal", 256).alias("ids_sha256"), "ids")
-    return bpe_decode(hashed, ranks_path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+            for part in slices(batch, "text", SLICE):
+                rows = []
+                for data in memo.encode([t or "" for t in part.column("text").to_pylist()]):
+                    ids = np.frombuffer(data, "<u4")
+                    told = " ".join(map(str, ids.tolist())).encode()
+                    rows.append((len(ids), hashlib.sha256(told).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+                n, told, back = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    source = docs.select("doc_id", "text")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

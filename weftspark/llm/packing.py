@@ -68,13 +68,14 @@ class Projector:
         return np.clip(scaled, 0, (1 << BITS) - 1).astype(np.int64)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, checksums: bool = False) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids (little-endian unsigned 16-bit), doc_tokens, sequence_id, offset, curve_key.
 
     A document is its ids by the tokenizer's library and ``end_id``; null and
     empty texts are ``end_id`` alone.  Repeated rows and rows that share a
     doc_id, null included, are packed each on its own.  Extra columns are left
     out.  Every id is in exactly one piece; sequences are full but the last.
+    With ``checksums``, ids_crc32 stands in place of ids.
 
     Tokenising is one narrow pass, written once.  Only keys and counts are
     range-sorted to find where each document begins; ids then move in one
@@ -97,7 +98,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     made = materialise(made, "tokens")
     places = document_starts(made.select("row", "doc_id", "curve_key", "doc_tokens"))
     joined = made.join(places, "row")
-    return joined.mapInArrow(_cutter(length), shape(made.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), "ids", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "curve_key")))
+    kind = made.schema["doc_id"].dataType.simpleString()
+    told = "ids_crc32 long" if checksums else "ids binary"
+    return joined.mapInArrow(_cutter(length, checksums), f"doc_id {kind}, start long, length long, {told}, doc_tokens long, sequence_id long, offset long, curve_key long")
 
 
 def document_starts(made: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def document_starts(made: DataFrame) -> DataFrame:
     return placed.join(before, "part").select("row", (F.col("before") + F.col("within")).alias("begin"))
 
 
-def _cutter(length: int):
+def _cutter(length: int, checksums: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ids"):
@@ -134,11 +137,12 @@ def _cutter(length: int):
                     while at < n:
                         sequence, offset = divmod(begin + at, length)
                         size = min(n - at, length - offset)
-                        out.append((doc, at, size, ids[2 * at : 2 * (at + size)], n, sequence, offset, key))
+                        own = ids[2 * at : 2 * (at + size)]
+                        out.append((doc, at, size, wide_crc(own) if checksums else own, n, sequence, offset, key))
                         at += size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * 8, [part.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4], strict=True)],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"],
+                    [pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * 8, [part.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64() if checksums else pa.binary(), *[pa.int64()] * 4], strict=True)],
+                    names=["doc_id", "start", "length", "ids_crc32" if checksums else "ids", "doc_tokens", "sequence_id", "offset", "curve_key"],
                 )
 
     return run
@@ -151,12 +155,4 @@ def wide_crc(ids: bytes) -> int:
 
 def pack_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048) -> DataFrame:
     """The pieces of :func:`pack` with a checksum in place of their ids."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([wide_crc(x) for x in batch.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(c) for c in names], names=names)
-
-    pieces = pack(docs, tokenizer_path, end_id, length)
-    return pieces.mapInArrow(run, shape(pieces.withColumn("ids_crc32", F.lit(0).cast("long")).select(*names)))
+    return pack(docs, tokenizer_path, end_id, length, checksums=True)

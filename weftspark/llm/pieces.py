@@ -30,7 +30,7 @@ class Memo:
     characters are not remembered: memory is bounded.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = 700_000, longest: int = 64) -> None:
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000, longest: int = 64) -> None:
         self.encode_pieces, self.limit, self.longest = encode_pieces, limit, longest
         self.pieces: dict[str, bytes] = {}
 

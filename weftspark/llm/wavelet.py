@@ -199,13 +199,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 _MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
 
-def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document, from the files."""
+def read_shards(manifest: DataFrame, folder: str, checksums: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit; with ``checksums`` their ids_crc32) of every document, from the files."""
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     inside = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     placed = manifest.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(before, "part").select("path", (F.col("before") + F.col("inside")).alias("begin"))
 
+    name = "ids_crc32" if checksums else "ids"
+
+    def told(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        own = (ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True))
+        return pa.array([zlib.crc32(x) for x in own], pa.int64()) if checksums else pa.array(list(own), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _filesystem(folder)
         for batch in batches:
@@ -216,20 +222,13 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 for i in range(0, len(docs), 500):
                     e = ends[i : i + 500]
                     s = e - lengths[i : i + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), pa.array(begin + s), pa.array(e - s), pa.array([ids[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), pa.array(begin + s), pa.array(e - s), told(ids, s, e)], names=["doc_id", "start", "n_tokens", name])
 
     # one task for a few shards: files are small jobs of much work
-    return placed.repartition(partition_count(manifest), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.repartition(partition_count(manifest), "path").mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'binary'}")
 
 
 def shards_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
     """Per document, as read back from the files: doc_id, start, n_tokens, ids_crc32."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
     folder = shared_path(docs.sparkSession, "wavelet")
-    ids = read_shards(write_shards(docs, tokenizer_path, folder, end_id, shard_tokens), folder)
-    return ids.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_shards(write_shards(docs, tokenizer_path, folder, end_id, shard_tokens), folder, checksums=True)
