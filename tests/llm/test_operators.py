@@ -104,6 +104,21 @@ def test_cutoffs_hold_their_risk(spark):
     assert {r.rule: r.cutoff for r in quality.certified_cutoffs(spark.createDataFrame(many, cols), "stratum").collect()}["symbol_share"] == 0.15
 
 
+def test_cutoffs_of_strata_with_few_labels(spark):
+    """Some 217 good labels a stratum are enough, smaller strata count as one, and the risk holds for all rules together."""
+    cols = "stratum string, good boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    fine = (True, 100, 500, 0, 0, 0, 5)
+    cutoffs = lambda rows: {(r.stratum, r.rule): r.cutoff for r in quality.certified_cutoffs(spark.createDataFrame(rows, cols), "stratum").collect()}
+    found = cutoffs([(s, *fine) for s, n in (("a", 217), ("b", 216), ("c", 20), ("d", 1)) for _ in range(n)])
+    assert len(found) == 20 and set(found.values()) == {0.01, 0.15, 0.08, 6.0, 4.0}
+    assert cutoffs([("b", *fine)] * 148) == {} and {s for s, _ in cutoffs([("b", *fine)] * 100 + [("c", *fine)] * 80)} == {"b", "c"}
+    # Two rules reject 1.2 percent each, of different documents: each alone would pass.
+    both = [("a", True, 100, 500, 60 if i < 36 else 0, 2 if 36 <= i < 72 else 0, 0, 5) for i in range(3000)]
+    found = cutoffs(both)
+    sums = sum(r[4] / 500 > found["a", "symbol_share"] or r[5] / 5 > found["a", "duplicate_line_share"] for r in both)
+    assert sums in (0, 36)
+
+
 def test_bpe(docs, empty):
     import tiktoken
 

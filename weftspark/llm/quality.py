@@ -1,10 +1,11 @@
 """Operator 4: quality rules whose cutoffs are certified on labelled holdouts.
 
-Each rule compares one measure of a text with a cutoff.  A stratum's cutoff is
-chosen from a fixed sequence, lenient to strict: it moves on for as long as an
-exact binomial test shows that a good document is rejected with at most the
-rule's share of the allowed risk.  Testing in a fixed order needs no correction
-within a sequence; across rules and strata the error rate is divided (Bonferroni).
+Each rule compares one measure of a text with a cutoff.  A stratum's cutoffs are
+chosen together from one fixed sequence of vectors, lenient to strict: it moves
+on for as long as an exact binomial test shows that the rules together reject a
+good document with at most the allowed risk.  Testing in a fixed order needs no
+correction within the sequence; across strata the error rate is divided
+(Bonferroni).  Strata too small for any test are tested as one.
 """
 
 from __future__ import annotations
@@ -129,31 +130,48 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return 1 - front * value if swap else front * value
 
 
+def chain_of(rules: tuple[Rule, ...]) -> list[tuple[Rule, float]]:
+    """All (rule, cutoff) in the one order in which they are tested: lenient to strict, the rules abreast.
+
+    The first so many of them are a vector of cutoffs: of each rule the last one counts.
+    """
+    places = sorted(((i + 1) / len(r.cutoffs), at, i) for at, r in enumerate(rules) for i in range(len(r.cutoffs)))
+    return [(rules[at], float(rules[at].cutoffs[i])) for _, at, i in places]
+
+
 def certified_cutoffs(labelled: DataFrame, stratum: str, rules: tuple[Rule, ...] = RULES, risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """(stratum, rule, cutoff) of the strictest certified cutoff; no row where none is.
 
     ``labelled``: measures, ``stratum`` and ``good`` (boolean, null: no holdout)
     of documents that pass the base rules.  With probability 1 - ``error`` at
     least, in every stratum at once, all rules together falsely reject at most
-    ``risk`` of such good documents.  Only counts by stratum, rule and cutoff
-    are gathered.
+    ``risk`` of such good documents.  Strata with too few good documents to
+    certify even a cutoff that rejects none are tested, and hold the risk, as one.
+    Only counts by stratum and place in the chain are gathered.
     """
-    steps = [(r, i, float(c)) for r in rules for i, c in enumerate(r.cutoffs)]
-    good = labelled.filter("good")
-    # One row per stratum, with a count for each step, before anything is shuffled.
-    sums = [F.count_if(_beyond(r, F.lit(c))).alias(f"k{at}") for at, (r, _, c) in enumerate(steps)]
-    counts = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums)
-    told = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"k{at}").alias("k")) for at, (r, i, c) in enumerate(steps)))).alias("t")
-    strata = W.partitionBy(F.lit(0))
-    told = counts.withColumn("strata", F.count(F.lit(1)).over(strata)).select(stratum, "n", "strata", told).select(stratum, "n", "strata", "t.*")
+    chain = chain_of(rules)
+    least = lambda strata: F.ceil(F.log(F.lit(float(error)) / strata) / math.log(1 - risk))
+    # The first place in the chain that rejects a document: all stricter vectors do so too.
+    first = F.least(F.lit(len(chain)), *(F.when(_beyond(r, F.lit(c)), F.lit(at)) for at, (r, c) in enumerate(chain)))
+    counts = materialise(labelled.filter("good").groupBy(stratum, first.alias("place")).agg(F.count(F.lit(1)).alias("k")), "places")
+    sizes = counts.groupBy(stratum).agg(F.sum("k").alias("n"))
+    everywhere = W.partitionBy(F.lit(0))
+    sizes = sizes.withColumn("alone", F.col("n") >= least(F.count(F.lit(1)).over(everywhere)))
+    # Which strata are one is told by their sizes alone, never by what would be rejected.
+    sizes = sizes.withColumn("tested", F.when(F.col("alone"), F.struct("alone", stratum)).otherwise(F.struct("alone", F.lit(None).cast("string").alias(stratum))))
+    groups = sizes.groupBy("tested").agg(F.sum("n").alias("n")).withColumn("groups", F.count(F.lit(1)).over(everywhere))
+    by_place = counts.join(sizes.select(stratum, "tested"), stratum).groupBy("tested", "place").agg(F.sum("k").alias("k"))
+    steps = F.array(*(F.struct(F.lit(at).alias("place"), F.lit(r.name).alias("rule"), F.lit(c).alias("cutoff")) for at, (r, c) in enumerate(chain)))
+    so_far = W.partitionBy("tested").orderBy("place")
+    told = groups.select("*", F.inline(steps)).join(by_place, ["tested", "place"], "left").withColumn("k", F.coalesce(F.sum("k").over(so_far), F.lit(0)))
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_tail(int(a), int(b), risk / len(rules)) for a, b in zip(k, n, strict=True)])
+        return pd.Series([binomial_tail(int(a), int(b), risk) for a, b in zip(k, n, strict=True)])
 
-    passed = told.withColumn("passed", tail("k", "n") <= F.lit(error / len(rules)) / F.col("strata"))
-    so_far = W.partitionBy(stratum, "rule").orderBy("step")
-    return passed.withColumn("all", F.min("passed").over(so_far)).filter("all").groupBy(stratum, "rule").agg(F.max_by("cutoff", "step").alias("cutoff"))
+    passed = told.withColumn("passed", tail("k", "n") <= F.lit(error) / F.col("groups"))
+    found = passed.withColumn("all", F.min("passed").over(so_far)).filter("all").groupBy("tested", "rule").agg(F.max_by("cutoff", "place").alias("cutoff"))
+    return sizes.join(found, "tested").select(stratum, "rule", "cutoff")
 
 
 def _beyond(rule: Rule, cutoff: F.Column) -> F.Column:
@@ -167,8 +185,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tupl
     Null texts count as empty and fail the base rules.  A null stratum is a
     stratum.  Of several labels of one doc_id the best counts; labels of unknown
     documents and null labels are left out.  Repeated rows are judged alike.
-    Where labels are too few to certify anything, nothing but the base rules
-    rejects.  Extra columns are ignored.
+    Where labels are too few to certify anything, even with all small strata as
+    one, nothing but the base rules rejects; so too in a stratum without any
+    good label.  Extra columns are ignored.
     """
     found = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("__stratum"), "text")
     found = materialise(measures(found, ["doc_id", "__stratum"]).withColumn("base_failed", base_failed()), "measures")
