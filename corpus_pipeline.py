@@ -32,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document of smallest doc_id stays."""
-    return neardup.drop_near_copies(docs)
+    """Of near-duplicates (at least 0.8 of their five-word shingles alike) the document of smallest doc_id stays."""
+    return neardup.drop_near_copies(docs, size=5, percent=80)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,6 +236,17 @@ def test_near_query_equals_brute_force(spark, sf_dir):
     assert rows(queries.op7_near_dedup(spark, sf_dir)) == sorted(brute.near_dedup([tuple(r) for r in found]), key=repr)
 
 
+def test_near_stage_takes_eight_tenths(spark):
+    """Of pairs of similarity 0.803 one goes, of 0.795 both stay: the stage's threshold is not that of operator 7."""
+    import corpus_pipeline
+
+    # Of 996 shingles, other words at the end change as many as they are.
+    text = lambda word, n: " ".join([f"{word}{i}" for i in range(1000 - n)] + [f"{word}other{i}" for i in range(n)])
+    made = [(1, text("v", 0)), (2, text("v", 109)), (3, text("o", 0)), (4, text("o", 114))]
+    stage = {r.doc_id for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(made, "doc_id long, text string"), "").collect()}
+    assert stage == {1, 3, 4} == {d for d, _, _, kept in brute.near_dedup(made, percent=80) if kept}
+
+
 def test_pipeline_against_plain_stages(spark, sf_dir):
     """run() on the smallest tables: too few labels to certify a cutoff, so the base rules alone reject."""
     import corpus_pipeline
