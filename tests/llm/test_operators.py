@@ -209,6 +209,19 @@ def test_urls(spark):
     assert urlgraph.filter_urls(pages.limit(0), urlgraph.rule_table(spark)).count() == 0
 
 
+def test_hosts_stay_blocked_beside_a_hot_host(spark):
+    """At the query's own threshold, rows of a host that has nothing to do with another leave its verdict alone."""
+    cols = "page_id long, url string, html string"
+    few = [(i, f"http://www.bad.org/es/{i}", "") for i in range(20)] + [(i, f"https://far.net/de/{i}", "") for i in range(60)]
+    few += [(100, "http://mid.net/a", '<a href="http://www.bad.org/es/1">'), (101, "http://fine.net/a", '<a href="https://far.net/de/1">')]
+    hot = [(1000 + i, f"http://hot.com/en/{i}", "") for i in range(500)]
+    for made in (few, few + hot):
+        told = {r.host: (r.verdict, r.trust, r.distrust) for r in urlgraph.filter_urls(spark.createDataFrame(made, cols), urlgraph.rule_table(spark)).collect() if r.rule is None}
+        assert {h: v[0] for h, v in told.items()} == {"mid.net": "block", "fine.net": "allow"}
+        first = told if made is few else first
+        assert told == first
+
+
 def test_propagation_equals_plain_iteration(spark):
     links = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 3.0)]
     seeds = {"a": (1.0, 0.0, 1.0), "b": (0.0, 0.0, 1.0), "c": (0.0, 2.0, 2.0), "d": (0.0, 1.0, 1.0)}

@@ -18,6 +18,9 @@ from .common import materialise
 #: Fixed values of the contract: (rule, verdict).
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
+#: Share of blocked pages that ``lift`` is a multiple of: fixed, so that no host's verdict hangs on how much of the whole table is blocked.
+USUAL = 0.25
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: A link to another site: its host.
@@ -69,12 +72,12 @@ def domain_links(hosts: DataFrame) -> DataFrame:
     return both.withColumn("weight", F.lit(1.0))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int = 12) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int = 12, scaled: bool = True) -> DataFrame:
     """host, trust, distrust, usual after ``steps`` rounds of personalised PageRank from ``seeds`` (host and the same columns).
 
     Trust goes from src to dst; distrust, and what is usual where all pages are
     seeds, from dst to src; each is split by weight.  All move in one join and
-    one sum a round.  Seeds are scaled to sum to one.
+    one sum a round.  Seeds are scaled to sum to one if ``scaled``.
     """
     kinds = ("trust", "distrust", "usual")
     total = links.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -85,7 +88,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, steps:
         shared.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("along"), (F.col("weight") / F.col("all_in")).alias("against"))
     )
     flows = materialise(flows.groupBy("src", "dst").agg(F.sum("along").alias("along"), F.sum("against").alias("against")), "flows")
-    sums = seeds.agg(*(F.sum(k).alias(k) for k in kinds)).first()
+    sums = seeds.agg(*(F.sum(k).alias(k) for k in kinds)).first() if scaled else dict.fromkeys(kinds, 1.0)
     start = materialise(seeds.select("host", *((F.col(k) / F.lit(float(sums[k]) if sums[k] else 1.0)).alias(k) for k in kinds)), "seeds")
     returned = start.select("host", *((F.col(k) * (1 - damping)).alias(k) for k in kinds))
     share = {"trust": F.col("along"), "distrust": F.col("against"), "usual": F.col("against")}
@@ -104,9 +107,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, lift: float = 2.0, links: Da
     A rule ``host/path`` fits its host and all subdomains if the path starts
     alike; the longest wins, of equally long ones the last by text.  Other pages
     are blocked when their host's distrust is more than its trust and more than
-    ``lift`` times what would reach it if every page were blocked: it is nearer
-    to blocked pages than pages usually are.  Both scores are told in multiples
-    of that.  A host that no distrust reaches is allowed.  Null urls and urls
+    ``lift`` times ``USUAL``.  Both scores are told as shares of what would reach
+    the host if every page were a seed, each page weighing the same: distrust is
+    the share of blocked pages among those near the host, and pages far from it
+    change nothing.  A host that no distrust reaches is allowed.  Null urls and urls
     without ``://`` have an empty host and path and, without a rule, the verdict
     allow.  Null html has no links.  Repeated rows stay.
 
@@ -120,9 +124,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, lift: float = 2.0, links: Da
     )
     votes = materialise(votes, "votes")
     edges = (host_links(pages) if links is None else links).unionByName(domain_links(votes.select("host")))
-    ranks = propagate(edges, votes)
+    ranks = propagate(edges, votes, scaled=False)
     scores = ranks.select("host", *(F.round(F.col(k) / F.nullif(F.col("usual"), F.lit(0.0)), 6).alias(k) for k in ("trust", "distrust")))
-    by_host = F.when((F.col("distrust") > lift) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0))), "block").otherwise("allow")
+    by_host = F.when((F.col("distrust") > lift * USUAL) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0))), "block").otherwise("allow")
     return judged.join(materialise(scores, "scores"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), "trust", "distrust")
 
 
