@@ -13,21 +13,30 @@ from pyspark.sql import types as T
 
 from ..tables import materialise, shared_path, shared_root
 
-__all__ = ["SPACE", "discard", "materialise", "partition_count", "shape", "shared_path", "shared_root", "slices", "task_number", "text_bytes", "text_key"]
+__all__ = ["SPACE", "discard", "free_name", "materialise", "partition_count", "shape", "shared_path", "shared_root", "slices", "task_number", "text_bytes", "text_key"]
 
 #: ``[\x20\x09-\x0D]``, the white space of all contracts here.
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later step reads."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/weftspark/" in folder and folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_root(spark)
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if "/weftspark/" in folder and folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partition_count(df: DataFrame) -> int:
@@ -51,7 +60,11 @@ def task_number() -> int:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that one slice holds about ``limit`` bytes of ``column``; a longer row is a slice alone."""
+    """Cut a batch so that one slice holds about ``limit`` bytes of ``column``; a longer row is a slice alone.
+
+    Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch``
+    (64 MB unless set), so that a batch of long texts is bounded too.
+    """
     start, size = 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
