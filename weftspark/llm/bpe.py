@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shape, slices
-from .pieces import SLICE, shared_memo
+from .pieces import SLICE, Memo, shared_memo
 
 _NEVER = 1 << 40
 
@@ -126,20 +126,22 @@ def _codec(ranks_path: str) -> PairCodec:
     return _codecs[ranks_path]
 
 
-def _pair_pieces(ranks_path: str) -> Callable[[list[str]], Iterable[bytes]]:
-    return _codec(ranks_path).encode_pieces
+def _pair_memo(ranks_path: str) -> Memo:
+    return Memo(_codec(ranks_path).encode_pieces)
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit token ids of the whole text.
 
-    Null and empty texts have no ids.  Other columns are kept as they are, save
-    that a column named ``ids`` is replaced; repeated rows stay.  One pass, no shuffle.
+    Null and empty texts have no ids.  Names of special tokens in a text are
+    text like any other.  Other columns are kept as they are, save that a column
+    named ``ids`` is replaced; repeated rows stay, an empty table has no rows, and
+    a text of any length is one value.  One pass, no shuffle.
     """
     keep = [c for c in docs.columns if c not in (text, "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = shared_memo(_pair_pieces, ranks_path)
+        memo = shared_memo(_pair_memo, ranks_path)
         for batch in batches:
             for part in slices(batch, text, SLICE):
                 ids = memo.encode([t or "" for t in part.column(text).to_pylist()])
@@ -171,7 +173,7 @@ def bpe_digest(docs: DataFrame, ranks_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, codec = shared_memo(_pair_pieces, ranks_path), _codec(ranks_path)
+        memo, codec = shared_memo(_pair_memo, ranks_path), _codec(ranks_path)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 rows = []

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, partition_count, shape, slices, task_number
-from .pieces import SLICE, library_pieces, shared_memo
+from .pieces import SLICE, largest_id, library_memo, shared_memo
 
 #: Width of the hashed vectors, dimensions and bits a dimension of the curve.
 WIDTH, DIMENSIONS, BITS = 256, 3, 10
@@ -69,29 +69,35 @@ class Projector:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, checksums: bool = False) -> DataFrame:
-    """Pieces of token sequences: doc_id, start, length, ids (little-endian unsigned 16-bit), doc_tokens, sequence_id, offset, curve_key.
+    """Pieces of token sequences: doc_id, start, length, ids (little-endian unsigned 16-bit, 32-bit beyond that), doc_tokens, sequence_id, offset, curve_key.
 
-    A document is its ids by the tokenizer's library and ``end_id``; null and
-    empty texts are ``end_id`` alone.  Repeated rows and rows that share a
-    doc_id, null included, are packed each on its own.  Extra columns are left
-    out.  Every id is in exactly one piece; sequences are full but the last.
-    With ``checksums``, ids_crc32 stands in place of ids.
+    A document is its ids by the tokenizer's library (added tokens in texts are
+    one id each) and ``end_id``; null and empty texts are ``end_id`` alone.
+    Repeated rows and rows that share a doc_id, null included, are packed each
+    on its own; documents at one place of the curve stand by doc_id, then as
+    read.  An empty table has no pieces.  A long text is tokenised whole, alone
+    in its slice.  Extra columns are left out whatever their names.  Every id is
+    in exactly one piece; sequences are full but the last.  With ``checksums``,
+    ids_crc32 stands in place of ids.
 
     Tokenising is one narrow pass, written once.  Only keys and counts are
     range-sorted to find where each document begins; ids then move in one
     shuffle at most.
     """
+    width = 2 if max(largest_id(tokenizer_path), end_id) < 1 << 16 else 4
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, projector = shared_memo(library_pieces, tokenizer_path), Projector()
-        end, row = np.array([end_id], "<u2").tobytes(), task_number() << 33
+        memo, projector = shared_memo(library_memo, tokenizer_path), Projector()
+        kind, row = np.dtype(f"<u{width}"), task_number() << 33
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for part in slices(batch, limit=SLICE):
-                ids = [x + end for x in memo.encode([t or "" for t in part.column("text").to_pylist()])]
-                keys = hilbert_key(projector.points([np.frombuffer(x, "<u2")[:-1] for x in ids]))
+                ids = memo.encode([t or "" for t in part.column("text").to_pylist()])
+                ids = [(x if memo.dtype == kind else np.frombuffer(x, memo.dtype).astype(kind).tobytes()) + end for x in ids]
+                keys = hilbert_key(projector.points([np.frombuffer(x, kind)[:-1] for x in ids]))
                 rows = pa.array(range(row, row + len(ids)), pa.int64())
                 row += len(ids)
-                yield pa.RecordBatch.from_arrays([rows, part.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "curve_key", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([rows, part.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "curve_key", "doc_tokens", "ids"])
 
     source = docs.select("doc_id", "text")
     made = source.mapInArrow(tokens, shape(source.select(F.lit(0).cast("long").alias("row"), "doc_id", F.lit(0).cast("long").alias("curve_key"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(b"").alias("ids"))))
@@ -100,7 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     joined = made.join(places, "row")
     kind = made.schema["doc_id"].dataType.simpleString()
     told = "ids_crc32 long" if checksums else "ids binary"
-    return joined.mapInArrow(_cutter(length, checksums), f"doc_id {kind}, start long, length long, {told}, doc_tokens long, sequence_id long, offset long, curve_key long")
+    return joined.mapInArrow(_cutter(length, width, checksums), f"doc_id {kind}, start long, length long, {told}, doc_tokens long, sequence_id long, offset long, curve_key long")
 
 
 def document_starts(made: DataFrame) -> DataFrame:
@@ -126,7 +132,7 @@ def document_starts(made: DataFrame) -> DataFrame:
     return placed.join(before, "part").select("row", (F.col("before") + F.col("within")).alias("begin"))
 
 
-def _cutter(length: int, checksums: bool):
+def _cutter(length: int, width: int, checksums: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ids"):
@@ -137,8 +143,8 @@ def _cutter(length: int, checksums: bool):
                     while at < n:
                         sequence, offset = divmod(begin + at, length)
                         size = min(n - at, length - offset)
-                        own = ids[2 * at : 2 * (at + size)]
-                        out.append((doc, at, size, wide_crc(own) if checksums else own, n, sequence, offset, key))
+                        own = ids[width * at : width * (at + size)]
+                        out.append((doc, at, size, wide_crc(own, width) if checksums else own, n, sequence, offset, key))
                         at += size
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * 8, [part.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64() if checksums else pa.binary(), *[pa.int64()] * 4], strict=True)],
@@ -148,9 +154,9 @@ def _cutter(length: int, checksums: bool):
     return run
 
 
-def wide_crc(ids: bytes) -> int:
-    """Crc32 of 16-bit ids as little-endian unsigned 32-bit ones."""
-    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+def wide_crc(ids: bytes, width: int = 2) -> int:
+    """Crc32 of ids of so many bytes as little-endian unsigned 32-bit ones."""
+    return zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
 
 
 def pack_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048) -> DataFrame:

@@ -25,19 +25,27 @@ def cut(text: str) -> list[str]:
 class Memo:
     """Token ids of texts, remembering those of pieces.
 
-    ``encode_pieces`` gets distinct pieces and returns their ids as bytes.  The
-    memo is emptied at ``limit`` entries, and pieces of over ``longest``
-    characters are not remembered: memory is bounded.
+    ``encode_pieces`` gets distinct pieces and returns their ids as bytes of
+    type ``dtype``.  Texts are cut at matches of ``added`` (one group) first,
+    each of which is a piece of its own.  The memo is emptied at ``limit``
+    entries, and pieces of over ``longest`` characters are not remembered:
+    memory is bounded.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000, longest: int = 64) -> None:
-        self.encode_pieces, self.limit, self.longest = encode_pieces, limit, longest
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], dtype: str = "<u4", added: re.Pattern | None = None, limit: int = 400_000, longest: int = 64) -> None:
+        self.encode_pieces, self.dtype, self.added, self.limit, self.longest = encode_pieces, np.dtype(dtype), added, limit, longest
         self.pieces: dict[str, bytes] = {}
 
+    def cut(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return cut(text)
+        parts = self.added.split(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else cut(part))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        known, parts = self.pieces, [cut(t) for t in texts]
+        known, parts = self.pieces, [self.cut(t) for t in texts]
         new: set[str] = set()
         for x in parts:
             new.update(x)
@@ -53,19 +61,37 @@ class Memo:
         return out
 
 
-def library_pieces(path: str, dtype: str = "<u2") -> Callable[[list[str]], Iterable[bytes]]:
-    """Encoder of distinct pieces by the tokenizers library; special tokens count as text.
-
-    Pieces that begin with a space are encoded as one text, where each begins
-    at a token that begins with a space; others one by one.
-    """
+def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    begins = np.zeros(tok.get_vocab_size() + 1, bool)
-    for token, i in tok.get_vocab().items():
+    return Tokenizer.from_file(path)
+
+
+def largest_id(path: str) -> int:
+    """The largest token id of a vocabulary."""
+    return max(_library(path).get_vocab(with_added_tokens=True).values())
+
+
+def library_memo(path: str) -> Memo:
+    """A memo that encodes as the tokenizers library does without its post-processor.
+
+    Added tokens (special ones too) are found in texts before anything else and
+    become one id each, the longest where several fit.  Ids are unsigned 16-bit
+    where the vocabulary allows, else 32-bit.  Pieces that begin with a space are
+    encoded as one text, where each begins at a token that begins with a space;
+    others one by one.
+    """
+    tok = _library(path)
+    extra = list(tok.get_added_tokens_decoder().values())
+    if any(t.lstrip or t.rstrip or t.single_word for t in extra):
+        raise ValueError("added tokens that take in what stands beside them are not supported")
+    names = sorted((t.content for t in extra if t.content), key=len, reverse=True)
+    added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+    vocab = tok.get_vocab(with_added_tokens=True)
+    dtype = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
+    begins = np.zeros(max(vocab.values()) + 1, bool)
+    for token, i in vocab.items():
         begins[i] = token.startswith("Ġ")
 
     def encode(pieces: list[str]) -> Iterable[bytes]:
@@ -82,7 +108,7 @@ def library_pieces(path: str, dtype: str = "<u2") -> Callable[[list[str]], Itera
         out.update(zip(rest, (np.array(e.ids, dtype).tobytes() for e in tok.encode_batch(rest, add_special_tokens=False)), strict=True))
         return [out[p] for p in pieces]
 
-    return encode
+    return Memo(encode, dtype, added)
 
 
 #: Texts that a memo takes at once, in bytes: their chunks are all held for that time.
@@ -90,9 +116,9 @@ SLICE = 2 << 20
 _memos: dict[tuple, Memo] = {}
 
 
-def shared_memo(make: Callable[[str], Callable[[list[str]], Iterable[bytes]]], path: str) -> Memo:
+def shared_memo(make: Callable[[str], Memo], path: str) -> Memo:
     """A worker's memo for a vocabulary: it outlives tasks, and stays within its limit."""
     key = make.__module__, make.__qualname__, path
     if key not in _memos:
-        _memos[key] = Memo(make(path))
+        _memos[key] = make(path)
     return _memos[key]

@@ -22,9 +22,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialise, partition_count, shape, shared_path, slices, task_number
-from .pieces import SLICE, library_pieces, shared_memo
+from .pieces import SLICE, largest_id, library_memo, shared_memo
 
 MAGIC = b"WVLT1\n"
 #: Bits between two stored counts of ones.
@@ -150,26 +152,31 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shard_tokens: int = 2_000_000, bits: int = 16) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
     """Write the ids of all texts, in ascending doc_id order, to shard files in ``folder``; return their manifest.
 
     Manifest: part, shard (both ascend with doc_id), path, documents, tokens,
-    bytes.  A document is its ids and ``end_id``; null and empty texts are
-    ``end_id`` alone.  Null doc_ids come first; rows that share a doc_id stand
-    side by side, by text.  A shard ends with the document that fills it.  A file
-    gets its name only when it is whole, and a repeated task makes the same
-    files: lost executors and second attempts do no harm.
+    bytes.  A document is its ids (added tokens in texts are one id each) and
+    ``end_id``; null and empty texts are ``end_id`` alone.  doc_id is an integer
+    or a string.  Null doc_ids come first; rows that share a doc_id, repeated
+    rows among them, stand side by side, by text, each with ids of its own.  An
+    empty table makes no file.  A shard ends with the document that fills it, so
+    one very long document makes a shard of its own length.  Extra columns are
+    left out.  A file gets its name only when it is whole, and a repeated task
+    makes the same files: lost executors and second attempts do no harm.
     """
+    most = max(largest_id(tokenizer_path), end_id)
+    bits, kind = max(1, most.bit_length()), "<u2" if most < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = shared_memo(library_pieces, tokenizer_path), np.array([end_id], "<u2").tobytes()
+        memo, end = shared_memo(library_memo, tokenizer_path), np.array([end_id], kind)
         store, base = _filesystem(folder)
         part, shard, tokens = task_number(), 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list = []
 
         def flush() -> pa.RecordBatch:
-            data = dump_shard(np.frombuffer(b"".join(ids), "<u2"), names, [len(x) // 2 for x in ids], bits)
+            data = dump_shard(np.concatenate(ids), names, [len(x) for x in ids], bits)
             path = f"{base}/shard-{part:06d}-{shard:06d}.wvlt"
             store.create_dir(base, recursive=True)
             with store.open_output_stream(draft := f"{path}.{uuid.uuid4().hex}") as out:
@@ -180,9 +187,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         for batch in batches:
             for piece in slices(batch, limit=SLICE):
                 for doc, x in zip(piece.column("doc_id").to_pylist(), memo.encode([t or "" for t in piece.column("text").to_pylist()]), strict=True):
-                    ids.append(x + end)
+                    ids.append(np.concatenate([np.frombuffer(x, memo.dtype).astype(kind, copy=False), end]))
                     names.append(doc)
-                    tokens += len(x) // 2 + 1
+                    tokens += len(ids[-1])
                     if tokens >= shard_tokens:
                         yield flush()
                         shard, tokens = shard + 1, 0
@@ -199,14 +206,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 _MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
 
-def read_shards(manifest: DataFrame, folder: str, checksums: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit; with ``checksums`` their ids_crc32) of every document, from the files."""
+def read_shards(manifest: DataFrame, folder: str, checksums: bool = False, doc_type: T.DataType = T.LongType()) -> DataFrame:  # noqa: B008
+    """doc_id (of ``doc_type``), start, n_tokens, ids (little-endian unsigned 32-bit; with ``checksums`` their ids_crc32) of every document, from the files."""
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     inside = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     placed = manifest.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(before, "part").select("path", (F.col("before") + F.col("inside")).alias("begin"))
 
-    name = "ids_crc32" if checksums else "ids"
+    name, doc_kind = "ids_crc32" if checksums else "ids", to_arrow_type(doc_type)
 
     def told(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
         own = (ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True))
@@ -222,13 +229,13 @@ def read_shards(manifest: DataFrame, folder: str, checksums: bool = False) -> Da
                 for i in range(0, len(docs), 500):
                     e = ends[i : i + 500]
                     s = e - lengths[i : i + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], pa.int64()), pa.array(begin + s), pa.array(e - s), told(ids, s, e)], names=["doc_id", "start", "n_tokens", name])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 500], doc_kind), pa.array(begin + s), pa.array(e - s), told(ids, s, e)], names=["doc_id", "start", "n_tokens", name])
 
     # one task for a few shards: files are small jobs of much work
-    return placed.repartition(partition_count(manifest), "path").mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'binary'}")
+    return placed.repartition(partition_count(manifest), "path").mapInArrow(run, f"doc_id {doc_type.simpleString()}, start long, n_tokens long, {name} {'long' if checksums else 'binary'}")
 
 
 def shards_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
     """Per document, as read back from the files: doc_id, start, n_tokens, ids_crc32."""
     folder = shared_path(docs.sparkSession, "wavelet")
-    return read_shards(write_shards(docs, tokenizer_path, folder, end_id, shard_tokens), folder, checksums=True)
+    return read_shards(write_shards(docs, tokenizer_path, folder, end_id, shard_tokens), folder, checksums=True, doc_type=docs.schema["doc_id"].dataType)
