@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, partition_count, shape, slices, task_number, text_bytes, text_key
+from .common import SPACE, free_name, materialise, partition_count, shape, slices, task_number, text_bytes, text_key
 
 _LINES = "doc_id {doc}, text_key long, n_lines long, position long, h1 long, h2 long"
 
@@ -110,6 +110,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     doc_id count as one document; a null doc_id is a document that sorts after
     all others.  Null and empty texts are one empty line.  Rows that repeat
     doc_id and text have one result row.  ``keep`` is null where all lines stay.
+    An empty table gives none.  A text or line of any length is read whole; only
+    hashes of lines are shuffled.  Other columns are ignored.
     """
     lines = materialise(line_keys(docs, min_chars), "lines")
     found = lines.filter("position >= 0").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "position", "h1", "h2")
@@ -117,9 +119,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     ordered = found.repartitionByRange(partition_count(docs), *order).sortWithinPartitions(*order)
     schema = ordered.select("*", F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("part"))
     streamed = materialise(ordered.mapInArrow(_first_runs, shape(schema)), "runs")
-    # At most two rows a partition: the smallest document that each saw of the hashes at its edges.
+    # At most two rows a shuffle partition, each of a few numbers: the smallest document that each saw of the hashes at
+    # its edges.  They go to all tasks, so that the waiting rows of a frequent line stay dealt as they are.
     edges = streamed.filter("kind = 2").groupBy("h1", "h2").agg(F.min(F.struct("no_id", "doc_id")).alias("owner"))
-    waiting = streamed.filter("kind = 1").join(edges, ["h1", "h2"]).filter(~F.col("owner.doc_id").eqNullSafe(F.col("doc_id")))
+    waiting = streamed.filter("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).filter(~F.col("owner.doc_id").eqNullSafe(F.col("doc_id")))
     dropped = streamed.filter("kind = 0").select("doc_id", "text_key", "position").unionByName(waiting.select("doc_id", "text_key", "position"))
     per_doc = dropped.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("position")).alias("gone")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "gone")
     each = lines.filter("position = -1").select("doc_id", "text_key", "n_lines").distinct()
@@ -148,10 +151,12 @@ def read_bitmap(keep: bytes | None, n_lines: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n_lines).astype(bool)
 
 
-def with_bitmaps(docs: DataFrame, maps: DataFrame) -> DataFrame:
-    """``docs`` with ``__n_lines``, ``__n_dropped``, ``__keep`` of their bitmaps; every row stays."""
-    right = maps.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("n_lines").alias("__n_lines"), F.col("n_dropped").alias("__n_dropped"), F.col("keep").alias("__keep"))
-    return docs.join(right, docs.doc_id.eqNullSafe(right["__d"]) & (text_key() == right["__k"]), "left").drop("__d", "__k")
+def with_bitmaps(docs: DataFrame, maps: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with the bitmap of each row, and the names of the new columns: number of lines, of dropped lines, bitmap.  Every row stays."""
+    n, gone, keep, doc, key = (free_name(docs, x) for x in ("__n_lines", "__n_dropped", "__keep", "__doc", "__key"))
+    right = maps.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("n_lines").alias(n), F.col("n_dropped").alias(gone), F.col("keep").alias(keep))
+    joined = docs.join(right, docs.doc_id.eqNullSafe(right[doc]) & (text_key() == right[key]), "left")
+    return joined.drop(doc, key), n, gone, keep
 
 
 def kept_text(text: bytes, keep: bytes | None) -> bytes:
@@ -162,26 +167,26 @@ def kept_text(text: bytes, keep: bytes | None) -> bytes:
 
 
 def keep_lines(docs: DataFrame, maps: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with only the lines that stay in ``text``; null texts stay null."""
+    """``docs`` with only the lines that stay in ``text``; null texts stay null, rows and other columns as they are."""
     names = docs.columns
-    joined = with_bitmaps(docs, maps)
+    joined, _, _, keep = with_bitmaps(docs, maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                new = [None if t is None else kept_text(t, k).decode() for t, k in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("__keep").to_pylist(), strict=True)]
+                new = [None if t is None else kept_text(t, k).decode() for t, k in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column(keep).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else part.column(c) for c in names], names=names)
 
-    return joined.select(*names, "__keep").mapInArrow(run, docs.schema)
+    return joined.select(*names, keep).mapInArrow(run, shape(docs))
 
 
 def line_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 of the text that its bitmap leaves."""
-    joined = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_chars))
+    joined, n, gone, keep = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sha = [hashlib.sha256(kept_text(t, k)).hexdigest() for t, k in zip(text_bytes(batch), batch.column("__keep").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__n_lines"), batch.column("__n_dropped"), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            sha = [hashlib.sha256(kept_text(t, k)).hexdigest() for t, k in zip(text_bytes(batch), batch.column(keep).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(n), batch.column(gone), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return joined.mapInArrow(run, shape(joined.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.lit("").alias("kept_sha256"))))
+    return joined.mapInArrow(run, shape(joined.select("doc_id", F.col(n).alias("n_lines"), F.col(gone).alias("n_dropped"), F.lit("").alias("kept_sha256"))))
