@@ -18,8 +18,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Candidate strings: long runs of these characters with a digit in them.
+#: Candidate strings: long runs of these characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A stretch worth a look: it has a digit, or small and large letters mixed more than names written in humps have them.
+_DIGIT = re.compile(r"[0-9]")
+_HUMPS = re.compile(r"[A-Z]?[a-z]+(?:[A-Z]{1,4}[a-z]{2,})*[A-Z]{0,4}|[A-Z]+")
 #: Classes, narrowest first: what a string is made of, and bits a character that a window must reach.
 CLASSES = ((re.compile(r"[0-9a-fA-F]+"), 3.0), (re.compile(r"[A-Z0-9]+"), 3.5), (re.compile(r"[A-Za-z0-9]+"), 3.7), (re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8))
 #: Strings that look random but are known to be harmless.
@@ -73,15 +76,52 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Stretches of high entropy in candidate strings that no pattern touches and no allow-list entry covers."""
+def _free(at: int, end: int, base: list[tuple[int, int, int]], place: int) -> tuple[list[tuple[int, int]], int]:
+    """Stretches of [at, end) outside of ``base``, and the first of its spans that may reach beyond; spans before ``place`` end before ``at``."""
     out = []
+    while place < len(base) and base[place][2] <= at:
+        place += 1
+    k = place
+    while k < len(base) and base[k][0] < end:
+        if base[k][0] > at:
+            out.append((at, base[k][0]))
+        at = max(at, base[k][2])
+        k += 1
+    if at < end:
+        out.append((at, end))
+    return out, place
+
+
+def merged(base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in order of their start, those that overlap as one."""
+    out: list[tuple[int, int, int]] = []
+    for a, k, b in base:
+        if out and a < out[-1][2]:
+            out[-1] = out[-1][0], out[-1][1], max(b, out[-1][2])
+        else:
+            out.append((a, k, b))
+    return out
+
+
+def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches of high entropy in candidate strings, outside of what patterns match and of what the allow-list covers.
+
+    What patterns match is cut out of a candidate and the rest still scanned.
+    Both run through the text once.
+    """
+    out, place, known = [], 0, merged(base)
     for m in CANDIDATE.finditer(text):
-        s, at = m[0], m.start()
-        if not any(c in s for c in "0123456789") or any(a.fullmatch(s) for a in ALLOWED) or any(b < m.end() and at < e for b, _, e in base):
+        if any(a.fullmatch(m[0]) for a in ALLOWED):
             continue
-        least = next(bits for kind, bits in CLASSES if kind.fullmatch(s))
-        out += [(at + a, 3, at + b) for a, b in entropy_windows(s, least)]
+        free, place = _free(m.start(), m.end(), known, place)
+        for at, end in free:
+            s = text[at:end]
+            if len(s) < WINDOW or any(a.fullmatch(s) for a in ALLOWED):
+                continue
+            if not _DIGIT.search(s) and all(_HUMPS.fullmatch(x) for x in re.split(r"[+/_=-]+", s) if x):
+                continue
+            least = next(bits for kind, bits in CLASSES if kind.fullmatch(s))
+            out += [(at + a, 3, at + b) for a, b in entropy_windows(s, least)]
     return out
 
 
@@ -93,8 +133,10 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with n_assign, n_access, n_hex, n_entropy, base_spans and spans of the whole texts.
 
     Places are code points, ends exclusive.  Null and empty texts have none;
-    rows are judged one by one, repeated ones alike.  A window counts when its
-    characters' entropy reaches its class's bits.  One pass, no shuffle.
+    rows are judged one by one, repeated ones alike; an empty table has no rows.
+    A window counts when its characters' entropy reaches its class's bits.  A text
+    or string of any length is scanned whole, in time that grows with it.  Columns
+    of ``docs`` named like a result give way to it.  One pass, no shuffle.
     """
     names = ["n_assign", "n_access", "n_hex", "n_entropy", "base_spans", "spans"]
     keep = [c for c in docs.columns if c not in (text, *names)]
