@@ -68,35 +68,67 @@ def read_marked(formatted: str) -> list[Turn]:
     return turns
 
 
-def render(turns: list[Turn], template: Template = marked) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """The conversation's text, each turn's (start, end, text_start, text_end) in it, and whether the template rewrites history.
+Span = tuple[int, int, int, int]
+#: Turns that are rendered again and again with what came before, where a template allows it.
+BLOCK = 16
+
+
+def _prefixes(turns: list[Turn], template: Template) -> tuple[str, list[Span]] | None:
+    """The text and each turn's place in it by rendering ever longer beginnings; None if one is rewritten by a later one.
 
-    Each turn costs one rendering of what came so far and one with a probe for
-    its text.  After a rewrite, turns are sought by probes in the whole.
+    Each turn costs one rendering of what came so far and one with a probe for its text.
     """
-    before, spans, rewrites = template([]), [], False
+    before, spans = template([]), []
     for i in range(len(turns)):
         now = template(turns[: i + 1])
-        if not now.startswith(before):
-            rewrites = True
-            break
         probe = template([*turns[:i], (turns[i][0], _PROBE)])
         at = probe.find(_PROBE, len(before))
-        if at < 0 or not probe.startswith(before):
-            rewrites = True
-            break
-        after = len(probe) - at - len(_PROBE)
-        spans.append((len(before), len(now), at, len(now) - after))
+        if not now.startswith(before) or at < 0 or not probe.startswith(before):
+            return None
+        spans.append((len(before), len(now), at, len(now) - (len(probe) - at - len(_PROBE))))
         before = now
-    if rewrites:
-        before, spans = template(turns), []
-        for i, (role, _) in enumerate(turns):
-            probe = template([*turns[:i], (role, _PROBE), *turns[i + 1 :]])
-            at = probe.find(_PROBE)
-            # A turn that the template leaves out has no place.
-            end = len(before) - (len(probe) - at - len(_PROBE)) if at >= 0 else -1
-            spans.append((at, end, at, end))
-    return before, spans, rewrites
+    return before, spans
+
+
+def _in_blocks(turns: list[Turn], template: Template) -> tuple[str, list[Span]] | None:
+    """The same block by block; None unless the blocks' texts, put together, are the whole conversation's.
+
+    A template may open every text with something of its own, ``template([])``: it counts once.
+    """
+    head = template([])
+    out, spans, size = [head], [], len(head)
+    for i in range(0, len(turns), BLOCK):
+        done = _prefixes(turns[i : i + BLOCK], template)
+        if done is None or not done[0].startswith(head):
+            return None
+        move = size - len(head)
+        spans += [tuple(x + move for x in s) for s in done[1]]
+        out.append(done[0][len(head) :])
+        size += len(out[-1])
+    text = "".join(out)
+    return (text, spans) if text == template(turns) else None
+
+
+def render(turns: list[Turn], template: Template = marked) -> tuple[str, list[Span], bool]:
+    """The conversation's text, each turn's (start, end, text_start, text_end) in it, and whether the template rewrites history.
+
+    Beginnings within blocks of turns are rendered and compared.  That stands if
+    the blocks' texts together are what the template makes of the whole: work
+    then grows with the conversation.  Otherwise (turn numbers, say) beginnings
+    of the whole conversation are, which costs the square of its length.  After a
+    rewrite, turns are sought by probes in the whole.
+    """
+    done = _in_blocks(turns, template) or _prefixes(turns, template)
+    if done:
+        return *done, False
+    whole, spans = template(turns), []
+    for i, (role, _) in enumerate(turns):
+        probe = template([*turns[:i], (role, _PROBE), *turns[i + 1 :]])
+        at = probe.find(_PROBE)
+        # A turn that the template leaves out has no place.
+        end = len(whole) - (len(probe) - at - len(_PROBE)) if at >= 0 else -1
+        spans.append((at, end, at, end))
+    return whole, spans, True
 
 
 _SPAN = pa.struct([("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64())])
@@ -106,10 +138,12 @@ def format_chats(conversations: DataFrame, template: Template = marked) -> DataF
     """One row per conversation: conv_id, formatted, spans (role, start, end, text_start, text_end in code points), rewrites.
 
     Turns are taken by turn (null first), then role and text, so that repeated
-    turns all stay in a defined order.  Null roles and texts are empty; rows
-    without conv_id are one conversation.  Extra columns are ignored.  Rows are
-    dealt by conversation and streamed; one conversation at a time is in memory,
-    for its formatted text is one value of the result.
+    turns all stay in a defined order, turns of one number too.  Null roles and
+    texts are empty; rows without conv_id are one conversation; an empty table has
+    none.  Extra columns are ignored.  Rows are dealt by conversation and
+    streamed; one conversation at a time is in memory, for its formatted text is
+    one value of the result.  So a conversation may be as long as one value may
+    be, and is one task's work, in proportion to its length (see :func:`render`).
     """
     turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = turns.repartition(partition_count(conversations), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -145,9 +179,10 @@ def _chats(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """Per conversation, read back from its formatted text: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """Per conversation, read back from its formatted text: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites.
 
-    The loss mask is the texts of assistants.
+    The loss mask is the texts of assistants.  ``rewrites``: whether the template
+    was found to change what it had written before.
     """
     formatted = format_chats(conversations)
 
@@ -161,10 +196,10 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
                 rows.append((len(turns), _sha(told), len(loss), _sha(loss), len(text)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), batch.column("rewrites")], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"])
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
 
 
 def _sha(text: str) -> str:
