@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, shape, slices, text_bytes
+from .common import SPACE, free_name, materialise, shape, slices, text_bytes, text_key
 
 #: Fixed value of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -147,31 +147,37 @@ def certified_cutoffs(labelled: DataFrame, stratum: str, rules: tuple[Rule, ...]
     least, in every stratum at once, all rules together falsely reject at most
     ``risk`` of such good documents.  Strata with too few good documents to
     certify even a cutoff that rejects none are tested, and hold the risk, as one.
-    Only counts by stratum and place in the chain are gathered.
+    Null is a stratum of its own.  Only counts by stratum and place in the chain
+    are gathered; strata may be many, none of them meets in one task.
     """
     chain = chain_of(rules)
-    least = lambda strata: F.ceil(F.log(F.lit(float(error)) / strata) / math.log(1 - risk))
     # The first place in the chain that rejects a document: all stricter vectors do so too.
     first = F.least(F.lit(len(chain)), *(F.when(_beyond(r, F.lit(c)), F.lit(at)) for at, (r, c) in enumerate(chain)))
-    counts = materialise(labelled.filter("good").groupBy(stratum, first.alias("place")).agg(F.count(F.lit(1)).alias("k")), "places")
-    sizes = counts.groupBy(stratum).agg(F.sum("k").alias("n"))
-    everywhere = W.partitionBy(F.lit(0))
-    sizes = sizes.withColumn("alone", F.col("n") >= least(F.count(F.lit(1)).over(everywhere)))
+    counts = labelled.filter("good").groupBy(F.struct(F.col(stratum)).alias("s"), first.alias("place")).agg(F.count(F.lit(1)).alias("k"))
+    counts = materialise(counts, "places")
+    sizes = counts.groupBy("s").agg(F.sum("k").alias("n"))
+    strata = sizes.count()
     # Which strata are one is told by their sizes alone, never by what would be rejected.
-    sizes = sizes.withColumn("tested", F.when(F.col("alone"), F.struct("alone", stratum)).otherwise(F.struct("alone", F.lit(None).cast("string").alias(stratum))))
-    groups = sizes.groupBy("tested").agg(F.sum("n").alias("n")).withColumn("groups", F.count(F.lit(1)).over(everywhere))
-    by_place = counts.join(sizes.select(stratum, "tested"), stratum).groupBy("tested", "place").agg(F.sum("k").alias("k"))
+    least = math.ceil(math.log(error / max(strata, 1)) / math.log(1 - risk))
+    alone = F.col("n") >= least
+    sizes = materialise(sizes.select("s", "n", F.struct(alone.alias("alone"), F.when(alone, F.col("s")).alias("s")).alias("tested")), "strata")
+    pooled = sizes.agg(F.count_if("tested.alone").alias("alone"), F.max(F.when(~F.col("tested.alone"), F.lit(1))).alias("pooled")).first()
+    tests = (pooled["alone"] or 0) + (pooled["pooled"] or 0)
+    groups = sizes.groupBy("tested").agg(F.sum("n").alias("n"))
+    by_place = counts.join(sizes.select("s", "tested"), counts.s.eqNullSafe(sizes.s)).groupBy("tested", "place").agg(F.sum("k").alias("k"))
     steps = F.array(*(F.struct(F.lit(at).alias("place"), F.lit(r.name).alias("rule"), F.lit(c).alias("cutoff")) for at, (r, c) in enumerate(chain)))
     so_far = W.partitionBy("tested").orderBy("place")
-    told = groups.select("*", F.inline(steps)).join(by_place, ["tested", "place"], "left").withColumn("k", F.coalesce(F.sum("k").over(so_far), F.lit(0)))
+    rows = groups.select("tested", "n", F.inline(steps))
+    t, p = by_place.select(F.col("tested").alias("t"), F.col("place").alias("p"), "k"), rows
+    told = p.join(t, p.tested.eqNullSafe(t.t) & (p.place == t.p), "left").drop("t", "p").withColumn("k", F.coalesce(F.sum("k").over(so_far), F.lit(0)))
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([binomial_tail(int(a), int(b), risk) for a, b in zip(k, n, strict=True)])
 
-    passed = told.withColumn("passed", tail("k", "n") <= F.lit(error) / F.col("groups"))
-    found = passed.withColumn("all", F.min("passed").over(so_far)).filter("all").groupBy("tested", "rule").agg(F.max_by("cutoff", "place").alias("cutoff"))
-    return sizes.join(found, "tested").select(stratum, "rule", "cutoff")
+    passed = told.withColumn("passed", tail("k", "n") <= F.lit(error / max(tests, 1)))
+    found = passed.withColumn("all", F.min("passed").over(so_far)).filter("all").groupBy("tested", "rule").agg(F.max_by("cutoff", "place").alias("cutoff")).withColumnRenamed("tested", "t")
+    return sizes.join(found, sizes.tested.eqNullSafe(found.t)).select(F.col(f"s.{stratum}").alias(stratum), "rule", "cutoff")
 
 
 def _beyond(rule: Rule, cutoff: F.Column) -> F.Column:
@@ -183,20 +189,24 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tupl
     """Per row of ``docs``: doc_id, the measures, base_failed, rejected_by (names of rules), kept.
 
     Null texts count as empty and fail the base rules.  A null stratum is a
-    stratum.  Of several labels of one doc_id the best counts; labels of unknown
-    documents and null labels are left out.  Repeated rows are judged alike.
+    stratum, and not that of empty names.  Of several labels of one doc_id the
+    best counts; labels of unknown documents and null labels are left out.
+    Repeated rows are judged alike.  For the holdout, rows of one stratum with the
+    same text are one trial, good if any of them is: copies tell nothing new.
     Where labels are too few to certify anything, even with all small strata as
     one, nothing but the base rules rejects; so too in a stratum without any
-    good label.  Extra columns are ignored.
+    good label, and without labels at all.  An empty table gives none.  A text of
+    any length is measured whole.  Extra columns are ignored, whatever their names.
     """
-    found = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("__stratum"), "text")
-    found = materialise(measures(found, ["doc_id", "__stratum"]).withColumn("base_failed", base_failed()), "measures")
+    found = docs.select("doc_id", F.col(stratum).cast("string").alias("__stratum"), text_key().alias("__text"), "text")
+    found = materialise(measures(found, ["doc_id", "__stratum", "__text"]).withColumn("base_failed", base_failed()), "measures")
     best = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
     holdout = found.filter("not base_failed").join(best, "doc_id")
+    holdout = holdout.groupBy("__stratum", "__text").agg(F.max("good").alias("good"), *(F.first(m).alias(m) for m in MEASURES))
     cutoffs = materialise(certified_cutoffs(holdout, "__stratum", rules, risk, error), "cutoffs")
-    wide = cutoffs.groupBy("__stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"__{r.name}") for r in rules))
+    wide = cutoffs.groupBy("__stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"__{r.name}") for r in rules)).withColumnRenamed("__stratum", "__s")
     names = F.array_compact(F.array(*(F.when(_beyond(r, F.col(f"__{r.name}")), F.lit(r.name)) for r in rules)))
-    told = found.join(wide, "__stratum", "left").withColumn("rejected_by", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(names))
+    told = found.join(wide, found["__stratum"].eqNullSafe(wide["__s"]), "left").withColumn("rejected_by", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(names))
     return told.select("doc_id", *MEASURES, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
 
 
@@ -209,7 +219,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows that :func:`judge` rejects.
 
     Verdicts are joined by doc_id; of rows that share one, or have none, each is
-    kept if any row of that doc_id is.
+    kept if any row of that doc_id is.  Columns stay as they are.
     """
-    kept = judge(docs, labels, **how).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__kept"]), "left_semi")
+    kept = judge(docs, labels, **how).filter("kept").select(F.col("doc_id").alias(name := free_name(docs, "__kept"))).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept[name]), "left_semi")
