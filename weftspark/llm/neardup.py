@@ -7,28 +7,33 @@ pairs that may be similar enough make clusters, and within a cluster pairs are
 compared on their full sets, so every link is exact.  Components come from links
 by large and small stars.
 
-No bucket is given up or cut short: large buckets and clusters are dealt as
-pairs of blocks, and tasks tell only the links that join something, so that
-rows grow with documents and not with pairs.
+No bucket is given up or cut short.  In buckets as in clusters, members are first
+compared with one of them, dealt by number and bytes: that joins most of a group
+of copies in time that grows with it.  Only what is still apart is then compared
+pair by pair, in pairs of blocks of bounded bytes, and tasks tell only the links
+that join something, so that rows grow with documents and not with pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, materialise, partition_count, shape, slices, text_bytes
+from .common import discard, free_name, materialise, partition_count, shape, slices, text_bytes
 
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 2
-#: Members of a block of a large bucket.
-BLOCK = 2048
+#: Most members, about, and bytes of a block: two blocks are in a task's memory at a time.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Rounds in which the members that are still alone are compared with one of them, before blocks are.
+PIVOTS = 2
 _RNG = np.random.default_rng(20_011)
 _MULTIPLY = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -93,6 +98,11 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
+def near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are similar by estimate."""
+    return estimates(a, b) >= least
+
+
 def least_estimate(similarity: float, deviations: float = 4.0) -> float:
     """What a pair's estimate reaches but in one case of 30,000, if the pair is this similar."""
     chance = 2.0**-BITS
@@ -126,22 +136,89 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, signature binary, bands array<long>")
 
 
-def _stars(sigs: np.ndarray, least: float) -> np.ndarray:
-    """For each row, the first row that it reaches over pairs similar by estimate."""
-    n = len(sigs)
-    near = np.empty((n, n), bool)
-    for i in range(0, n, 256):
-        near[i : i + 256] = estimates(sigs[i : i + 256], sigs) >= least
-    np.fill_diagonal(near, True)
-    label = np.arange(n)
-    while True:
-        new = np.empty_like(label)
-        for i in range(0, n, 256):
-            new[i : i + 256] = np.where(near[i : i + 256], label, n).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def _signatures(members: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(m[1] for m in members), np.uint64).reshape(len(members), -1)
+
+
+class ByEstimate:
+    """Members of buckets, (id, signature), are similar by estimate alone."""
+
+    columns = ("signature",)
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+
+    def to_one(self, pivot: tuple, members: list[tuple]) -> np.ndarray:
+        return near(_signatures(members), _signatures([pivot]), self.least)[:, 0]
+
+    def links(self, members: list[tuple], comps: list) -> list[tuple]:
+        """Links between ``comps``: each comp to the first that it reaches over similar members."""
+        numbers: dict = {}
+        own = np.array([numbers.setdefault(c, len(numbers)) for c in comps])
+        sigs, label = _signatures(members), np.arange(len(numbers))
+        close = np.concatenate([near(sigs[i : i + 256], sigs, self.least) for i in range(0, len(sigs), 256)])
+        np.fill_diagonal(close, True)
+        while True:
+            now = label[own]
+            low = np.concatenate([np.where(close[i : i + 256], now, len(now)).min(axis=1) for i in range(0, len(now), 256)])
+            new = label.copy()
+            np.minimum.at(new, own, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        first = {c: m[0] for m, c in zip(reversed(members), reversed(own.tolist()), strict=True)}
+        return [(first[a], first[c]) for c, a in enumerate(label.tolist()) if a != c]
+
+
+class BySets:
+    """Members of clusters, (id, signature, hashes), are similar by their full sets; estimates only spare comparisons."""
+
+    columns = ("signature", "hashes")
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.least = percent, least_estimate(percent / 100)
+
+    def _alike(self, x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < self.percent * max(len(x), len(y)):
+            return False
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common > 0 and 100 * common >= self.percent * (len(x) + len(y) - common)
+
+    def to_one(self, pivot: tuple, members: list[tuple]) -> np.ndarray:
+        close, one = near(_signatures(members), _signatures([pivot]), self.least)[:, 0], np.frombuffer(pivot[2], np.uint64)
+        return np.array([c and self._alike(one, np.frombuffer(m[2], np.uint64)) for c, m in zip(close.tolist(), members, strict=True)], bool)
+
+    def links(self, members: list[tuple], comps: list) -> list[tuple]:
+        """Links that hold the comps together: pairs in order of their estimate, compared unless already joined."""
+        sets, sigs = [np.frombuffer(m[2], np.uint64) for m in members], _signatures(members)
+        counts = np.array([len(x) for x in sets])
+        numbers: dict = {}
+        own = np.array([numbers.setdefault(c, len(numbers)) for c in comps])
+        root = list(range(len(numbers)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i in range(0, len(sets), 256):
+            rows = slice(i, i + 256)
+            est = estimates(sigs[rows], sigs)
+            low, high = np.minimum(counts[rows, None], counts[None, :]), np.maximum(counts[rows, None], counts[None, :])
+            apart = (own[rows, None] != own[None, :]) & (np.arange(len(sets))[None, :] < np.arange(i, i + len(est))[:, None])
+            r, c = np.nonzero((est >= self.least) & apart & (100 * low >= self.percent * high))
+            found.append((c, r + i, est[r, c]))
+        a, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
+        links = []
+        for k in np.argsort(-e, kind="stable").tolist():
+            p, q = find(int(own[a[k]])), find(int(own[b[k]]))
+            if p != q and self._alike(sets[a[k]], sets[b[k]]):
+                root[q] = p
+                links.append((members[a[k]][0], members[b[k]][0]))
+        return links
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rest: list[str]) -> Iterator[list[tuple]]:
@@ -158,58 +235,142 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rest: list[str])
         yield group
 
 
-def _link_batches(groups: Iterator[list[tuple]], links_of: Callable[[list[tuple]], list[tuple]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    found: dict[tuple, None] = {}
-    for group in groups:
-        if len(group) > 1:
-            found.update(dict.fromkeys(links_of(group)))
-        if len(found) > 50_000:
-            yield _link_batch(list(found), kind)
-            found = {}
-    yield _link_batch(list(found), kind)
+def _weight(columns: tuple[str, ...]) -> F.Column:
+    return F.sum(sum((F.octet_length(c) for c in columns), F.lit(0)).cast("long")).alias("bytes")
 
 
-def _link_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind)], names=["a", "b"])
+def _shares() -> F.Column:
+    """How many blocks so many members of so many bytes make."""
+    return F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def _met_one(rows: DataFrame, key: str, how: ByEstimate | BySets) -> DataFrame:
+    """(key, id, comp): of each key the members similar to that of smallest id, which is their comp; itself too, and all rows of its id."""
+    # Written: sizes are summed up within tasks, and the join of a key with many rows can be split (AQE).
+    sizes = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), _weight(how.columns), F.min("id").alias("pivot")).filter("n > 1"), "sizes")
+    placed = rows.join(sizes, key)
+    first = F.col("id") == F.col("pivot")
+    share = F.when(first, F.sequence(F.lit(0), _shares() - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), _shares()).cast("int")))
+    dealt = placed.select(key, F.explode(share).alias("share"), (~first).alias("later"), "id", *how.columns)
+    dealt = dealt.repartition(partition_count(rows), key, "share").sortWithinPartitions(key, "share", "later", "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, pivot = None, None
+        for batch in batches:
+            at = list(zip(batch.column(key).to_pylist(), batch.column("share").to_pylist(), strict=True))
+            members = list(zip(batch.column("id").to_pylist(), *(batch.column(c).to_pylist() for c in how.columns), strict=True))
+            comp: list = [None] * len(at)
+            i = 0
+            while i < len(at):
+                if at[i] != here:
+                    here, pivot = at[i], members[i]
+                end = i + 1
+                while end < len(at) and at[end] == here:
+                    end += 1
+                for k, met in enumerate(how.to_one(pivot, members[i:end]).tolist(), i):
+                    if met or members[k][0] == pivot[0]:
+                        comp[k] = pivot[0]
+                i = end
+            out = pa.RecordBatch.from_arrays([batch.column(key), batch.column("id"), pa.array(comp, batch.column("id").type)], names=[key, "id", "comp"])
+            yield out.filter(pa.array([c is not None for c in comp], pa.bool_()))
+
+    found = dealt.mapInArrow(run, shape(dealt.select(key, "id", F.col("id").alias("comp"))))
+    met = materialise(found.distinct(), "met")
+    discard(sizes)
+    return met
+
+
+def links_within(rows: DataFrame, key: str, how: ByEstimate | BySets) -> DataFrame:
+    """(a, b): links that join what similar members of each ``key`` of ``rows`` (key, id and the columns of ``how``; written) hold together.
+
+    No pair of members stays unknown but of those that are joined already.
+    """
+    left, links, comps, rounds = rows, None, None, []
+    for _ in range(PIVOTS):
+        met = _met_one(left, key, how)
+        rounds.append(met)
+        new = met.select(F.col("comp").alias("a"), F.col("id").alias("b")).filter("a <> b")
+        links = new if links is None else links.unionByName(new)
+        comps = met if comps is None else comps.unionByName(met)
+        left = left.join(comps.select(key, "id"), [key, "id"], "left_anti")
+    # Keys whose members are not all in one comp.
+    state = materialise(rows.select(key, "id").distinct().join(comps, [key, "id"], "left").select(key, "id", F.coalesce("comp", "id").alias("comp")), "comps")
+    several = materialise(state.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(key), "apart")
+    apart = rows.join(several, key, "left_semi").join(state, [key, "id"])
+    apart = materialise(apart, "apart-rows")
+    # Members of one large comp are not compared with each other; small comps are blocks together.
+    sizes = materialise(apart.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"), _weight(how.columns)), "comp-sizes")
+    large = (F.col("n") > BLOCK // 4) | (F.col("bytes") > BLOCK_BYTES // 4)
+    owner = F.when(large, F.col("comp").cast("string")).otherwise("")
+    kinds = sizes.select(key, "comp", large.alias("large"), F.concat(F.when(large, "1").otherwise("0"), owner).alias("kind"), "n", "bytes")
+    blocks = kinds.groupBy(key, "kind").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("large").alias("large")).withColumn("blocks", _shares())
+    blocks = materialise(blocks.select(key, "kind", "large", "blocks"), "blocks")
+    each = blocks.select(key, "kind", "large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    code = F.concat_ws("/", "k", "kind")
+    one, two = (each.select(key, code.alias(c), F.col("kind").alias(f"kind_{c}"), F.col("large").alias(f"large_{c}")) for c in ("i", "j"))
+    pairs = one.join(two, key).filter("i <= j and not (large_i and large_j and kind_i = kind_j)").select(key, "i", "j")
+    sides = materialise(pairs.select(key, F.col("i").alias("code"), "i", "j").unionByName(pairs.filter("i <> j").select(key, F.col("j").alias("code"), "i", "j")), "sides")
+    coded = apart.join(kinds.select(key, "comp", "kind"), [key, "comp"]).join(blocks.select(key, "kind", "blocks"), [key, "kind"])
+    coded = coded.withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select(key, code.alias("code"), "id", "comp", *how.columns)
+    dealt = coded.join(sides, [key, "code"]).repartition(partition_count(rows), key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+    kind = to_arrow_type(rows.schema["id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, None] = {}
+        for group in _groups(batches, [key, "i", "j"], ["comp", "id", *how.columns]):
+            comps = [m[0] for m in group]
+            if len(set(comps)) > 1:
+                found.update(dict.fromkeys(how.links([m[1:] for m in group], comps)))
+            if len(found) > 50_000:
+                yield _link_batch(list(found), kind)
+                found = {}
+        yield _link_batch([x for x in found if x[0] != x[1]], kind)
+
+    last = materialise(dealt.mapInArrow(run, shape(rows.select(F.col("id").alias("a"), F.col("id").alias("b")))), "links")
+    out = materialise(links.unionByName(last), "links")
+    discard(state, several, apart, sizes, blocks, sides, last, *rounds)
+    return out
 
-def _dealt(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
-    """``rows`` (with ``id``) of each ``key`` as pairs (i, j) of blocks, so that any two rows meet in a pair and no task gets a whole large group."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    named = rows.join(sizes, key).withColumn("blocks", blocks).withColumn("block", own)
-    return named.select(*rows.columns, "block", other).select(*rows.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).repartition(partition_count(rows), key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+
+def _link_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind)], names=["a", "b"])
 
 
 def shared_bands(nodes: DataFrame) -> DataFrame:
-    """(band, id) of the bands that two or more of ``nodes`` (id, bands) have: one shuffle, streamed in order of bands."""
+    """(band, id) of the bands that two or more of ``nodes`` (id, bands) have, and a few of others: one shuffle, streamed in order.
+
+    Range-partitioned by band and id, so that a band of many nodes fills several
+    partitions.  Whether the rows at a partition's edges have neighbours beyond
+    is not known here: they are told.
+    """
     each = nodes.select(F.explode("bands").alias("band"), "id")
-    ordered = each.repartition(partition_count(nodes), "band").sortWithinPartitions("band", "id")
+    ordered = each.repartitionByRange(partition_count(nodes), "band", "id").sortWithinPartitions("band", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far, and whether it has a neighbour of its band
+        held, band_before = None, None  # the last row so far, not told yet, and the band before it
         for batch in batches:
             if not batch.num_rows:
                 continue
             band = batch.column("band").to_numpy()
-            same = band[1:] == band[:-1]
             keep = np.zeros(len(band), bool)
+            same = band[1:] == band[:-1]
             keep[1:] |= same
             keep[:-1] |= same
-            if held is not None:
-                if held[0].column("band")[0].as_py() == band[0]:
-                    keep[0] = True
-                    yield held[0]
-                elif held[1]:
-                    yield held[0]
+            if held is None:
+                keep[0] = True
+            else:
+                last = held.column("band")[0].as_py()
+                keep[0] |= last == band[0]
+                if band_before is None or last in (band_before, band[0]):
+                    yield held
             yield batch.slice(0, len(band) - 1).filter(pa.array(keep[:-1]))
-            held = batch.slice(len(band) - 1), bool(keep[-1])
-        if held is not None and held[1]:
-            yield held[0]
+            if len(band) > 1:
+                band_before = int(band[-2])
+            elif held is not None:
+                band_before = last
+            held = batch.slice(len(band) - 1)
+        if held is not None:
+            yield held
 
     return ordered.mapInArrow(run, shape(each))
 
@@ -217,74 +378,35 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
 def candidate_clusters(nodes: DataFrame, least: float) -> DataFrame:
     """id, label: groups of nodes that chains of pairs similar by estimate hold together; nodes alone are left out."""
     buckets = materialise(shared_bands(nodes), "buckets")
-    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    members = buckets.join(nodes.select("id", "signature"), "id")
-    kind = _ARROW[nodes.schema["id"].dataType.simpleString()]
-
-    def stars(group: list[tuple]) -> list[tuple]:
-        label = _stars(np.frombuffer(b"".join(s for _, s in group), np.uint64).reshape(len(group), -1), least)
-        return [(group[a][0], group[b][0]) for b, a in enumerate(label.tolist()) if group[a][0] != group[b][0]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _link_batches(_groups(batches, ["band", "i", "j"], ["id", "signature"]), stars, kind)
-
-    found = components(_dealt(members, "band", sizes, BLOCK).mapInArrow(run, f"a {nodes.schema['id'].dataType.simpleString()}, b {nodes.schema['id'].dataType.simpleString()}"))
+    members = materialise(buckets.join(nodes.select("id", "signature"), "id").select("band", "id", "signature"), "members")
+    links = links_within(members, "band", ByEstimate(least))
+    found = components(links)
+    discard(buckets, members, links)
     return found.unionByName(found.select(F.col("label").alias("id"), "label").distinct())
 
 
-def _exact_links(group: list[tuple], size: int, percent: int, least: float, known: dict[bytes, int]) -> list[tuple]:
-    """Links that hold the linked texts of a group (id, text) together: pairs in order of their estimate, compared on full sets unless already joined."""
-    sets = [shingle_set(t or b"", known, size) for _, t in group]
-    sigs = np.frombuffer(b"".join(packed(minima(s)) for s in sets), np.uint64).reshape(len(sets), -1)
-    counts = np.array([len(s) for s in sets])
-    a, b, e = [], [], []
-    for i in range(0, len(sets), 256):
-        est = estimates(sigs[i : i + 256], sigs)
-        lo = np.minimum(counts[i : i + 256, None], counts[None, :])
-        hi = np.maximum(counts[i : i + 256, None], counts[None, :])
-        r, c = np.nonzero((est >= least) & (np.arange(len(sets))[None, :] < np.arange(i, i + len(est))[:, None]) & (100 * lo >= percent * hi))
-        a.append(c), b.append(r + i), e.append(est[r, c])
-    a, b = np.concatenate(a), np.concatenate(b)
-    order = np.argsort(-np.concatenate(e), kind="stable")
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    links = []
-    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p == q:
-            continue
-        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        if common and 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
-            root[q] = p
-            links.append((group[x][0], group[y][0]))
-    return [(x, y) for x, y in links if x != y]
-
-
 def confirmed_links(clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): links that join what is linked within ``clusters`` (id, label), each confirmed on the full sets of ``docs`` (doc_id, text).
 
-    Of pairs whose documents are joined already, none is told: rows grow with
-    documents, not with pairs.
+    Texts move once; what meets in tasks are sets of hashes.
     """
     clusters = materialise(clusters, "clusters")
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     # Neither side is small at scale: the same join at every size.
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id")
-    least = least_estimate(percent / 100)
-    name = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id").select("label", "id", "text")
+    schema = shape(texts.select("label", "id", F.lit(b"").alias("signature"), F.lit(b"").alias("hashes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        binary = (b.set_column(b.schema.get_field_index("text"), "text", b.column("text").cast(pa.binary())) for b in batches)
-        return _link_batches(_groups(binary, ["label", "i", "j"], ["id", "text"]), lambda g: _exact_links(g, size, percent, least, known), _ARROW[name])
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingle_set(t, known, size) for t in text_bytes(part)]
+                out = pa.RecordBatch.from_arrays([part.column("label"), part.column("id"), pa.array([packed(minima(x)) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["label", "id", "signature", "hashes"])
+                yield out.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
 
-    return _dealt(texts, "label", sizes, BLOCK // 2).mapInArrow(run, f"a {name}, b {name}")
+    sets = materialise(texts.mapInArrow(run, schema), "sets")
+    links = links_within(sets, "label", BySets(percent))
+    discard(clusters, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,14 +417,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Written, so that the join of an id with many links can be split (AQE).
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        first = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(first, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = materialise(small.filter("u <> v").distinct(), "stars")
         # Done when each id has one link, to an id that has none.
         same = _summed(edges) == _summed(new)
-        discard(edges)
+        discard(edges, least)
         edges = new
         if same:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
@@ -316,20 +439,24 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Texts with fewer words than ``size`` are one shingle; null and empty texts
-    have none and are linked with nothing.  Rows that share a doc_id are one
-    node, linked if any of its texts is; a row without doc_id is linked with
-    nothing, has no component and is kept.  Other columns are ignored.
+    have none and are linked with nothing.  Repeated rows are one node.  Rows that
+    share a doc_id are one node, linked if any of its texts is; a row without
+    doc_id is linked with nothing, has no component and is kept.  An empty table
+    gives none.  Of a text of any length the whole set is compared.  Other columns
+    are ignored.
     """
     sigs = materialise(signatures(docs, size), "signatures")
     live = sigs.filter("doc_id is not null and set_hash is not null")
-    sets = materialise(live.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "sets")
-    nodes = live.join(sets.hint("merge"), "set_hash").filter("doc_id = id").select("id", "signature", "bands")
-    nodes = materialise(nodes, "nodes")
+    # Signature and bands follow from the set: any row's will do.
+    nodes = materialise(live.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
     clusters = candidate_clusters(nodes, least_estimate(percent / 100))
-    labels = components(confirmed_links(clusters, docs.select("doc_id", "text"), size, percent))
+    links = confirmed_links(clusters, docs.select("doc_id", "text"), size, percent)
+    labels = components(links)
+    discard(links)
     # Copies hang on their node: they take its label without a link of their own.
-    node_of = sets.join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component"))
-    tied = _shared_ids(live, node_of)
+    node_of = nodes.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component"))
+    tied = materialise(_shared_ids(live, node_of), "tied")
+    discard(nodes, labels)
     found = sigs.select("doc_id", "n_shingles", "set_hash").join(tied, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
@@ -346,6 +473,6 @@ def _shared_ids(live: DataFrame, node_of: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest doc_id, with all rows of that id."""
-    groups = near_groups(docs, size, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one document of each group: the one of smallest doc_id, with all rows of that id; rows without doc_id stay."""
+    groups = near_groups(docs, size, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(name := free_name(docs, "__kept"))).distinct()
+    return docs.join(groups, docs.doc_id == groups[name], "left_semi").unionByName(docs.filter("doc_id is null"))
