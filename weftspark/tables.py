@@ -11,9 +11,15 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; only where that is unset (tests in local mode) a temporary folder, one a process."""
+    """What ``spark.checkpoint.dir`` names; only where that is unset in local mode (tests) a temporary folder, one a process.
+
+    On a cluster, a folder of the driver's own would lose rows: there it must be set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="weftspark-"))
         root = _own_root[0]
