@@ -31,7 +31,7 @@ from .common import discard, free_name, materialise, partition_count, shape, sli
 
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 2
 #: Most members, about, and bytes of a block: two blocks are in a task's memory at a time.
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Rounds in which the members that are still alone are compared with one of them, before blocks are.
 PIVOTS = 2
 _RNG = np.random.default_rng(20_011)
