@@ -9,34 +9,41 @@ from .functions import text as fn
 from .model import Graph
 from .operators import authorship, derive, signals, topics, xservice
 from .operators.link import link
-from .parse.facts import endpoints, parse
+from .parse.facts import parse
 from .sources.files import texts
 from .tables import materialise
 
 
 def extract(spark: SparkSession, files: DataFrame, app_key: str, aliases: list[tuple] | None = None) -> Graph:
-    """The graph of one application from ``files`` (path, language, hash, content in bytes)."""
+    """The graph of one application from ``files`` (path, language, hash, content in bytes).
+
+    Files are taken in order of their path wherever the first or last of them wins.
+    """
     source = materialise(texts(files), "files")
-    named = source.withColumn("file_id", F.concat(F.lit(f"{app_key}:"), "path"))
     parts, own = parse(source, app_key)
     table = spark.createDataFrame([(app_key, *a) for a in aliases], "app_key string, prefix string, suffix string, wildcard boolean, target string, base_url string") if aliases else None
     more_nodes, linked = link(parts, app_key, table)
     nodes = materialise(parts.nodes.unionByName(more_nodes, allowMissingColumns=True), "nodes")
-    edges = materialise(own.withColumn("seq", F.lit(0).cast("long")).unionByName(linked, allowMissingColumns=True), "edges")
-    calls = topics.scan_calls(named.select("file_id", "content"))
+    edges = materialise(own.unionByName(linked, allowMissingColumns=True), "edges")
+    calls = topics.scan_calls(source.select(F.concat(F.lit(f"{app_key}:"), "path").alias("file_id"), "content"))
     functions = nodes.filter("type = 'Function'").select(F.col("id").alias("span_id"), "file_id", "start_line", "end_line", F.lit(0).cast("long").alias("seq"))
-    told = topics.topic_edges(calls, functions)
-    shown = endpoints(named)
-    exposed = shown.select(F.lit("EXPOSES").alias("type"), F.col("file_id").alias("src"), F.concat("file_id", F.lit("#"), "file_id", F.lit("#endpoint:"), "method", F.lit(" "), "path").alias("dst"))
-    ends = shown.select(F.concat("file_id", F.lit("#"), "file_id", F.lit("#endpoint:"), "method", F.lit(" "), "path").alias("id"), F.lit("Endpoint").alias("type"), "method", "path", "file_id")
+    told = materialise(topics.topic_edges(calls, functions), "topics")
     app = nodes.filter("type = 'Application'").select("id", F.lit(app_key).alias("app_key"))
+    shown = nodes.filter("type = 'Endpoint'").select(F.lit(app_key).alias("app_key"), "method", "path")
     reads = edges.filter("type = 'READS'").join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("target_name")), "dst").select(F.lit(app_key).alias("app_key"), "target_name", "member")
-    signalled = signals.with_signals(app, shown.withColumn("app_key", F.lit(app_key)), reads, source.select(F.lit(app_key).alias("app_key"), "content"))
+    signalled = signals.with_signals(app, shown, reads, source.select(F.lit(app_key).alias("app_key"), "content"))
     nodes = nodes.join(signalled.drop("app_key"), "id", "left")
-    graph = Graph(nodes, edges).add(topics.topic_nodes(told), told.select("type", "src", "dst", "resolution")).add(ends, exposed)
+    graph = Graph(nodes, edges).add(topics.topic_nodes(told), told.select("type", "src", "dst", "resolution"))
     return graph.add(edges=derive.invokes(graph.nodes, graph.edges)).add(edges=derive.flows(graph.nodes, graph.edges))
 
 
+def report(graph: Graph, files: DataFrame) -> DataFrame:
+    """One row: files, failed (those that are no valid UTF-8), nodes and edges of an extraction."""
+    failed = files.agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.is_valid_utf8(F.col("content").cast("string"))).alias("failed"))
+    nodes, edges = (df.agg(F.count(F.lit(1)).alias(n)) for n, df in (("nodes", graph.nodes), ("edges", graph.edges)))
+    return failed.withColumn("one", F.lit(1)).join(nodes.withColumn("one", F.lit(1)), "one").join(edges.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def with_history(graph: Graph, log: DataFrame, changes: DataFrame, policy: str = "plain") -> Graph:
     """Commits, people and changes of the files that are in the graph."""
     files = graph.nodes.filter("type = 'File'").select("id", "path")

@@ -15,7 +15,7 @@ from ..functions import text as fn
 from ..functions.confidence import weaker
 from ..tables import materialise
 from .dedup import edge_set, first_wins
-from .paths import ancestors, nearest
+from .paths import ancestors, first_ways, nearest, summed
 
 HERITAGE = ("EXTENDS", "IMPLEMENTS")
 TYPES = ("HAS_TYPE", "RETURNS_TYPE", "HAS_TYPE_ARG")
@@ -66,11 +66,14 @@ def resolve_modules(asked: DataFrame, files: DataFrame, aliases: DataFrame | Non
     return each.select("file_id", "source").join(found, ["file_id", "source"], "left").withColumn("package", package)
 
 
-def resolve_exports(parts: Parts, modules: DataFrame, most: int = 20) -> DataFrame:
+def resolve_exports(parts: Parts, modules: DataFrame) -> DataFrame:
     """(file_id, name, node, resolution) of what each file exports, also through other files.
 
-    Named exports come before ``export *``, which never gives ``default``.  A
-    file without any export exports its top-level names, as inferred.
+    Named exports come before ``export *``, which never gives ``default``; of
+    several, the first in the file that leads to something.  A file without any
+    export exports its top-level names, as inferred.  Rounds follow one step of
+    re-export each and end when nothing changes; files that only re-export each
+    other in a circle give nothing.
     """
     target = modules.filter("target_file is not null").select("file_id", "source", "target_file")
     top = parts.names.join(parts.files.select(F.col("scope"), F.col("id").alias("file_id")), "scope").groupBy("file_id", "name").agg(F.max_by("node", "seq").alias("top"))
@@ -85,15 +88,23 @@ def resolve_exports(parts: Parts, modules: DataFrame, most: int = 20) -> DataFra
     passed = local.filter("node is null").join(brought, ["file_id", "l"]).select("file_id", "name", "target_file", "there", F.lit(1).alias("way"), "seq")
     steps = materialise(named.unionByName(passed), "steps")
     stars = materialise(parts.exports.filter("kind = 'reexport_all'").join(target, ["file_id", "source"]).select("file_id", "target_file", "seq"), "stars")
+    first = materialise(first, "own-exports")
     known = materialise(first_wins(first, ["file_id", "name"], ["way", "seq"]), "exports")
-    for _ in range(most):
+    # A name found through a star stays unless the file's earlier stars find it too: whatever a round changes is newer.
+    taken = materialise(steps.select("file_id", F.col("name").alias("there")).distinct(), "named")
+    before: set = set()
+    while True:
         there = known.select(F.col("file_id").alias("target_file"), F.col("name").alias("there"), "node", "resolution")
         more = steps.join(there, ["target_file", "there"]).select("file_id", "name", "node", "resolution", "way", "seq")
-        star = stars.join(there.filter("there <> 'default'"), "target_file").join(steps.select("file_id", F.col("name").alias("there")), ["file_id", "there"], "left_anti")
+        star = stars.join(there.filter("there <> 'default'"), "target_file").join(taken, ["file_id", "there"], "left_anti")
         more = more.unionByName(star.select("file_id", F.col("there").alias("name"), "node", "resolution", F.lit(2).alias("way"), "seq"))
-        new = materialise(first_wins(known.unionByName(more), ["file_id", "name"], ["way", "seq"]), "exports")
-        if new.count() == known.count():
+        new = materialise(first_wins(first.unionByName(more), ["file_id", "name"], ["way", "seq"]), "exports")
+        content = summed(new)
+        # Circles of stars can pass a name round and round: a content seen before ends that too.
+        if content in before:
+            known = new
             break
+        before.add(content)
         known = new
     return known.select("file_id", "name", "node", "resolution")
 
@@ -101,7 +112,9 @@ def resolve_exports(parts: Parts, modules: DataFrame, most: int = 20) -> DataFra
 def roots(parts: Parts, modules: DataFrame, exports: DataFrame) -> DataFrame:
     """``refs`` with what their first name means: node, or module (a file), package, external; and resolution."""
     closure = ancestors(parts.scopes.select("id", "parent"))
-    inside = nearest(parts.refs, closure, parts.names)
+    # ``super`` is sought as the class around it; its parent is found when heritage is known.
+    asked = parts.refs.withColumn("__super", F.col("name") == "super").withColumn("name", F.when(F.col("name") == "super", "this").otherwise(F.col("name")))
+    inside = nearest(asked, closure, parts.names).withColumn("name", F.when(F.col("__super"), "super").otherwise(F.col("name"))).drop("__super")
     with_file = inside.join(parts.scopes.select(F.col("id").alias("scope"), "file_id"), "scope", "left")
     last = parts.imports.groupBy("file_id", "local").agg(F.max_by(F.struct("imported", "source", "kind"), "seq").alias("i")).select("file_id", F.col("local").alias("name"), "i.*")
     told = with_file.join(last, ["file_id", "name"], "left").join(modules, ["file_id", "source"], "left")
@@ -119,17 +132,13 @@ def roots(parts: Parts, modules: DataFrame, exports: DataFrame) -> DataFrame:
 
 
 def inherited_members(members: DataFrame, parents: DataFrame) -> DataFrame:
-    """(holder, name, member) with those of ``parents`` (id, parent, seq): the nearest, then the first declared parent's."""
-    known = materialise(members.select("holder", "name", F.col("node").alias("member"), F.lit(0).alias("depth")), "members")
-    for depth in range(1, 30):
-        up = known.filter(F.col("depth") == depth - 1).select(F.col("holder").alias("parent"), "name", "member")
-        more = up.join(parents.select("id", "parent", "seq"), "parent").groupBy(F.col("id").alias("holder"), "name").agg(F.min_by("member", "seq").alias("member"))
-        new = more.join(known.select("holder", "name"), ["holder", "name"], "left_anti").withColumn("depth", F.lit(depth))
-        new = materialise(new, "members")
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-    return known.select("holder", "name", "member")
+    """(holder, name, member) with those of ``parents`` (id, parent, seq): own first, then depth first through parents in order."""
+    own = members.select("holder", "name", F.col("node").alias("member"))
+    ways = first_ways(parents)
+    none = F.array().cast(ways.schema["way"].dataType)
+    above = own.join(ways.select("id", F.col("ancestor").alias("holder"), "way"), "holder").select(F.col("id").alias("holder"), "name", "member", "way")
+    every = own.withColumn("way", none).unionByName(above)
+    return every.groupBy("holder", "name").agg(F.min_by("member", "way").alias("member"))
 
 
 def type_edges(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -197,6 +206,32 @@ def outside_nodes(edges: DataFrame) -> DataFrame:
     return ids.select("id", kind.alias("type"), F.when(F.col("id").startswith("pkg:"), F.expr("substr(id, 5)")).otherwise(F.expr("substr(id, instr(id, '/ext:') + 5)")).alias("name"))
 
 
+def with_super(resolved: DataFrame, parents: DataFrame) -> DataFrame:
+    """``resolved`` with the first of ``parents`` (id, parent, seq) in place of the class that ``super`` was sought as."""
+    first = parents.groupBy(F.col("id").alias("node")).agg(F.min_by("parent", "seq").alias("__first"))
+    joined = resolved.join(first, "node", "left")
+    is_super = F.col("name") == "super"
+    # Without a parent, super means nothing.
+    kept = joined.filter(~is_super | F.col("__first").isNotNull())
+    return kept.withColumn("node", F.when(is_super, F.col("__first")).otherwise(F.col("node"))).select(*resolved.columns)
+
+
+def export_edges(parts: Parts, modules: DataFrame, exports: DataFrame) -> DataFrame:
+    """IMPORTS of what is exported again, and EXPORTS of what a file exports: its own, by name from another, and one level of names behind a star."""
+    none = lambda t: F.lit(None).cast(t)
+    row = lambda df, kind, dst, member=None: df.select(F.lit(kind).alias("type"), F.col("file_id").alias("src"), dst.alias("dst"), none("int").alias("idx"), (none("string") if member is None else member).alias("member"), none("string").alias("operator"), F.lit("exact").alias("resolution"), "seq")
+    again = parts.exports.filter("source is not null").join(modules, ["file_id", "source"])
+    brings = row(again.filter("coalesce(target_file, package) is not null"), "IMPORTS", F.coalesce("target_file", F.concat(F.lit("pkg:"), "package")))
+    there = exports.select(F.col("file_id").alias("f"), F.col("name").alias("n"), F.col("node").alias("id"))
+    own = parts.exports.filter("kind = 'local'").join(there, (parts.exports.file_id == there.f) & (parts.exports.name == there.n))
+    named = again.filter("kind = 'reexport' and target_file is not null").withColumn("wanted", F.coalesce("local", "name"))
+    named = named.join(there, (named.target_file == there.f) & (named.wanted == there.n))
+    behind = parts.exports.filter("name is not null and name <> 'default'").select(F.col("file_id").alias("target_file"), F.col("name").alias("wanted")).distinct()
+    stars = again.filter("kind = 'reexport_all' and target_file is not null").join(behind, "target_file")
+    stars = stars.join(there, (stars.target_file == there.f) & (stars.wanted == there.n))
+    return brings.unionByName(row(own, "EXPORTS", F.col("id"))).unionByName(row(named, "EXPORTS", F.col("id"))).unionByName(row(stars, "EXPORTS", F.col("id")))
+
+
 def link(parts: Parts, app_key: str, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges that linking adds to one application's files."""
     asked = parts.imports.select("file_id", "source").unionByName(parts.exports.filter("source is not null").select("file_id", "source"))
@@ -205,7 +240,8 @@ def link(parts: Parts, app_key: str, aliases: DataFrame | None = None) -> tuple[
     resolved = materialise(roots(parts, modules, exports), "roots")
     types = materialise(type_edges(resolved, parts.nodes), "types")
     parents = types.filter(F.col("type").isin(*HERITAGE)).select(F.col("src").alias("id"), F.col("dst").alias("parent"), "seq")
-    members = inherited_members(parts.members, parents).withColumnRenamed("member", "member_node")
+    resolved = with_super(resolved, parents)
+    members = materialise(inherited_members(parts.members, parents).withColumnRenamed("member", "member_node"), "inherited")
     type_of = first_wins(types.filter("type in ('HAS_TYPE', 'RETURNS_TYPE')").select("src", "dst", "resolution", "seq"), ["src"], ["seq"])
     walked = walk(resolved, parts, exports, members, type_of)
     uses = use_edges(walked, parts.nodes, app_key)
@@ -218,6 +254,7 @@ def link(parts: Parts, app_key: str, aliases: DataFrame | None = None) -> tuple[
     brings = row(bound.filter(whole.isNotNull()), "IMPORTS", whole, none("string")).unionByName(row(bound.filter("target_id is not null"), "BINDS", F.col("target_id"), F.when(F.col("local") != F.col("imported"), F.col("local"))))
     contains = parts.files.select(F.lit("CONTAINS").alias("type"), F.lit(f"app:{app_key}").alias("src"), F.col("id").alias("dst"), none("int").alias("idx"), none("string").alias("member"), none("string").alias("operator"), F.lit("exact").alias("resolution"), F.lit(0).cast("long").alias("seq"))
     plain = contains.unionByName(types.select(*contains.columns[:4], none("string").alias("member"), none("string").alias("operator"), "resolution", "seq")).unionByName(brings)
+    plain = plain.unionByName(export_edges(parts, modules, exports))
     edges = edge_set(plain.withColumn("loc", none("int"))).drop("loc").unionByName(uses)
     app = parts.files.select(F.lit(f"app:{app_key}").alias("id"), F.lit("Application").alias("type"), F.lit(app_key).alias("name")).distinct()
     return app.unionByName(outside_nodes(edges)), edges

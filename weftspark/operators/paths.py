@@ -12,10 +12,12 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, stops: DataFrame | No
     """(start, node, distance): nodes within ``depth`` steps over ``edges`` (src, dst), by the shortest way.
 
     Each round joins only what was new in the last.  Beyond ``stops`` (node) no
-    way goes on.  Rounds are written, so that plans stay short.
+    way goes on.  Rounds and steps are written, so that plans stay short.  Rows
+    are as many as pairs of a start and what it reaches: choose starts and depth
+    by that.
     """
-    steps = edges.select("src", "dst").distinct()
-    new = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance"))
+    steps = materialise(edges.select("src", "dst").distinct(), "steps")
+    new = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).distinct()
     seen = materialise(new, "reach")
     new = seen
     for d in range(1, depth + 1):
@@ -28,23 +30,51 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, stops: DataFrame | No
     return seen.filter("distance > 0")
 
 
-def ancestors(parents: DataFrame, most: int = 100) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """(id, ancestor, depth) of ``parents`` (id, parent), each id its own ancestor at depth 0.
 
-    Rounds double the reach: chains of n levels take log n joins.
+    Rounds double the reach: chains of n levels take log n joins, each of what is
+    furthest so far with all that is known.  They end when nothing new is found.
     """
     own = parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     hop = parents.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     closure = materialise(own.unionByName(hop).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
     reached = 1
-    while reached < most:
-        a, b = closure.alias("a"), closure.alias("b")
-        further = a.join(b, F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        new = materialise(further.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
-        if new.count() == closure.count():
+    while True:
+        far, near = closure.filter(F.col("depth") == reached).alias("a"), closure.filter("depth > 0").alias("b")
+        further = far.join(near, F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        new = further.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).join(closure, ["id", "ancestor"], "left_anti")
+        new = materialise(new, "ancestors")
+        if new.isEmpty():
+            return closure
+        closure, reached = closure.unionByName(new), reached * 2
+
+
+def first_ways(parents: DataFrame) -> DataFrame:
+    """(id, ancestor, way) of ``parents`` (id, parent, seq): the way to each ancestor that a walk depth first, parents in order, takes first.
+
+    ``way``: seq and node of each step.  Ways of one row come in order of that
+    walk: an ancestor before what is above it.  No way meets a node twice, so
+    circles end.  Rounds double the length and end when nothing changes.
+    """
+    step = F.struct(F.col("seq").cast("long").alias("seq"), F.col("parent").alias("node"))
+    known = parents.filter("id <> parent").groupBy("id", F.col("parent").alias("ancestor")).agg(F.min(F.array(step)).alias("way"))
+    known = materialise(known, "ways")
+    while True:
+        a, b = known.alias("a"), known.alias("b")
+        way = F.concat("a.way", "b.way")
+        further = a.join(b, F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", way.alias("way"))
+        nodes = F.array_append(F.transform("way", lambda x: x["node"]), F.col("id"))
+        further = further.filter(F.size(F.array_distinct(nodes)) == F.size(nodes))
+        new = materialise(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
+        if summed(new) == summed(known):
             return new
-        closure, reached = new, reached * 2
-    return closure
+        known = new
+
+
+def summed(df: DataFrame) -> tuple:
+    """What tells whether a table's content stands still: its number of rows and the sum of their hashes."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
 
 
 def nearest(lookups: DataFrame, closure: DataFrame, names: DataFrame) -> DataFrame:

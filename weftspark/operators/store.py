@@ -1,7 +1,7 @@
 """Changes of the stored graph, as functions from old and new rows to merged ones.
 
-Nothing is changed in place: results are written beside the old table and take
-its place when they are whole (:func:`swap`).
+Nothing is changed in place: results are written as a table's next version and
+named as the current one when they are whole (:func:`swap`).
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ def without_app(nodes: DataFrame, edges: DataFrame, key: str) -> tuple[DataFrame
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows by (type, id); new values win where they are not null."""
-    rest = [c for c in new.columns if c not in ("type", "id")]
-    both = old.select("type", "id", F.struct(*rest).alias("o")).join(new.select("type", "id", F.struct(*rest).alias("n")), ["type", "id"], "full_outer")
-    return both.select("type", "id", *(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in rest))
+    """Rows by (type, id); new values win where they are not null.  Columns of either side stay."""
+    mine, theirs = ([c for c in df.columns if c not in ("type", "id")] for df in (new, old))
+    side = lambda df, cols, name: df.select("type", "id", (F.struct(*cols) if cols else F.struct(F.lit(None).alias("none"))).alias(name))
+    both = side(old, theirs, "o").join(side(new, mine, "n"), ["type", "id"], "full_outer")
+    value = lambda c: F.coalesce(*(F.col(f"{s}.{c}") for s, cols in (("n", mine), ("o", theirs)) if c in cols))
+    return both.select("type", "id", *(value(c).alias(c) for c in [*mine, *(c for c in theirs if c not in mine)]))
 
 
 def upsert_edges(edges: DataFrame, nodes: DataFrame, properties: list[str]) -> DataFrame:
@@ -72,17 +74,43 @@ def delete_requests(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return edges.join(gone, ["type", "src", "dst"], "left_anti")
 
 
-def swap(df: DataFrame, path: str, partition_by: str = "app_key") -> None:
-    """Write ``df`` beside ``path`` and rename: readers see the old table or the new one."""
+def pending(reviews: DataFrame, id_: str) -> DataFrame:
+    """The review of that id; an error if there is none or it is decided already."""
+    found = reviews.filter(F.col("id") == id_)
+    row = found.select("status").first()
+    if row is None or row["status"] != "pending":
+        raise ValueError(f"review {id_} is {'unknown' if row is None else row['status']}")
+    return found
+
+
+def swap(df: DataFrame, path: str) -> None:
+    """Write ``df`` as the table's next version and then name it in ``path``/CURRENT, which readers follow.
+
+    A version is whole before it is named; naming is one rename over the old
+    name's file.  Readers of the version before keep their files.
+    """
     spark = df.sparkSession
-    draft, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.partitionBy(partition_by).parquet(draft)
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, draft, old)]
-    fs = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(paths[0]):
-        fs.rename(paths[0], paths[2])
-    fs.rename(paths[1], paths[0])
-    fs.delete(paths[2], True)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    current = hadoop.Path(f"{path}/CURRENT")
+    context = hadoop.FileContext.getFileContext(current.toUri(), spark._jsc.hadoopConfiguration())
+    draft = hadoop.Path(f"{path}/CURRENT.{uuid.uuid4().hex}")
+    out = draft.getFileSystem(spark._jsc.hadoopConfiguration()).create(draft)
+    out.write(bytearray(name.encode()))
+    out.close()
+    modes = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    modes[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(draft, current, modes)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that :func:`swap` wrote last; None if there is none."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    if not named.getFileSystem(spark._jsc.hadoopConfiguration()).exists(named):
+        return None
+    name = spark.read.text(f"{path}/CURRENT").first()[0]
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def overwrite_app(df: DataFrame, path: str) -> None:

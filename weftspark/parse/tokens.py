@@ -1,4 +1,10 @@
-"""Source texts as rows of tokens with line, column and bracket level."""
+"""Source texts as rows of tokens, and tokens as the streams of their bracket groups.
+
+The stream of a group holds the tokens right inside a pair of brackets; of a
+group inside it only the two brackets are seen.  So patterns that span brackets
+are patterns of neighbours, whatever stands between the brackets, and of any
+length: runs of rows, told apart by running sums.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +12,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Comments, strings, templates, names, numbers, signs of several characters, white space, anything else.
-TOKEN = r"(?s)//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*|=>|\?\.|\.\.\.|\s+|."
+_CHARS = r"[\w$.,\s|\[\]'\"]*+"
+#: Comments, strings, templates, patterns between slashes, type arguments, names, numbers, signs of several characters, white space, anything else.
+TOKEN = "|".join((
+    r"(?s)//[^\n]*+", r"/\*.*?\*/",
+    r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"", r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'",
+    r"`(?:[^`\\$]++|\\.|\$(?!\{)|\$\{(?:[^`{}]++|\{[^{}]*+\}|`[^`]*+`)*+\})*+`",
+    r"(?<=(?:[(,=:\[!&|?{};]|=>|return)[ \t]{0,3})/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+",
+    rf"(?<=[\w$])<{_CHARS}(?:<{_CHARS}(?:<{_CHARS}>{_CHARS})*+>{_CHARS})*+>(?=\s*+(?:[(){{}},;=>|&\[\]:]|$))",
+    r"#?[\p{L}_$][\p{L}\p{N}_$]*+", r"[0-9][0-9A-Za-z_.]*+",
+    r"=>|\?\.(?![0-9])|\.\.\.|>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|===|!==|==|!=|<=|>=|[-+*/%&|^]=|\+\+|--|&&|\|\||\?\?|\s++|.",
+))
 OPEN, CLOSE = ("{", "(", "["), ("}", ")", "]")
+NAME = r"^#?[\p{L}_$][\p{L}\p{N}_$]*$"
+#: After these a line's end does not end a statement.
+_GOES_ON = ("(", "[", "{", ",", "=", "=>", ".", "?.", "...", "?", ":", "!", "~", "+", "-", "*", "/", "%", "<", ">", "&", "|", "^", "&&", "||", "??", "==", "!=", "===", "!==", "<=", ">=", "+=", "-=", "*=", "/=", "%=", "**=", "&&=", "||=", "??=", "const", "let", "var", "new", "typeof", "case", "else", "do", "try", "in", "of", "extends", "implements", "instanceof", "export", "default", "import", "from", "async", "await", "static", "public", "private", "protected", "readonly", "abstract", "override", "get", "set", "function", "class", "interface", "enum", "void", "delete", "as", "@")
+#: And these, at a line's beginning, go on with one.
+_CARRIES_ON = (")", "]", "}", ",", ";", ".", "?.", "?", ":", "=", "=>", "(", "[", "{", "+", "-", "*", "/", "%", "<", ">", "&", "|", "^", "&&", "||", "??", "==", "!=", "===", "!==", "<=", ">=", "+=", "-=", "*=", "/=", "in", "of", "instanceof", "as", "extends", "implements", "else", "catch", "finally", "from")
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(file_id, i, tok, line, col, level, mate) of ``files`` (file_id, content).
+    """(file_id, i, tok, line, col, level, step, mate) of ``files`` (file_id, content), comments and white space left out.
 
-    ``level`` counts the brackets around a token; a bracket and its mate have the
-    level of what is inside.  ``mate`` is the place of the closing bracket.
+    ``level`` counts the brackets around a token; a bracket has the level of what
+    is inside, ``step`` 1 or -1, and ``mate``, the place of its other bracket.
     Columns count UTF-8 bytes from 1.  A window never leaves its file.
     """
     each = files.select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("pos", "tok"))
@@ -31,9 +51,38 @@ def tokens(files: DataFrame) -> DataFrame:
     i = F.row_number().over(order)
     step = F.when(F.col("tok").isin(*OPEN), 1).when(F.col("tok").isin(*CLOSE), -1).otherwise(0)
     counted = real.select("file_id", i.alias("i"), "tok", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), step.alias("step"))
-    order = W.partitionBy("file_id").orderBy("i")
-    level = F.sum("step").over(order) + F.when(F.col("step") < 0, 1).otherwise(0)
+    level = F.sum("step").over(W.partitionBy("file_id").orderBy("i")) + F.when(F.col("step") < 0, 1).otherwise(0)
     levelled = counted.withColumn("level", level.cast("int"))
-    after = W.partitionBy("file_id", "level").orderBy("i").rowsBetween(1, W.unboundedFollowing)
-    mate = F.when(F.col("step") > 0, F.min(F.when(F.col("step") < 0, F.col("i"))).over(after))
-    return levelled.select("file_id", "i", "tok", "line", "col", "level", mate.alias("mate"))
+    # On one level, brackets open and close in turn.
+    turn = W.partitionBy("file_id", "level", F.col("step") != 0).orderBy("i")
+    mate = F.when(F.col("step") > 0, F.lead("i").over(turn)).when(F.col("step") < 0, F.lag("i").over(turn))
+    return levelled.select("file_id", "i", "tok", "line", "col", "level", "step", mate.alias("mate"))
+
+
+def streams(t: DataFrame) -> DataFrame:
+    """``t`` with ``grp`` (the bracket around it, 0 for none), its neighbours in the stream of that group, ``seg`` and ``sub``.
+
+    q1 to q4 stand before, s1 to s3 behind.  ``seg`` numbers the statements of a
+    group, ``sub`` their parts between commas.  A statement ends at a semicolon,
+    behind a closing brace, or at a line's end where neither side goes on.
+    """
+    inside = t.filter("step <> 0").select("file_id", "level", "i", F.when(F.col("step") > 0, F.col("i")).alias("opens"), F.lit(None).alias("r"))
+    seen = t.select("file_id", (F.col("level") - F.abs("step")).alias("level"), "i", F.lit(None).cast("int").alias("opens"), F.struct("tok", "line", "col", "step", "mate").alias("r"))
+    around = F.last("opens", ignorenulls=True).over(W.partitionBy("file_id", "level").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
+    v = inside.unionByName(seen).withColumn("grp", F.coalesce(around, F.lit(0))).filter("r is not null").select("file_id", "grp", "i", "r.*")
+    w = W.partitionBy("file_id", "grp").orderBy("i")
+    near = {f"q{k}": F.lag("tok", k).over(w) for k in range(1, 5)} | {f"s{k}": F.lead("tok", k).over(w) for k in range(1, 4)}
+    v = v.withColumns(near | {"q_line": F.lag("line").over(w), "s_i": F.lead("i").over(w)})
+    # A decorator and what it decorates are one statement: runs of @name.name(...) are marked while they last.
+    joins = F.col("tok").isin(".", "(", ")") | (F.col("q1") == ".") | (F.col("q1") == "@")
+    run = F.sum(F.when(joins, 0).otherwise(1)).over(w)
+    v = v.withColumn("run0", run)
+    v = v.withColumn("deco", F.max(F.when(F.col("tok") == "@", 1).otherwise(0)).over(W.partitionBy("file_id", "grp", "run0")) == 1)
+    after_deco = F.coalesce(F.lag("deco").over(w), F.lit(False))
+    do = (F.col("tok") == "while") & (F.col("q1") == "}") & (F.coalesce(F.col("q3"), F.lit("")) == "do")
+    line = (F.col("line") > F.col("q_line")) & ~F.col("q1").isin(*_GOES_ON)
+    brace = (F.col("q1") == "}") & ~do
+    begins = F.col("q1").isNull() | (F.col("q1") == ";") | ((line | brace) & ~F.col("tok").isin(*_CARRIES_ON) & ~do & ~after_deco)
+    v = v.withColumn("seg", F.sum(F.when(begins, 1).otherwise(0)).over(w))
+    sub = F.sum(F.when(F.col("q1") == ",", 1).otherwise(0)).over(W.partitionBy("file_id", "grp", "seg").orderBy("i"))
+    return v.withColumn("sub", sub.cast("int")).drop("q_line", "run0")
