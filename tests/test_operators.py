@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftspark.functions import confidence
 from weftspark.functions import text as fn
-from weftspark.operators import authorship, dedup, history, paths, spans, store, xservice
+from weftspark import cli
+from weftspark.operators import authorship, dedup, history, link, paths, spans, store, xservice
 from weftspark.operators.link import resolve_modules
 from weftspark.sources import config, git
 from weftspark.sources.files import source_files
@@ -50,6 +51,9 @@ def test_innermost_and_ties(spark):
     s = spark.createDataFrame([("big", "f", 1, 200, 0), ("small", "f", 90, 100, 1), ("same", "f", 90, 100, 2), ("bad", "f", 5, 2, 3), ("none", "", 1, 9, 4)], "span_id string, file_id string, start_line int, end_line int, seq int")
     p = spark.createDataFrame([("f", 95), ("f", 150), ("f", 500)], "file_id string, line int")
     assert {(r.line, r.span_id) for r in spans.innermost(p, s).collect()} == {(95, "small"), (150, "big")}
+    assert spans.innermost(p.unionByName(p), s).count() == 4  # repeated points stay
+    r = spark.createDataFrame([(1, "f", 95, 97), (2, "f", 80, 120)], "range_id int, file_id string, first_line int, last_line int")
+    assert {(x.range_id, x.span_id) for x in spans.overlapping(r, s).collect()} == {(1, "small"), (2, "small"), (2, "big")}
 
 
 def test_ordered_dedup(spark):
@@ -59,8 +63,28 @@ def test_ordered_dedup(spark):
 
 
 def test_ancestors_of_long_chain(spark):
-    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "id int, parent int")
-    assert paths.ancestors(chain, 200).filter("id = 149").count() == 150
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "id int, parent int")
+    found = paths.ancestors(chain)
+    assert found.filter("id = 299").count() == 300 and found.filter("id = 299 and ancestor = 0 and depth = 299").count() == 1
+
+
+def test_heritage_is_depth_first_of_any_height(spark):
+    members = spark.createDataFrame([("A2", "m", "A2.m"), ("B", "m", "B.m"), ("top", "far", "top.far"), ("C", "own", "C.own"), ("A1", "own", "A1.own")], "holder string, name string, node string")
+    parents = [("C", "A1", 1), ("C", "B", 2), ("A1", "A2", 3), ("A2", "l0", 4)] + [(f"l{i}", f"l{i + 1}" if i < 59 else "top", 5) for i in range(60)] + [("B", "C", 6), ("l7", "l3", 7)]  # with two circles
+    got = {(r.holder, r.name): r.member for r in link.inherited_members(members, spark.createDataFrame(parents, "id string, parent string, seq int")).collect()}
+    assert got["C", "m"] == "A2.m" and got["C", "far"] == "top.far" and got["C", "own"] == "C.own" and got["B", "own"] == "C.own"
+
+
+def test_exports_through_many_files(spark):
+    n = 40
+    files = spark.createDataFrame([(f"f{i}", "a", f"f{i}", f"s{i}") for i in range(n + 2)], "id string, app_key string, path string, scope string")
+    exports = [(f"f{i}", "reexport", f"x{i}", f"x{i + 1}", None, f"f{i + 1}", 1) for i in range(n)] + [(f"f{n}", "local", f"x{n}", None, "found", None, 1), (f"f{n}", "reexport_all", None, None, None, f"f{n + 1}", 2), (f"f{n + 1}", "reexport_all", None, None, None, f"f{n}", 2)]
+    exports = spark.createDataFrame(exports, "file_id string, kind string, name string, local string, node string, source string, seq long")
+    modules = exports.filter("source is not null").select("file_id", "source", F.col("source").alias("target_file"), F.lit(None).cast("string").alias("package"))
+    empty = lambda s: spark.createDataFrame([], s)
+    parts = link.Parts(files, None, empty("scope string, name string, node string, seq long"), None, None, None, empty("file_id string, local string, imported string, source string, kind string, seq long"), exports)
+    got = {(r.file_id, r.name): r.node for r in link.resolve_exports(parts, modules).collect()}
+    assert got["f0", "x0"] == "found" and got[f"f{n + 1}", f"x{n}"] == "found" and len(got) == n + 2
 
 
 def test_ownership_shares_and_ties(spark):
@@ -134,9 +158,94 @@ def test_stream_parses_each_version_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
-def test_event_windows(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    q = incremental.topic_activity(events).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("activity").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+def test_stream_leaves_out_folders_and_known_versions(spark, tmp_path):
+    for name in ("a.ts", "node_modules/b.ts"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("x")
+    run = lambda: incremental.keep_parsed(incremental.changed_files(spark, str(tmp_path / "in")), lambda df: df.select("path", "hash"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    run()
+    # The same version once more, under a new time: the source tells it, the cache knows it.
+    (tmp_path / "in/c.ts").write_text("y")
+    run()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a.ts", "c.ts"]
+
+
+def test_yaml_section():
+    text = "other:\n  enabled: false\nauthorship:  # who\n  enabled: true\n  store_email: 'hash'\n  commits_limit: 20 # last\n\nmore: 1\n"
+    assert config.yaml_section(text, "authorship") == {"enabled": True, "store_email": "hash", "commits_limit": 20}
+    assert config.load_authorship("/nowhere.yaml") == config.Authorship() and not config.Authorship().enabled
+
+
+def test_versions_of_a_stored_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert store.current(spark, path) is None
+    for i in (1, 2):
+        store.swap(spark.range(i), path)
+        assert store.current(spark, path).count() == i
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Three small applications, of which two tie for the host that the third calls."""
+    base = tmp_path_factory.mktemp("apps")
+    texts = {"web/src/a.ts": "import { base } from '@lib/base';\nexport function go() { return fetch('http://users:8080/x'); }\n", "web/src/lib/base.ts": "export const base = 1;\n", "web/tsconfig.json": '{ "compilerOptions": { "baseUrl": "src", "paths": { "@lib/*": ["lib/*"] } } } // own', "users/a.js": "function one() {}\n", "users-admin/a.js": "function two() {}\n", "quiet/a.js": "function ask() { axios.get('/x'); fetch('/y'); }\n"}
+    for name, text in texts.items():
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_text(text)
+    graph = str(base / "graph")
+    for app in ("web", "users", "users-admin", "quiet"):
+        told = cli.extract(spark, cli.parser().parse_args(["extract", "--path", str(base / app), "--out", graph])).first()
+        assert told.failed == 0 and told.files == (2 if app == "web" else 1)
+    return graph
+
+
+def test_commands(spark, stored, capsys):
+    edges = store.read_graph(spark, f"{stored}/edges", "web")
+    assert edges.filter("type = 'IMPORTS' and dst = 'web:src/lib/base.ts'").count() == 1  # by tsconfig's alias
+    told = cli.link(spark, stored).first()
+    assert (told.ambiguous, told.exact) == (1, 0)
+    requests, reviews = cli._stored(spark, stored)
+    review = reviews.first()
+    assert [(r.dst, r.resolution) for r in requests.collect()] == [("app:users", "ambiguous")] and review.status == "pending" and len(review.candidates) == 2
+    cli.decide(spark, stored, review.id, "overridden", "users-admin")
+    requests, reviews = cli._stored(spark, stored)
+    assert [(r.dst, r.resolution) for r in requests.collect()] == [("app:users-admin", "overridden")] and reviews.first().status == "overridden"
+    with pytest.raises(ValueError):
+        cli.decide(spark, stored, review.id, "rejected")  # decided already
+    with pytest.raises(ValueError):
+        cli.decide(spark, stored, "nothing", "rejected")
+    cli.link(spark, stored)
+    requests, reviews = cli._stored(spark, stored)
+    assert reviews.first().status == "overridden" and requests.count() == 1  # decisions outlive a new link
+    found = {(r.app_id, r.callee, r.start_line) for r in cli.find_unlinked(spark, stored).collect()}
+    assert found == {("app:quiet", "axios.get", 1), ("app:quiet", "fetch", 1)}
+
+
+def test_reject_and_confirm(spark, stored, tmp_path):
+    graph = f"{tmp_path}/graph"
+    for name, schema, rows in (("requests", cli.REQUESTS, [("REQUESTS", "app:a", "app:b", "url", "b:1", "ambiguous")]), ("reviews", cli.REVIEWS, [("a:review:1", "app:a", "REQUESTS", "app:b", "url:b:1", "pending", [])])):
+        store.swap(spark.createDataFrame(rows, schema), f"{graph}/{name}")
+    cli.decide(spark, graph, "a:review:1", "confirmed")
+    assert cli._stored(spark, graph)[1].first().status == "confirmed"
+    store.swap(spark.createDataFrame([("a:review:1", "app:a", "REQUESTS", "app:b", "url:b:1", "pending", [])], cli.REVIEWS), f"{graph}/reviews")
+    cli.decide(spark, graph, "a:review:1", "rejected")
+    requests, reviews = cli._stored(spark, graph)
+    assert requests.count() == 0 and reviews.first().status == "rejected"
+
+
+def test_scratch_link(spark, tmp_path):
+    import json
+
+    for key, hosts, envs in (("web", ["users:8080"], []), ("users", [], []), ("job", [], ["USERS_URL"])):
+        (tmp_path / f"{key}.json").write_text(json.dumps({"nodes": [{"type": "File", "id": "x"}, {"type": "Application", "id": f"app:{key}", "key": key, "name": key, "hostCandidates": hosts, "envVarsRead": envs}], "edges": []}))
+    edges, reviews, told = cli.scratch_link(spark, [str(tmp_path / f"{k}.json") for k in ("web", "users", "job")])
+    assert {(r.src, r.dst, r.kind, r.resolution) for r in edges.collect()} == {("app:web", "app:users", "url", "exact"), ("app:job", "app:users", "env", "inferred")} and reviews.count() == 0
+
+
+def test_pruned_before_reading(spark, tmp_path):
+    for name in ("a.ts", "node_modules/x/b.js", ".hidden/c.js", "notes.txt", "d.d.ts"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    files = source_files(spark, str(tmp_path))
+    assert [r.path for r in files.collect()] == ["a.ts"]
+    assert [git.is_source(x) for x in ("a/b.ts", "dist/b.ts", ".x/b.js", ".b.js", "b.d.ts", "b", "b.py")] == [True, False, False, True, False, False, False]

@@ -1,73 +1,158 @@
-"""python -m weftspark.cli extract|link|audit: the commands of the engine over paths."""
+"""python -m weftspark.cli extract|link|review|confirm|override|reject|audit|scratch-link: the engine over paths."""
 
 from __future__ import annotations
 
 import argparse
+import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .operators import store
+from .functions.text import language_of
+from .model import node_json
+from .operators import audit, store
 from .sources import git
-from .sources.config import Authorship
-from .sources.files import source_files
+from .sources.config import load_authorship, tsconfig_aliases
+from .sources.files import read_graph_json, source_files
+from .tables import materialise
 
+REQUESTS = "type string, src string, dst string, kind string, member string, resolution string"
+REVIEWS = "id string, call_id string, edge_type string, chosen_id string, hint string, status string, candidates array<struct<target:string,score:int,why:string>>"
 
-def main(argv: list[str] | None = None) -> None:
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftspark")
     sub = p.add_subparsers(dest="command", required=True)
     e = sub.add_parser("extract", help="one application's graph, as two Parquet tables")
     e.add_argument("--path", required=True)
-    e.add_argument("--key")
+    e.add_argument("--key", help="by default the last part of the subdir or path")
     e.add_argument("--out", required=True)
     e.add_argument("--rev", help="read a git revision instead of the folder")
     e.add_argument("--subdir", default="")
-    e.add_argument("--authorship", action="store_true")
+    e.add_argument("--config", help="YAML file with a section authorship")
+    e.add_argument("--authorship", action=argparse.BooleanOptionalAction, default=None)
     e.add_argument("--store-email", choices=("plain", "hash", "none"))
     e.add_argument("--commits-limit", type=int)
     e.add_argument("--commits-range")
-    s = sub.add_parser("link", help="link the applications of a graph")
-    s.add_argument("--graph", required=True)
-    r = sub.add_parser("review", help="decide a review: confirm, reject or list the pending")
-    r.add_argument("--graph", required=True)
-    r.add_argument("--id")
-    r.add_argument("--status", choices=("confirmed", "overridden", "rejected"))
-    a = p.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
-    if a.command == "extract":
-        key = a.key or (a.subdir or a.path).rstrip("/").rsplit("/", 1)[-1]
-        git.register(spark)
-        if a.rev:
-            from .functions.text import language_of, readable
+    e.add_argument("--json", help="a folder for the nodes as JSON lines too")
+    for name, text in (("link", "link the applications of a graph"), ("review", "list the pending reviews"), ("audit", "calls of clients in applications without links"), ("confirm", "confirm a review"), ("override", "give a pending review's link another target"), ("reject", "reject a pending review and its link")):
+        c = sub.add_parser(name, help=text)
+        c.add_argument("--graph", required=True)
+        if name in ("confirm", "override", "reject"):
+            c.add_argument("id")
+        if name == "override":
+            c.add_argument("target")
+    s = sub.add_parser("scratch-link", help="link applications of graphs in JSON documents, without a store")
+    s.add_argument("files", nargs="+")
+    return p
 
-            raw = spark.read.format("git_files").options(repo=a.path, rev=a.rev, subdir=a.subdir).load()
-            files = raw.filter(readable(F.col("path"))).withColumn("language", language_of(F.col("path")))
-        else:
-            files = source_files(spark, f"{a.path}/{a.subdir}".rstrip("/"))
-        graph = api.extract(spark, files, key)
-        if a.authorship:
-            how = Authorship.of(None, store_email=a.store_email, commits_limit=a.commits_limit, commits_range=a.commits_range)
-            options = {"repo": a.path, "rev": a.rev or "HEAD", "subdir": a.subdir, "limit": str(how.commits_limit), "range": how.commits_range}
-            load = lambda name: spark.read.format(name).options(**options).load()
-            graph = api.with_owners(api.with_history(graph, load("git_log"), load("git_changes"), how.store_email), load("git_blame"), key)
-        for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
-            store.overwrite_app(df.withColumn("app_key", F.lit(key)), f"{a.out}/{name}")
-    elif a.command == "link":
-        apps = spark.read.parquet(f"{a.graph}/nodes").filter("type = 'Application'").select("app_key", "name", "host_candidates", "env_vars_read").withColumnRenamed("app_key", "key")
-        edges, reviews, report = api.link_services(apps)
-        edges.write.mode("overwrite").parquet(f"{a.graph}/requests")
-        reviews.write.mode("overwrite").parquet(f"{a.graph}/reviews")
-        report.show()
+
+def _read_text(a: argparse.Namespace, path: str) -> str | None:
+    """A small file beside the sources, of the folder or the revision; None if it isn't there."""
+    if a.rev:
+        try:
+            return git.git(a.path, "show", f"{a.rev}:{'/'.join(x for x in (a.subdir.strip('/'), path) if x)}").decode()
+        except OSError:
+            return None
+    full = os.path.join(a.path, a.subdir, path)
+    if not os.path.exists(full):
+        return None
+    with open(full, encoding="utf-8") as f:
+        return f.read()
+
+
+def extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Write the graph; the report is returned."""
+    key = a.key or (a.subdir or a.path).rstrip("/").rsplit("/", 1)[-1]
+    how = load_authorship(os.path.join(a.path, a.config) if a.config else None, enabled=a.authorship, store_email=a.store_email, commits_limit=a.commits_limit, commits_range=a.commits_range)
+    git.register(spark)
+    load = lambda name, **o: spark.read.format(name).options(repo=a.path, subdir=a.subdir, **o).load()
+    if a.rev:
+        files = load("git_files", rev=a.rev).withColumn("language", language_of(F.col("path")))
     else:
-        reviews = spark.read.parquet(f"{a.graph}/reviews")
-        if a.id is None:
-            reviews.filter("status = 'pending'").orderBy("id").show(truncate=False)
+        files = source_files(spark, f"{a.path}/{a.subdir}".rstrip("/"))
+    files = materialise(files, "sources")
+    graph = api.extract(spark, files, key, tsconfig_aliases(lambda path: _read_text(a, path)))
+    told = api.report(graph, files)
+    if how.enabled:
+        options = {"rev": a.rev or "HEAD", "limit": str(how.commits_limit), "range": how.commits_range}
+        graph = api.with_owners(api.with_history(graph, load("git_log", **options), load("git_changes", **options), how.store_email), load("git_blame", rev=a.rev or "HEAD"), key)
+    unknown = [r.type for r in graph.unknown_types().limit(20).collect()]
+    if unknown:
+        raise ValueError(f"unknown types {unknown}")
+    if a.json:
+        node_json(graph.nodes).write.mode("overwrite").text(a.json)
+    for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
+        store.overwrite_app(df.withColumn("app_key", F.lit(key)), f"{a.out}/{name}")
+    return told
+
+
+def _stored(spark: SparkSession, graph: str) -> tuple[DataFrame, DataFrame]:
+    """REQUESTS edges and reviews of a graph, empty where nothing was linked yet."""
+    tables = [(store.current(spark, f"{graph}/{name}"), schema) for name, schema in (("requests", REQUESTS), ("reviews", REVIEWS))]
+    return tuple(spark.createDataFrame([], schema) if df is None else df for df, schema in tables)
+
+
+def link(spark: SparkSession, graph: str) -> DataFrame:
+    """Link all applications anew; decided reviews keep their status.  The report is returned."""
+    nodes = store.read_graph(spark, f"{graph}/nodes").filter("type = 'Application'")
+    apps = materialise(nodes.select(F.col("app_key").alias("key"), "name", "host_candidates", "env_vars_read"), "applications")
+    new_edges, new_reviews, told = api.link_services(apps)
+    edges, reviews = store.replace_links(*_stored(spark, graph), new_edges, new_reviews, apps)
+    edges, reviews = materialise(edges, "requests"), materialise(reviews, "reviews")
+    store.swap(edges, f"{graph}/requests")
+    store.swap(reviews, f"{graph}/reviews")
+    return told
+
+
+def decide(spark: SparkSession, graph: str, id_: str, status: str, target: str | None = None) -> None:
+    """Confirm any review; override and reject pending ones only, with their link."""
+    edges, reviews = _stored(spark, graph)
+    if status != "confirmed":
+        pair = store.pending(reviews, id_).select(F.col("call_id").alias("src"), F.col("chosen_id").alias("dst"))
+        if status == "overridden":
+            to = target if target.startswith("app:") else f"app:{target}"
+            edges = store.retarget(edges, pair.withColumn("new_dst", F.lit(to)))
         else:
-            from .tables import materialise
+            edges = store.delete_requests(edges, pair)
+        store.swap(edges.select(*(f.split()[0] for f in REQUESTS.split(", "))), f"{graph}/requests")
+    store.swap(store.set_status(reviews, spark.createDataFrame([(id_, status)], "id string, status string")), f"{graph}/reviews")
+
+
+def find_unlinked(spark: SparkSession, graph: str) -> DataFrame:
+    read = lambda name: store.read_graph(spark, f"{graph}/{name}")
+    return audit.audit(read("nodes"), read("edges"), _stored(spark, graph)[0])
+
+
+def scratch_link(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, reviews and report of applications that JSON documents tell."""
+    none = F.array().cast("array<string>")
+    apps = None
+    for path in paths:
+        rows = read_graph_json(spark, path)
+        lists = (F.coalesce(F.col(c).cast("array<string>"), none) if c in rows.columns else none for c in ("hostCandidates", "envVarsRead"))
+        one = rows.select("key", F.coalesce("name", "key").alias("name"), *(x.alias(n) for x, n in zip(lists, ("host_candidates", "env_vars_read"), strict=True)))
+        apps = one if apps is None else apps.unionByName(one)
+    return api.link_services(apps)
 
-            decided = spark.createDataFrame([(a.id, a.status)], "id string, status string")
-            materialise(store.set_status(reviews, decided), "reviews").write.mode("overwrite").parquet(f"{a.graph}/reviews")
+
+def main(argv: list[str] | None = None) -> None:
+    a = parser().parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    if a.command == "extract":
+        extract(spark, a).show()
+    elif a.command == "link":
+        link(spark, a.graph).show()
+    elif a.command == "review":
+        _stored(spark, a.graph)[1].filter("status = 'pending'").select("id", "hint", "chosen_id", "candidates").orderBy("id").show(truncate=False)
+    elif a.command == "audit":
+        find_unlinked(spark, a.graph).show(truncate=False)
+    elif a.command == "scratch-link":
+        for df in scratch_link(spark, a.files):
+            df.show(truncate=False)
+    else:
+        decide(spark, a.graph, a.id, {"confirm": "confirmed", "override": "overridden", "reject": "rejected"}[a.command], getattr(a, "target", None))
 
 
 if __name__ == "__main__":

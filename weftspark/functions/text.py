@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed value: hosts in string literals.
 HOST = r"(?i)(?:https?|ws|wss)://([a-z0-9][a-z0-9.\-]*(?::\d{2,5})?)"
 #: Calls that name a topic, by position and in an object.
-_CALLEE = r"\b([a-z_][a-z0-9_]*)\s*\.\s*(publish|produce|send|sendToQueue|sendMessage|consume|subscribe|receiveMessage|psubscribe)\s*\(\s*"
-TOPIC_POSITIONAL = rf"(?i){_CALLEE}['\"`]([^'\"`\s,)]+)['\"`]"
-TOPIC_OBJECT = rf"(?i){_CALLEE}\{{[^}}]*?\b(?:topic|QueueUrl|TopicArn)\s*:\s*['\"`]([^'\"`]+)['\"`]"
+TOPIC_POSITIONAL = r"(?i)\b([a-z_][a-z0-9_]*)\s*\.\s*(publish|produce|send|sendToQueue|sendMessage|consume|subscribe|receiveMessage|psubscribe)\s*\(\s*['\"`]([^'\"`\s,)]+)['\"`]"
+TOPIC_OBJECT = r"(?i)\b([a-z_][a-z0-9_]*)\s*\.\s*(publish|produce|send|sendToQueue|sendMessage|consume|subscribe|receiveMessage|psubscribe)\s*\(\s*\{[^}]*?\b(?:topic|QueueUrl|TopicArn)\s*:\s*['\"`]([^'\"`]+)['\"`]"
 #: Methods that consume; case counts.
 CONSUMES = ("consume", "subscribe", "receiveMessage", "psubscribe")
 #: Source extensions, in the order in which modules are sought.
@@ -77,12 +76,6 @@ def topic_name(raw: Column, broker: Column) -> Column:
     return F.when((broker == "sqs") & (url != ""), url).when((broker == "sns") & (arn != ""), arn).otherwise(raw)
 
 
-def line_of(text: Column, at: Column) -> Column:
-    """Line, from 1, of the character at ``at`` (from 1)."""
-    head = F.substring(text, F.lit(1), at - 1)
-    return F.lit(1) + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-
-
 def person_key(name: Column, email: Column) -> Column:
     mail = F.lower(F.trim(email))
     return F.coalesce(F.nullif(mail, F.lit("")), F.concat(F.lit("anon-"), F.trim(name)))

@@ -19,6 +19,9 @@ def flows_assign(reads: DataFrame, writes: DataFrame) -> DataFrame:
 
     Of several equal (src, dst) the smallest seq of the write wins.
     """
+    # Of an assignment each value once on either side, before they meet.
+    reads = reads.select("assign", "node").distinct()
+    writes = first_wins(writes.select("assign", "node", "member", "seq"), ["assign", "node"], ["seq"])
     met = reads.select("assign", F.col("node").alias("src")).join(writes.select("assign", F.col("node").alias("dst"), "member", "seq"), "assign").filter("src <> dst")
     return met.groupBy("src", "dst").agg(F.min_by("member", "seq").alias("member"))
 
@@ -74,10 +77,3 @@ def next_statements(statements: DataFrame) -> DataFrame:
     """NEXT between neighbours of ``statements`` (block, position, node)."""
     after = F.lead("node").over(W.partitionBy("block").orderBy("position", "node"))
     return statements.select(F.col("node").alias("src"), after.alias("dst")).filter("dst is not null")
-
-
-def coarse_imports(imports: DataFrame) -> DataFrame:
-    """IMPORTS and BINDS from resolved imports (file_id, target_file, target_id, local, imported)."""
-    whole = imports.filter("target_file is not null").select(F.lit("IMPORTS").alias("type"), F.col("file_id").alias("src"), F.col("target_file").alias("dst"), F.lit(None).cast("string").alias("member"))
-    fine = imports.filter("target_id is not null").select(F.lit("BINDS").alias("type"), F.col("file_id").alias("src"), F.col("target_id").alias("dst"), F.when(F.col("local") != F.col("imported"), F.col("local")).alias("member"))
-    return whole.unionByName(fine).distinct()

@@ -48,3 +48,9 @@ def renamed(df: DataFrame, renames: DataFrame, column: str = "id") -> DataFrame:
     joined = df.join(r, file == F.col("__f"), "left")
     rest = F.expr(f"substr({column}, 1 + length(substring_index({column}, '#', 1)))")
     return joined.withColumn(column, F.when(F.col("__n").isNotNull(), F.concat("__n", rest)).otherwise(F.col(column))).drop("__f", "__n")
+
+
+def suspects(cone: DataFrame, changes: DataFrame, most: int = 10) -> DataFrame:
+    """Changes (node, changed) inside a failure's ``cone`` (start, node, distance), nearest and then newest first: the top of each start."""
+    w = W.partitionBy("start").orderBy("distance", F.desc("changed"), "node")
+    return cone.join(changes, "node").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)

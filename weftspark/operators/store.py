@@ -38,12 +38,12 @@ def upsert_edges(edges: DataFrame, nodes: DataFrame, properties: list[str]) -> D
     return merge_properties(kept, ["src", "type", "dst"], properties)
 
 
-def replace_links(edges: DataFrame, reviews: DataFrame, new_edges: DataFrame, new_reviews: DataFrame, app_id: str) -> tuple[DataFrame, DataFrame]:
-    """An application's links and pending reviews give way to new ones; decided reviews keep their status."""
-    key = app_id.removeprefix("app:")
-    kept = edges.filter(~((F.col("src") == app_id) & F.col("type").isin(*LINK_TYPES))).unionByName(new_edges)
-    open_ = (F.col("status") == "pending") & F.startswith("id", F.lit(f"{key}:"))
-    return kept, upsert_reviews(reviews.filter(~open_), new_reviews)
+def replace_links(edges: DataFrame, reviews: DataFrame, new_edges: DataFrame, new_reviews: DataFrame, apps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and pending reviews of ``apps`` (key) give way to new ones; decided reviews keep their status."""
+    ids = apps.select(F.concat(F.lit("app:"), "key").alias("__app")).distinct()
+    kept = edges.filter(~F.col("type").isin(*LINK_TYPES)).unionByName(edges.filter(F.col("type").isin(*LINK_TYPES)).join(ids, F.col("src") == F.col("__app"), "left_anti")).unionByName(new_edges)
+    open_ = reviews.filter("status = 'pending'").join(ids, F.col("call_id") == F.col("__app"), "left_semi")
+    return kept, upsert_reviews(reviews.join(open_.select("id"), "id", "left_anti").select(*reviews.columns), new_reviews)
 
 
 def upsert_reviews(old: DataFrame, new: DataFrame) -> DataFrame:

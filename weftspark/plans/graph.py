@@ -136,7 +136,7 @@ def x17_audit_unlinked(spark, sf_dir):
     customer, nation, supplier = (table(spark, sf_dir, n) for n in ("customer", "nation", "supplier"))
     contains = customer.select(ident("nation", "c_nationkey").alias("app_id"), ident("customer", "c_custkey").alias("file_id"))
     declares = table(spark, sf_dir, "orders").select(ident("customer", "o_custkey").alias("file_id"), ident("order", "o_orderkey").alias("owner_id"))
-    calls = table(spark, sf_dir, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("call_id"), ident("order", "l_orderkey").alias("owner_id"), ident("supplier", "l_suppkey").alias("target_id"))
+    calls = table(spark, sf_dir, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("call_id"), ident("order", "l_orderkey").alias("owner_id"), ident("supplier", "l_suppkey").alias("target_id"), F.col("l_returnflag").alias("callee"), ident("part", "l_partkey").alias("call_file"), F.col("l_linenumber").alias("start_line"))
     externals = supplier.select(ident("supplier", "s_suppkey").alias("target_id"), F.expr("case when s_acctbal > 5000 then 'fetch' else s_name end").alias("name"))
     requests = nation.filter("n_regionkey < 2").select(ident("nation", "n_nationkey").alias("app_id"))
     return audit.unlinked_calls(contains, declares, calls, externals, requests)
@@ -205,7 +205,8 @@ UNION ALL SELECT start, node, 2 FROM c
 UNION ALL SELECT start, 'supplier:' || s_suppkey, 2 FROM n JOIN supplier ON s_nationkey = n_nationkey WHERE n_name < 'M'
 UNION ALL SELECT start, 'order:' || o_orderkey, 3 FROM c JOIN orders ON o_custkey = c_custkey""",
     "x17_audit_unlinked": """
-SELECT 'nation:' || c_nationkey AS app_id, l_orderkey || '/' || l_linenumber AS call_id
+SELECT 'nation:' || c_nationkey AS app_id, l_orderkey || '/' || l_linenumber AS call_id,
+       l_returnflag AS callee, 'part:' || l_partkey AS file_id, l_linenumber AS start_line
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
 WHERE s_acctbal > 5000 AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey < 2)
 ORDER BY 1, 2 LIMIT 500""",

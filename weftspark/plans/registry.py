@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, services, sources
+from . import code, graph, services, sources
 
-_MODULES = (services, graph, sources)
+_MODULES = (services, graph, sources, code)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import re
 from collections.abc import Callable
@@ -45,9 +46,39 @@ def tsconfig_aliases(read: Callable[[str], str | None], path: str = "tsconfig.js
     return out
 
 
+def yaml_section(text: str, section: str) -> dict[str, str | bool | int]:
+    """Scalars right under a section of a YAML text: what configurations here hold, no more of the language."""
+    out: dict[str, str | bool | int] = {}
+    inside, indent = False, None
+    for line in text.split("\n"):
+        bare = re.sub(r"(^|\s)#.*$", "", line) if "'" not in line and '"' not in line else line
+        if not bare.strip():
+            continue
+        depth = len(bare) - len(bare.lstrip())
+        key, colon, value = bare.strip().partition(":")
+        if not colon:
+            raise ValueError(f"no key in {line!r}")
+        if depth == 0:
+            inside, indent = key == section and not value.strip(), None
+        elif inside and (indent is None or depth == indent):
+            indent, value = depth, value.strip()
+            quoted = re.match(r"""(['"])(.*?)\1\s*(?:#.*)?$""", value)
+            out[key] = quoted[2] if quoted else {"true": True, "false": False}.get(value.lower(), int(value) if re.fullmatch(r"-?\d+", value) else value)
+    return out
+
+
+def load_authorship(path: str | None, **flags) -> Authorship:
+    """The section ``authorship`` of a YAML file, overridden by flags; a file that is not there has none."""
+    section = {}
+    if path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            section = yaml_section(f.read(), "authorship")
+    return Authorship.of(section, **flags)
+
+
 @dataclass(frozen=True)
 class Authorship:
-    enabled: bool = True
+    enabled: bool = False
     store_email: str = "plain"
     commits_limit: int = 0
     commits_range: str = ""

@@ -9,11 +9,16 @@ from ..functions.text import language_of, readable
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), language, hash (sha256), content (bytes) of the code files under ``root``."""
+    """path (relative), language, hash (sha256), content (bytes) of the code files under ``root``.
+
+    The first filter is on the files' metadata: Spark drops the others from its
+    list before any is opened.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    path = F.element_at(F.split("path", F.concat(F.lit(r"\Q"), F.lit(base + "/"), F.lit(r"\E")), 2), -1)
-    told = raw.select(path.alias("path"), "content").filter(readable(F.col("path")))
+    relative = lambda column: F.element_at(F.split(column, F.concat(F.lit(r"\Q"), F.lit(base + "/"), F.lit(r"\E")), 2), -1)
+    listed = raw.filter(readable(relative(F.col("_metadata.file_path"))))
+    told = listed.select(relative(F.col("path")).alias("path"), "content").filter(readable(F.col("path")))
     return told.select("path", language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("hash"), "content")
 
 

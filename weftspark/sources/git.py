@@ -6,15 +6,29 @@ reachable from every executor.
 
 from __future__ import annotations
 
+import logging
+import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import LANGUAGES, SKIPPED_DIRS
+
+#: Fixed value: fields of a commit.
 FIELDS = ("%H", "%an", "%ae", "%cn", "%ce", "%aI", "%cI", "%P", "%s")
 
 
+_SKIPPED = re.compile(rf"(^|/)({'|'.join(SKIPPED_DIRS)}|\.[^/]+)/")
+
+
+def is_source(path: str) -> bool:
+    """What :func:`weftspark.functions.text.readable` says of a path, for lists that are made before there are rows."""
+    name = path.rsplit("/", 1)[-1]
+    return "." in name and name.rsplit(".", 1)[1] in LANGUAGES and not name.endswith(".d.ts") and not _SKIPPED.search(path)
+
+
 def git(repo: str, *args: str, stdin: bytes | None = None) -> bytes:
     done = subprocess.run(["git", "-C", repo, *args], input=stdin, capture_output=True)
     if done.returncode:
@@ -46,11 +60,27 @@ class _Reader(DataSourceReader):
         return ("--", self.subdir) if self.subdir else ()
 
 
+#: Bytes of blobs that one share reads at once, about.
+SHARE_BYTES = 32 << 20
+
+
 class FilesReader(_Reader):
+    """Source files of a revision: others are left out of the list, before any blob is read."""
+
     def listed(self) -> list:
-        out = git(self.repo, "ls-tree", "-r", "-z", "--full-tree", self.rev, *self.scope())
-        rows = (x.split(b"\t", 1) for x in out.split(b"\0") if x)
-        return [(meta.split()[2].decode(), self.own_path(path.decode())) for meta, path in rows if meta.split()[1] == b"blob"]
+        out = git(self.repo, "ls-tree", "-r", "-z", "--long", "--full-tree", self.rev, *self.scope())
+        rows = ((meta.split(), self.own_path(path.decode(errors="replace"))) for meta, path in (x.split(b"\t", 1) for x in out.split(b"\0") if x))
+        return [(meta[2].decode(), path, int(meta[3])) for meta, path in rows if meta[1] == b"blob" and is_source(path)]
+
+    def partitions(self) -> list[InputPartition]:
+        shares, size = [[]], 0
+        for sha, path, n in self.listed():
+            if shares[-1] and (len(shares[-1]) >= self.share or size + n > SHARE_BYTES):
+                shares.append([])
+                size = 0
+            shares[-1].append((sha, path))
+            size += n
+        return [_Share(x) for x in shares]
 
     def read(self, partition: _Share) -> Iterator[tuple]:
         if not partition.items:
@@ -116,8 +146,9 @@ class BlameReader(FilesReader):
             full = f"{self.subdir}/{path}" if self.subdir else path
             try:
                 out = git(self.repo, "blame", "--line-porcelain", "-w", "-M", "-C", self.rev, "--", full)
-            except OSError:
-                continue  # a file that git can't blame has no owners
+            except OSError as problem:
+                logging.getLogger(__name__).warning("no owners of %s: %s", full, problem)
+                continue
             row: dict[str, str] = {}
             for line in out.decode(errors="replace").split("\n"):
                 if line.startswith("\t"):

@@ -1,4 +1,4 @@
-"""Files that arrive are parsed once by their hash; events are counted in windows of event time."""
+"""Files that arrive are parsed once by their path and hash."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ def changed_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFram
     """A stream of source files as they come into ``folder``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    return raw.filter(readable(F.regexp_replace("path", r"^.*?/(?=[^/]+$)", ""))).withColumn("hash", F.sha2("content", 256))
+    base = folder.rstrip("/").split("://")[-1].removeprefix("file:")
+    relative = F.element_at(F.split("path", F.concat(F.lit(r"\Q"), F.lit(base + "/"), F.lit(r"\E")), 2), -1)
+    return raw.filter(readable(relative)).withColumn("hash", F.sha2("content", 256))
 
 
 def only_new(batch: DataFrame, cache: DataFrame) -> DataFrame:
@@ -24,14 +26,20 @@ def only_new(batch: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def keep_parsed(files: DataFrame, parse: Callable[[DataFrame], DataFrame], cache_path: str, checkpoint: str) -> StreamingQuery:
-    """Parse each new version of a file once; a batch that is run again overwrites its own part of the cache."""
+    """Parse each new version of a file once; ``parse`` keeps path and hash.
+
+    What earlier batches have parsed is left out.  A batch that is run again
+    overwrites its own part of the cache, and does not count that part as earlier.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        parse(batch).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
+        spark = batch.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+        new = batch
+        if there:
+            earlier = spark.read.parquet(cache_path).filter(F.col("batch") < number)
+            new = only_new(batch, earlier)
+        parse(new.dropDuplicates(["path", "hash"])).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def topic_activity(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """Events (ts, event_type, value) by window and type; the state holds open windows only."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
