@@ -1,7 +1,6 @@
 """The ten operators against plain versions, and their edge cases."""
 
 import sys
-from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -267,31 +266,3 @@ def test_near_stage_takes_eight_tenths(spark):
     made = [(1, text("v", 0)), (2, text("v", 109)), (3, text("o", 0)), (4, text("o", 114))]
     stage = {r.doc_id for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(made, "doc_id long, text string"), "").collect()}
     assert stage == {1, 3, 4} == {d for d, _, _, kept in brute.near_dedup(made, percent=80) if kept}
-
-
-def test_pipeline_against_plain_stages(spark, sf_dir):
-    """run() on the smallest tables: too few labels to certify a cutoff, so the base rules alone reject."""
-    import corpus_pipeline
-
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    kept = {}
-    for d, t in docs.items():
-        n, _, _, _, repeated = brute.measures(t)
-        if n >= 50 and 100 * repeated <= 50 * n:
-            kept[d] = t
-    assert {r[0] for r in brute.line_dedup(list(kept.items()))} == set(kept)
-    holders = {}
-    for d, t in sorted(kept.items()):
-        for line in t.split("\n"):
-            holders.setdefault(brute.lower(line.strip(brute.SPACE)), d)
-    lines = {d: "\n".join(x for x in t.split("\n") if len(k := brute.lower(x.strip(brute.SPACE))) < 10 or holders[k] == d) for d, t in kept.items()}
-    near = {d: lines[d] for d, _, c, _ in brute.near_dedup(list(lines.items())) if c == d}
-    clean = {d: secrets.without(t, "[SECRET]") for d, t in near.items()}
-    enc = brute.tokenizer()
-    want = Counter({d: len(enc(t)) + 1 for d, t in clean.items()})
-    got = Counter()
-    for r in corpus_pipeline.run(spark, sf_dir).collect():
-        got[r.doc_id] += r.length
-        ids = enc(clean[r.doc_id]) + [1]
-        assert np.frombuffer(r.ids, "<u2").tolist() == ids[r.start : r.start + r.length]
-    assert got == want
