@@ -3,8 +3,8 @@
 import pytest
 
 from weftspark import api
+from weftspark.model import Graph
 from weftspark.parse.tokens import streams, tokens
-from weftspark.sources.files import texts
 
 FILES = {
     "src/main.js": """// import ghost from 'ghost'
@@ -39,6 +39,8 @@ const start = async (port) => { await kafka.send('made', port); };
 start(8080).catch(report);
 module.exports = { run, Counter };
 """,
+    "src/empty.js": "",
+    "src/comment.ts": "// only a comment\n",
     "src/side.js": "let one = 1, two = 2;\n",
     "src/util.js": "function helper(v) { return v; }\nfunction other(w) { return w }\nmodule.exports = { helper, other };\n",
     "src/api.ts": """import { Injectable, type Thing } from '@x/common';
@@ -191,9 +193,11 @@ def test_long_texts_of_every_kind(spark):
     assert streams(t).agg({"seg": "max"}).first()[0] == 3
 
 
-def test_files_without_anything(spark):
-    rows = [("a.js", "javascript", "h", bytearray(b"")), ("b.ts", "typescript", "h", bytearray(b"// only a comment\n"))]
+def test_files_without_anything(spark, graph):
+    nodes, edges = graph
+    for name in ("src/empty.js", "src/comment.ts"):
+        assert [i for i in nodes if i.startswith(name)] == [name] and ("CONTAINS", "app:k", name) in edges
+    rows = [("a.js", "javascript", "h", bytearray(b"x")), ("b.ts", "typescript", "h", bytearray(b"\xff"))]
     files = spark.createDataFrame(rows, "path string, language string, hash string, content binary")
-    g = api.extract(spark, files, "none")
-    assert {r.type for r in g.nodes.collect()} == {"Application", "File"} and texts(files).count() == 2
-    assert tuple(api.report(g, files).first()) == (2, 0, 3, 2)
+    g = Graph(spark.range(3), spark.range(2))
+    assert tuple(api.report(g, files).first()) == (2, 1, 3, 2)

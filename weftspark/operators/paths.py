@@ -55,21 +55,23 @@ def first_ways(parents: DataFrame) -> DataFrame:
 
     ``way``: seq and node of each step.  Ways of one row come in order of that
     walk: an ancestor before what is above it.  No way meets a node twice, so
-    circles end.  Rounds double the length and end when nothing changes.
+    circles end.  The beginning of a first way is itself one: so rounds double
+    the length, joining only the ways of full length with all that is known, and
+    end when there is none.
     """
     step = F.struct(F.col("seq").cast("long").alias("seq"), F.col("parent").alias("node"))
     known = parents.filter("id <> parent").groupBy("id", F.col("parent").alias("ancestor")).agg(F.min(F.array(step)).alias("way"))
-    known = materialise(known, "ways")
+    known, reached = materialise(known, "ways"), 1
     while True:
-        a, b = known.alias("a"), known.alias("b")
+        a, b = known.filter(F.size("way") == reached).alias("a"), known.alias("b")
         way = F.concat("a.way", "b.way")
         further = a.join(b, F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", way.alias("way"))
         nodes = F.array_append(F.transform("way", lambda x: x["node"]), F.col("id"))
-        further = further.filter(F.size(F.array_distinct(nodes)) == F.size(nodes))
-        new = materialise(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
-        if summed(new) == summed(known):
-            return new
-        known = new
+        further = materialise(further.filter(F.size(F.array_distinct(nodes)) == F.size(nodes)).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
+        if further.isEmpty():
+            return known
+        known = materialise(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
+        reached *= 2
 
 
 def summed(df: DataFrame) -> tuple:
