@@ -89,11 +89,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, projector = shared_memo(library_memo, tokenizer_path), Projector()
         kind, row = np.dtype(f"<u{width}"), task_number() << 33
-        end = np.array([end_id], kind).tobytes()
+        end, same = np.array([end_id], kind).tobytes(), memo.dtype == kind
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 ids = memo.encode([t or "" for t in part.column("text").to_pylist()])
-                ids = [(x if memo.dtype == kind else np.frombuffer(x, memo.dtype).astype(kind).tobytes()) + end for x in ids]
+                ids = [(x if same else np.frombuffer(x, memo.dtype).astype(kind).tobytes()) + end for x in ids]
                 keys = hilbert_key(projector.points([np.frombuffer(x, kind)[:-1] for x in ids]))
                 rows = pa.array(range(row, row + len(ids)), pa.int64())
                 row += len(ids)

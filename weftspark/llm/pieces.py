@@ -26,38 +26,48 @@ class Memo:
     """Token ids of texts, remembering those of pieces.
 
     ``encode_pieces`` gets distinct pieces and returns their ids as bytes of
-    type ``dtype``.  Texts are cut at matches of ``added`` (one group) first,
-    each of which is a piece of its own.  The memo is emptied at ``limit``
+    type ``dtype``.  Texts are cut at the ``added`` names first (the longest where
+    several fit), each of which is a piece of its own.  The memo is emptied at ``limit``
     entries, and pieces of over ``longest`` characters are not remembered:
     memory is bounded.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], dtype: str = "<u4", added: re.Pattern | None = None, limit: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], dtype: str = "<u4", added: tuple[str, ...] = (), limit: int = 400_000, longest: int = 64) -> None:
         self.encode_pieces, self.dtype, self.added, self.limit, self.longest = encode_pieces, np.dtype(dtype), added, limit, longest
+        self.splits = re.compile(f"({'|'.join(re.escape(x) for x in sorted(added, key=len, reverse=True))})") if added else None
         self.pieces: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        if self.added is None or not self.added.search(text):
+        for name in self.added:
+            if name in text:
+                break
+        else:
             return cut(text)
-        parts = self.added.split(text)
+        parts = self.splits.split(text)
         return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else cut(part))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        known, parts = self.pieces, [self.cut(t) for t in texts]
-        new: set[str] = set()
-        for x in parts:
-            new.update(x)
-        new = new.difference(known)
-        if new:
+        known, get = self.pieces, self.pieces.__getitem__
+        out: list[bytes] = []
+        waiting: list[tuple[int, list[str]]] = []
+        for i, text in enumerate(texts):
+            pieces = self.cut(text)
+            try:
+                out.append(b"".join(map(get, pieces)))
+            except KeyError:  # some piece is new
+                out.append(b"")
+                waiting.append((i, pieces))
+        if waiting:
+            new = set().union(*(x for _, x in waiting)).difference(known)
             missing = list(new)
             known.update(zip(missing, self.encode_pieces(missing), strict=True))
-        get = known.__getitem__
-        out = [b"".join(map(get, x)) for x in parts]
-        for p in new:
-            if len(p) > self.longest:
-                del known[p]
+            for i, pieces in waiting:
+                out[i] = b"".join(map(get, pieces))
+            for p in missing:
+                if len(p) > self.longest:
+                    del known[p]
         return out
 
 
@@ -86,8 +96,7 @@ def library_memo(path: str) -> Memo:
     extra = list(tok.get_added_tokens_decoder().values())
     if any(t.lstrip or t.rstrip or t.single_word for t in extra):
         raise ValueError("added tokens that take in what stands beside them are not supported")
-    names = sorted((t.content for t in extra if t.content), key=len, reverse=True)
-    added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+    added = tuple(t.content for t in extra if t.content)
     vocab = tok.get_vocab(with_added_tokens=True)
     dtype = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
     begins = np.zeros(max(vocab.values()) + 1, bool)
@@ -99,13 +108,13 @@ def library_memo(path: str) -> Memo:
         spaced = [p for p in pieces if len(p) > 1 and p[0] == " " and " " not in p[1:] and not p[1].isspace()]
         for i in range(0, len(spaced), 2000):
             part = spaced[i : i + 2000]
-            ids = np.array(tok.encode("".join(part), add_special_tokens=False).ids, dtype)
+            ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype)
             at = np.flatnonzero(begins[ids])
             if len(at) == len(part):
                 data, cuts = ids.tobytes(), (at * ids.itemsize).tolist()
                 out.update((p, data[a:b]) for p, a, b in zip(part, cuts, [*cuts[1:], len(data)], strict=True))
         rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, (np.array(e.ids, dtype).tobytes() for e in tok.encode_batch(rest, add_special_tokens=False)), strict=True))
+        out.update(zip(rest, (np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         return [out[p] for p in pieces]
 
     return Memo(encode, dtype, added)

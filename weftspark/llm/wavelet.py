@@ -169,14 +169,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     bits, kind = max(1, most.bit_length()), "<u2" if most < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = shared_memo(library_memo, tokenizer_path), np.array([end_id], kind)
+        memo, end = shared_memo(library_memo, tokenizer_path), np.array([end_id], kind).tobytes()
+        width, same = np.dtype(kind).itemsize, memo.dtype == np.dtype(kind)
         store, base = _filesystem(folder)
         part, shard, tokens = task_number(), 0, 0
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
         names: list = []
 
         def flush() -> pa.RecordBatch:
-            data = dump_shard(np.concatenate(ids), names, [len(x) for x in ids], bits)
+            data = dump_shard(np.frombuffer(b"".join(ids), kind), names, [len(x) // width for x in ids], bits)
             path = f"{base}/shard-{part:06d}-{shard:06d}.wvlt"
             store.create_dir(base, recursive=True)
             with store.open_output_stream(draft := f"{path}.{uuid.uuid4().hex}") as out:
@@ -187,9 +188,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         for batch in batches:
             for piece in slices(batch, limit=SLICE):
                 for doc, x in zip(piece.column("doc_id").to_pylist(), memo.encode([t or "" for t in piece.column("text").to_pylist()]), strict=True):
-                    ids.append(np.concatenate([np.frombuffer(x, memo.dtype).astype(kind, copy=False), end]))
+                    own = (x if same else np.frombuffer(x, memo.dtype).astype(kind).tobytes()) + end
+                    ids.append(own)
                     names.append(doc)
-                    tokens += len(ids[-1])
+                    tokens += len(own) // width
                     if tokens >= shard_tokens:
                         yield flush()
                         shard, tokens = shard + 1, 0
