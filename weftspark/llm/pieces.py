@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -27,12 +28,12 @@ class Memo:
 
     ``encode_pieces`` gets distinct pieces and returns their ids as bytes of
     type ``dtype``.  Texts are cut at the ``added`` names first (the longest where
-    several fit), each of which is a piece of its own.  The memo is emptied at ``limit``
-    entries, and pieces of over ``longest`` characters are not remembered:
+    several fit), each of which is a piece of its own.  Beyond ``limit`` entries the memo
+    forgets all but the first half, and pieces of over ``longest`` characters are not remembered:
     memory is bounded.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], dtype: str = "<u4", added: tuple[str, ...] = (), limit: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], dtype: str = "<u4", added: tuple[str, ...] = (), limit: int = 800_000, longest: int = 64) -> None:
         self.encode_pieces, self.dtype, self.added, self.limit, self.longest = encode_pieces, np.dtype(dtype), added, limit, longest
         self.splits = re.compile(f"({'|'.join(re.escape(x) for x in sorted(added, key=len, reverse=True))})") if added else None
         self.pieces: dict[str, bytes] = {}
@@ -48,7 +49,8 @@ class Memo:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > self.limit:
-            self.pieces.clear()
+            # Frequent pieces come early: the first half stays.
+            self.pieces = dict(islice(self.pieces.items(), self.limit // 2))
         known, get = self.pieces, self.pieces.__getitem__
         out: list[bytes] = []
         waiting: list[tuple[int, list[str]]] = []
