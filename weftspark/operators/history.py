@@ -6,16 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.confidence import rank
 
-def semantic_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, change) between declarations (id, signature, body): added, removed, signature or body."""
-    o, n = (df.select("id", F.col("signature").alias(f"s{i}"), F.col("body").alias(f"b{i}")) for i, df in enumerate((old, new)))
+
+def semantic_diff(old: DataFrame, new: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+    """(id, change) between declarations (id, signature, body): added, removed, signature or body.
+
+    With ``renames`` (old_file, new_file) declarations of a renamed file keep their
+    identity and are told as renamed if nothing else changed; with a column place
+    in both, those of which only that differs are told as moved.
+    """
+    placed = "place" in old.columns and "place" in new.columns
+    was = old.withColumn("was", F.col("id"))
+    was = was if renames is None else renamed(was, renames)
+    o, n = (df.select("id", F.col("signature").alias(f"s{i}"), F.col("body").alias(f"b{i}"), (F.col("place") if placed else F.lit(None)).alias(f"p{i}"), *more) for i, (df, more) in enumerate(((was, ["was"]), (new, []))))
     both = o.withColumn("in0", F.lit(True)).join(n.withColumn("in1", F.lit(True)), "id", "full_outer")
     change = (
         F.when(F.col("in0").isNull(), "added")
         .when(F.col("in1").isNull(), "removed")
         .when(~F.col("s0").eqNullSafe(F.col("s1")), "signature")
         .when(~F.col("b0").eqNullSafe(F.col("b1")), "body")
+        .when(F.col("was") != F.col("id"), "renamed")
+        .when(~F.col("p0").eqNullSafe(F.col("p1")), "moved")
     )
     return both.select("id", change.alias("change")).filter("change is not null")
 
@@ -51,6 +63,12 @@ def renamed(df: DataFrame, renames: DataFrame, column: str = "id") -> DataFrame:
 
 
 def suspects(cone: DataFrame, changes: DataFrame, most: int = 10) -> DataFrame:
-    """Changes (node, changed) inside a failure's ``cone`` (start, node, distance), nearest and then newest first: the top of each start."""
-    w = W.partitionBy("start").orderBy("distance", F.desc("changed"), "node")
+    """Changes (node, changed) inside a failure's ``cone`` (start, node, distance): the top of each start.
+
+    Nearest first; then by kind (dependencies and signatures, bodies, what is new)
+    and by how sure the way is (resolution), where there are such columns; then newest.
+    """
+    kind = F.when(F.col("kind").isin("deps", "signature"), 0).when(F.col("kind") == "body", 1).when(F.col("kind") == "added", 2).otherwise(3)
+    order = ["distance", *([kind] if "kind" in changes.columns else []), *([rank(F.col("resolution"))] if "resolution" in cone.columns else []), F.desc("changed"), "node"]
+    w = W.partitionBy("start").orderBy(*order)
     return cone.join(changes, "node").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)

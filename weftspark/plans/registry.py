@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, graph, services, sources
+from . import code, graph, impact, services, sources
 
-_MODULES = (services, graph, sources, code)
+_MODULES = (services, graph, sources, code, impact)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
