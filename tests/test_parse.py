@@ -42,6 +42,10 @@ module.exports = { run, Counter };
     "src/empty.js": "",
     "src/comment.ts": "// only a comment\n",
     "src/side.js": "let one = 1, two = 2;\n",
+    "src/plain.ts": "export default class extends Base { go(x) { return x; } }\n",
+    "src/lone.js": "export default async (x) => { return x; }\n",
+    "src/word.js": "export default function (x) { return x; }\n",
+    "src/uses.js": "import Plain from './plain';\nimport lone from './lone';\nimport word from './word';\nlone(word(1));\nnew Plain();\n",
     "src/util.js": "function helper(v) { return v; }\nfunction other(w) { return w }\nmodule.exports = { helper, other };\n",
     "src/api.ts": """import { Injectable, type Thing } from '@x/common';
 import { Repo as Store, Kind } from './repo';
@@ -185,6 +189,14 @@ def test_modules(graph):
     assert nodes["app:k"].env_vars_read == ["USERS_URL"] and nodes["app:k"].host_candidates == ["users:8080"]
 
 
+def test_defaults_without_a_name(graph):
+    nodes, edges = graph
+    told = {f: (nodes[f"{f}#default"].type, nodes[f"{f}#default"].kind, nodes[f"{f}#default"].exported) for f in ("src/plain.ts", "src/lone.js", "src/word.js")}
+    assert told == {"src/plain.ts": ("Class", None, True), "src/lone.js": ("Function", "arrow", True), "src/word.js": ("Function", "expression", True)}
+    has(edges, ("HAS_METHOD", "src/plain.ts#default", "src/plain.ts#default.go"), ("EXPORTS", "src/lone.js", "src/lone.js#default"), ("EXPORTS", "src/word.js", "src/word.js#default"), ("EXPORTS", "src/plain.ts", "src/plain.ts#default"))
+    assert {d for t, s, d in edges if t in ("CALLS", "INSTANTIATES") and s.startswith("src/uses.js")} == {"src/lone.js#default", "src/word.js#default", "src/plain.ts#default"}
+
+
 def test_long_texts_of_every_kind(spark):
     """A megabyte in a string, a template and a comment: one token each."""
     long = "x y" * 350_000

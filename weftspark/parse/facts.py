@@ -115,7 +115,7 @@ def holders(s: Source) -> DataFrame:
     """Classes, interfaces and enums: file_id, i, kind, name, body, body_end, grp, seg, heritage (tokens between name and body)."""
     word = s.v.filter(c("tok").isin("class", "interface", "enum") & ~F.coalesce(c("q1"), F.lit("")).isin(".", "?.") & c("next_brace").isNotNull() & (_is_name(c("s1")) | ((c("tok") == "class") & (c("s1") == "{"))))
     ends = s.v.select("file_id", c("i").alias("next_brace"), c("mate").alias("body_end"))
-    assigned = F.when(c("q1") == "=", c("q2"))
+    assigned = F.when(c("q1") == "=", c("q2")).when((c("q1") == "default") | ((c("q1") == "abstract") & (c("q2") == "default")), F.lit("default"))
     name = F.when(_is_name(c("s1")) & ~c("s1").isin("extends", "implements"), c("s1")).otherwise(assigned)
     found = word.join(ends, ["file_id", "next_brace"]).select(*KEY, "i", "line", "col", F.initcap("tok").alias("kind"), name.alias("name"), c("next_brace").alias("body"), "body_end")
     told = found.join(s.segs.select(*KEY, "toks"), KEY)
@@ -178,7 +178,9 @@ def functions(s: Source, classes: DataFrame, ms: DataFrame, ds: DataFrame) -> Da
     word = v.filter((c("tok") == "function") & c("next_brace").isNotNull() & c("next_paren").isNotNull())
     own = F.when(_is_name(c("s1")), c("s1")).when((c("s1") == "*") & _is_name(c("s2")), c("s2"))
     is_async = F.coalesce(c("q1") == "async", F.lit(False))
-    word = word.select(*PART, F.when(is_async, c("q_i")).otherwise(c("i")).alias("i"), own.alias("name"), F.lit("function").alias("kind"), c("next_paren").alias("open"), c("next_brace").alias("b"), F.lit(None).cast("int").alias("single"), is_async.alias("async"), (c("q1").isin("=") | (is_async & (c("q2") == "="))).alias("assigned"))
+    # What is exported by default without a name is called so.
+    by_default = lambda q1, q2: F.coalesce((q1 == "default") | (is_async & (q2 == "default")), F.lit(False))
+    word = word.select(*PART, F.when(is_async, c("q_i")).otherwise(c("i")).alias("i"), F.coalesce(own, F.when(by_default(c("q1"), c("q2")), F.lit("default"))).alias("name"), own.isNotNull().alias("own_name"), by_default(c("q1"), c("q2")).alias("by_default"), F.lit("function").alias("kind"), c("next_paren").alias("open"), c("next_brace").alias("b"), F.lit(None).cast("int").alias("single"), is_async.alias("async"), (c("q1").isin("=") | (is_async & (c("q2") == "="))).alias("assigned"))
     word = word.join(mates, ["file_id", "b"]).select(*[x for x in word.columns if x != "b"], c("b").alias("body"), c("b_end").alias("body_end"))
     # Arrows: ( ) => or name =>, with a type before the arrow perhaps.
     arrow = v.filter("tok = '=>'")
@@ -187,17 +189,17 @@ def functions(s: Source, classes: DataFrame, ms: DataFrame, ds: DataFrame) -> Da
     begins = v.select("file_id", c("i").alias("begin"), c("q1").alias("bq1"), c("q2").alias("bq2"), c("q_i").alias("bq_i"))
     arrow = arrow.withColumn("begin", F.coalesce("open", "single")).join(begins, ["file_id", "begin"]).join(mates, ["file_id", "b"], "left")
     is_async = F.coalesce(c("bq1") == "async", F.lit(False))
-    arrow = arrow.select(*PART, F.when(is_async, c("bq_i")).otherwise(c("begin")).alias("i"), F.lit(None).cast("string").alias("name"), F.lit("arrow").alias("kind"), "open", "single", F.coalesce("b", c("arrow") + 1).alias("body"), F.coalesce("b_end", "sub_end").alias("body_end"), is_async.alias("async"), ((c("bq1") == "=") | (is_async & (c("bq2") == "="))).alias("assigned"), "type_words")
+    arrow = arrow.select(*PART, F.when(is_async, c("bq_i")).otherwise(c("begin")).alias("i"), F.when(by_default(c("bq1"), c("bq2")), F.lit("default")).alias("name"), F.lit(False).alias("own_name"), by_default(c("bq1"), c("bq2")).alias("by_default"), F.lit("arrow").alias("kind"), "open", "single", F.coalesce("b", c("arrow") + 1).alias("body"), F.coalesce("b_end", "sub_end").alias("body_end"), is_async.alias("async"), ((c("bq1") == "=") | (is_async & (c("bq2") == "="))).alias("assigned"), "type_words")
     both = word.unionByName(arrow, allowMissingColumns=True)
     # What is assigned to a variable or a field of a class takes its name.
     given = ds.filter("name is not null and eq is not null").select(*PART, c("name").alias("given"), c("exported").alias("given_exported"), c("eq").alias("eq_d"), F.lit("variable").alias("by"), _none("int").alias("class_i"), _none("string").alias("class_kind"))
     given = given.unionByName(ms.filter("not is_method and eq is not null and class_kind = 'Class'").select(*PART, c("name").alias("given"), F.lit(False).alias("given_exported"), c("eq").alias("eq_d"), F.lit("field").alias("by"), "class_i", "class_kind"))
     both = both.join(given, PART, "left").withColumn("takes", F.coalesce(c("assigned") & (c("i") > c("eq_d")) & (c("i") - c("eq_d") <= 1), F.lit(False)))
     exported = F.exists(_slice(c("toks"), F.lit(0), c("i")), lambda x: x["tok"] == "export")
-    both = both.join(s.segs.select(*KEY, "toks"), KEY).withColumn("exported", F.when(c("takes"), c("given_exported")).otherwise((c("kind") == "function") & exported & (c("name").isNotNull())))
+    both = both.join(s.segs.select(*KEY, "toks"), KEY).withColumn("exported", F.when(c("takes"), c("given_exported")).otherwise(c("by_default") | ((c("kind") == "function") & exported & (c("name").isNotNull()))))
     # A function word at the beginning of its statement declares its name.
     lead = F.filter(_core(c("toks")), lambda x: ~x["tok"].isin("export", "default", "async", "declare"))
-    declares = (c("kind") == "function") & c("name").isNotNull() & F.coalesce(F.get(lead, F.lit(0))["tok"] == "function", F.lit(False)) & (F.get(lead, F.lit(0))["i"] - c("i") <= 1)
+    declares = (c("kind") == "function") & c("own_name") & F.coalesce(F.get(lead, F.lit(0))["tok"] == "function", F.lit(False)) & (F.get(lead, F.lit(0))["i"] - c("i") <= 1)
     colon = F.when(c("kind") == "function", _first(_slice(c("toks"), c("open"), c("body")), ":")["i"])
     words = F.transform(_slice(c("toks"), colon, c("body")), lambda x: x["tok"])
     both = both.select(
