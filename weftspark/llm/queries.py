@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, and what SQL says of them."""
+"""The operators as registered queries, and what SQL says of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, naming, neardup, packing, quality, secrets, urlgraph, wavelet
+from . import bpe, chat, linededup, naming, neardup, packing, quality, secrets, sql, urlgraph, vectorcodes, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_digest(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_url_filter, op4_quality, op5_bpe, op6_secrets, op7_near_dedup, op8_token_files, op9_chat, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_url_filter, op4_quality, op5_bpe, op6_secrets, op7_near_dedup, op8_token_files, op9_chat, op10_exact_dedup, op11_vector_codes)}
 
 
 _LINE_DEDUP = r"""
@@ -95,4 +99,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINE_DEDUP, "op10_exact_dedup": _EXACT_DEDUP}
+    return {"op2_line_dedup": _LINE_DEDUP, "op10_exact_dedup": _EXACT_DEDUP, "op11_vector_codes": sql.vector_codes()}
