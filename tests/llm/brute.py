@@ -315,3 +315,56 @@ def url_filter(pages, rules):
         doubt = rule is None and (abs(distrust - 0.5) < 0.03 or (distrust > 0.4 and abs(distrust - trust) < 0.03))
         told[p] = host, path, rule, verdicts[rule] if rule else "block" if distrust > 0.5 and distrust > trust else "allow", doubt
     return told
+
+
+def vector_codes(rows, parts=4, entries=256, rounds=4, scale=1024):
+    """rows: (vec_id, vector, label)."""
+    kept = sorted((i, v, [math.floor(scale * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v))
+    if not kept:
+        return []
+    width = len(kept[0][2]) // parts
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(r[2], p) for r in kept[:entries]] for p in range(parts)]
+    near = lambda p, x: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), j) for j, e in enumerate(books[p]))
+    for _ in range(rounds):
+        new = []
+        for p in range(parts):
+            held = defaultdict(list)
+            for r in kept:
+                held[near(p, cut(r[2], p))[1]].append(cut(r[2], p))
+            new.append([[sum(c) // len(held[j]) for c in zip(*held[j], strict=True)] if j in held else e for j, e in enumerate(books[p])])
+        books = new
+    digest = sha(",".join(str(v) for book in books for e in book for v in e))
+    out, labels = [], Counter()
+    for i, _, v, label in kept:
+        found = [near(p, cut(v, p)) for p in range(parts)]
+        error = sum(f for f, _ in found)
+        labels[label] += error
+        out.append((i, "".join(f"{j:02x}" for _, j in found), error, label))
+    return [(i, code, error, labels[label], digest) for i, code, error, label in out]
+
+
+def trie(rows, period=5, most=9):
+    """rows: (conv_id, turn, role, text), turns distinct within a conversation."""
+    own = defaultdict(list)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0)):
+        if conv is not None:
+            own[conv].append((role or "", text or ""))
+    members = defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        whole = own.get(c - c % period, [])[:h] + turns[h:]
+        for d in range(len(whole) + 1):
+            members[tuple(whole[:d])].append((c, len(whole)))
+    kids = defaultdict(list)
+    for node in members:
+        if node:
+            kids[node[:-1]].append(node)
+    told = {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves = sum(told[k][0] for k in kids[node]) or 1
+        saved = sum(told[k][1] for k in kids[node]) + ((len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0)
+        told[node] = leaves, saved
+    least = {n: min(c for c, _ in m) for n, m in members.items()}
+    ends = {n: sha(",".join(str(c) for c, length in sorted(m) if length == len(n))) for n, m in members.items()}
+    return [(least[n], len(n), least[n[:-1]] if n else None, len(m), len(kids[n]), *told[n], ends[n]) for n, m in members.items()]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, naming, neardup, packing, quality, secrets, sql, urlgraph, vectorcodes, wavelet
+from . import bestfit, bpe, chat, linededup, naming, neardup, packing, prefixtrie, quality, secrets, sql, urlgraph, vectorcodes, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.vector_digest(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.best_fit_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, tokens=2048)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_digest(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_url_filter, op4_quality, op5_bpe, op6_secrets, op7_near_dedup, op8_token_files, op9_chat, op10_exact_dedup, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_pack, op2_line_dedup, op3_url_filter, op4_quality, op5_bpe, op6_secrets, op7_near_dedup, op8_token_files, op9_chat, op10_exact_dedup, op11_vector_codes, op12_best_fit, op13_prefix_trie)}
 
 
 _LINE_DEDUP = r"""
@@ -99,4 +107,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINE_DEDUP, "op10_exact_dedup": _EXACT_DEDUP, "op11_vector_codes": sql.vector_codes()}
+    return {"op2_line_dedup": _LINE_DEDUP, "op10_exact_dedup": _EXACT_DEDUP, "op11_vector_codes": sql.vector_codes(), "op13_prefix_trie": sql.TRIE}

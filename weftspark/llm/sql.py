@@ -38,3 +38,47 @@ told AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry,
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
 FROM coded JOIN kept USING (id) CROSS JOIN told"""
     )
+
+
+#: Conversations rebuilt, then every distinct beginning as a list of turns; a node's subtree are the nodes that begin with it.
+#: DuckDB has no crc32: its reversed polynomial divides bit by bit.
+TRIE = """
+WITH RECURSIVE told AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS digits FROM told),
+crc AS (
+  SELECT conv_id, digits, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM ids
+  UNION ALL
+  SELECT conv_id, digits, k + 1, CAST(xor(z >> 1, 3988292384 * (z & 1)) AS BIGINT)
+  FROM (SELECT conv_id, digits, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(substr(digits, k // 8 + 1, 1)) AS BIGINT)) ELSE c END AS z
+        FROM crc WHERE k < 8 * length(digits))),
+heads AS (
+  SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base, xor(c, CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM crc WHERE k = 8 * length(digits)),
+turns AS (
+  SELECT heads.conv_id, 0 AS own, place, role, text FROM heads JOIN told ON told.conv_id = base WHERE place < h
+  UNION ALL
+  SELECT heads.conv_id, 1, place, role, text FROM heads JOIN told ON told.conv_id = heads.conv_id WHERE place >= h),
+ways AS (
+  SELECT conv_id, strlen(text) AS bytes, sha256(concat(strlen(role), ':', role, text)) AS name,
+         row_number() OVER w AS depth, count(*) OVER (PARTITION BY conv_id) AS length
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)),
+begun AS (
+  SELECT conv_id, depth, length, bytes, list(name) OVER (PARTITION BY conv_id ORDER BY depth) AS way FROM ways
+  UNION ALL
+  SELECT ids.conv_id, 0, (SELECT count(*) FROM turns WHERE turns.conv_id = ids.conv_id), 0, [] FROM ids),
+nodes AS (
+  SELECT way, depth, min(conv_id) AS conv_id, count(*) AS n, max(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends
+  FROM begun GROUP BY way, depth),
+kids AS (SELECT way[1:depth - 1] AS way, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+tops AS (
+  SELECT way[1:d] AS way, sum((n - 1) * bytes) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM (SELECT nodes.*, n_children, unnest(generate_series(0, depth)) AS d FROM nodes LEFT JOIN kids ON kids.way = nodes.way) GROUP BY ALL)
+SELECT nodes.conv_id, nodes.depth, parents.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN tops ON tops.way = nodes.way LEFT JOIN kids ON kids.way = nodes.way
+LEFT JOIN nodes AS parents ON nodes.depth > 0 AND parents.depth = nodes.depth - 1 AND parents.way = nodes.way[1:nodes.depth - 1]
+"""

@@ -110,6 +110,16 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
+def _codes(batch: pa.RecordBatch, parts: int, known: bool) -> np.ndarray:
+    """Entries of the round before; nothing is known before the first."""
+    return batch.column("codes").flatten().to_numpy().reshape(-1, parts).astype(np.int64) if known else np.zeros((batch.num_rows, parts), np.int64)
+
+
+def _lists(codes: list[np.ndarray]) -> pa.Array:
+    rows = np.stack(codes, 1).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int32()))
+
+
 def _split(x: int, digits: int) -> list[int]:
     out = []
     for _ in range(digits - 1):
@@ -149,14 +159,13 @@ def _round(books: list[Codebook], layout: Layout, known: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                x = to_integers(_matrix(part, "vector"), layout.scale)
+                x, were = to_integers(_matrix(part, "vector"), layout.scale), _codes(part, len(books), known)
                 codes = []
                 for p, (book, (a, b)) in enumerate(zip(books, layout.bounds, strict=True)):
-                    before = np.array([c[p] for c in part.column("codes").to_pylist()], np.int64) if known else np.zeros(len(x), np.int64)
-                    codes.append(book.nearest(x[:, a:b], before)[0])
+                    codes.append(book.nearest(x[:, a:b], were[:, p])[0])
                     sums.add(p, x[:, a:b], codes[-1])
                 n = part.num_rows
-                told = pa.array(np.stack(codes, 1).tolist(), pa.list_(pa.int32()))
+                told = _lists(codes)
                 empty = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
                 out = pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), part.column("label"), told, *empty], names=["id", "vector", "label", "codes", "part", "entry", "n", "digits"])
                 schema = out.schema
@@ -258,14 +267,13 @@ def _last(books: list[Codebook], layout: Layout, known: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                x = to_integers(_matrix(part, "vector"), layout.scale)
+                x, were = to_integers(_matrix(part, "vector"), layout.scale), _codes(part, len(books), known)
                 codes, error = [], [0] * len(x)
                 for p, (book, (a, b)) in enumerate(zip(books, layout.bounds, strict=True)):
-                    before = np.array([c[p] for c in part.column("codes").to_pylist()], np.int64) if known else np.zeros(len(x), np.int64)
-                    index, far = book.nearest(x[:, a:b], before)
+                    index, far = book.nearest(x[:, a:b], were[:, p])
                     codes.append(index)
                     error = [e + int(f) for e, f in zip(error, far.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(np.stack(codes, 1).tolist(), pa.list_(pa.int32())), pa.array([e if e < 1 << 63 else None for e in error], pa.int64())], names=["id", "label", "codes", "error"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), _lists(codes), pa.array([e if e < 1 << 63 else None for e in error], pa.int64())], names=["id", "label", "codes", "error"])
 
     return run
 
