@@ -181,7 +181,8 @@ def paths(begun: DataFrame) -> DataFrame:
     onward = begun.filter("depth > 0").select(F.col("before").alias("node"), F.col("p").alias("next"))
     ends = begun.filter("depth = length").select(F.col("p").alias("node"), F.lit(None).cast("binary").alias("next"))
     kinds = onward.unionByName(ends).groupBy("node").agg(F.count("*").alias("n"), F.count("next").alias("m"), F.min("next").alias("low"), F.max("next").alias("high"))
-    parting = kinds.filter("m < n or low <> high").select(F.col("node").alias("p"))
+    # Written: what many conversations pass through can then be split where it is joined.
+    parting = materialise(kinds.filter("m < n or low <> high").select(F.col("node").alias("p")), "parting")
     step = F.struct("depth", "p", "cum")
     steps = begun.filter("depth > 0").join(parting, "p").select("conv_id", step.alias("step")).unionByName(begun.filter("depth = 0").select("conv_id", step.alias("step")))
     return steps.groupBy("conv_id").agg(F.array_sort(F.collect_list("step")).alias("path"))
