@@ -74,9 +74,31 @@ def first_ways(parents: DataFrame) -> DataFrame:
         reached *= 2
 
 
-def summed(df: DataFrame) -> tuple:
-    """What tells whether a table's content stands still: its number of rows and the sum of their hashes."""
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+def first_found(starts: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(start, value) of each of ``starts`` that reaches one of ``ends`` (node, rank, value) over ``edges`` (src, dst, rank): the end that comes first depth first.
+
+    At a node, edges and ends are taken by rank; no way meets a node twice.  The
+    first way to an end begins with first ways to the nodes on it, so of each
+    start and node only the first way known so far is kept.  A round extends the
+    ways that the last one found or bettered, unless an end comes before them.
+    """
+    step = lambda node: F.struct(F.col("rank").cast("long").alias("rank"), node.alias("node"))
+    edges, ends = materialise(edges, "steps"), materialise(ends.select(F.col("node").alias("at"), F.col("rank").cast("long").alias("rank"), "value"), "ends")
+    best = materialise(starts.select("start", F.col("start").alias("at"), F.array().cast("array<struct<rank:bigint,node:string>>").alias("way")).distinct(), "ways")
+    new, hits = best, None
+    while True:
+        met = new.join(ends, "at").select("start", F.array_append("way", step(F.lit(""))).alias("way"), "value")
+        hits = materialise((met if hits is None else hits.unionByName(met)).groupBy("start").agg(F.min("way").alias("way"), F.min_by("value", "way").alias("value")), "found")
+        longer = new.join(edges, new["at"] == edges["src"]).select("start", F.col("dst").alias("at"), "way", "rank")
+        longer = longer.filter((F.col("at") != F.col("start")) & ~F.exists("way", lambda x: x["node"] == F.col("at")))
+        longer = longer.select("start", "at", F.array_append("way", step(F.col("at"))).alias("way"))
+        hit = hits.select("start", F.col("way").alias("ended"))
+        longer = longer.join(hit, "start", "left").filter("ended is null or way < ended").groupBy("start", "at").agg(F.min("way").alias("way"))
+        known = best.select("start", "at", F.col("way").alias("had"))
+        new = materialise(longer.join(known, ["start", "at"], "left").filter("had is null or way < had").select("start", "at", "way"), "ways")
+        if new.isEmpty():
+            return hits.select("start", "value")
+        best = materialise(best.unionByName(new).groupBy("start", "at").agg(F.min("way").alias("way")), "ways")
 
 
 def nearest(lookups: DataFrame, closure: DataFrame, names: DataFrame) -> DataFrame:

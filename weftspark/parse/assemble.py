@@ -36,7 +36,7 @@ def _typed(df: DataFrame) -> DataFrame:
 def _blocks(f) -> DataFrame:
     """file_id, grp of the bodies whose statements follow each other: files, functions, braces that are no objects."""
     v = f.s.v
-    outer = v.filter(c("tok").isin("{", "(", "[")).select("file_id", c("i").alias("grp"), c("tok").alias("outer"))
+    outer = v.filter(c("tok").isin("{", "(", "[", "${")).select("file_id", c("i").alias("grp"), c("tok").alias("outer"))
     braces = v.filter("tok = '{'").select("file_id", "grp", c("i").alias("b"), "q1").join(outer, ["file_id", "grp"], "left")
     bodies = f.fs.filter("body is not null").select("file_id", c("body").alias("b"), F.lit(True).alias("is_body"))
     braces = braces.join(bodies.distinct(), ["file_id", "b"], "left")

@@ -95,16 +95,36 @@ class Source:
     parts: DataFrame
 
 
+#: Behind these a brace belongs to a type, and what stands between a function's ``)`` and its ``=>`` is no type beyond those of ``_NO_TYPE``.
+_TYPE_SIGNS = (":", "|", "&", "=>", "is", "<")
+_NO_TYPE = ("=>", "=", "?", "&&", "||", "??", ",", ";", "return", "+", "-", "*", "/")
+#: Before these, or first of all, a bracket that opens parameters may stand.
+_BEFORE_FUNCTION = ("=", "(", ",", "=>", "return", "async", "default", ":", "[", "&&", "||", "??", "yield", "await", "export")
+
+
+def _arrow_heads() -> dict[str, Column]:
+    """For a ``=>``: head, the last ``)`` before it that a ``:`` follows, in its part, and where the last sign stands that no type holds.
+
+    ``head``: place, place of its ``(``; ``no_type``: place; ``asks``: place of the first ``?``.  So a return type may be of any length.
+    """
+    before = W.partitionBy(*PART).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    head = F.last(F.when((c("tok") == ")") & (c("s1") == ":"), F.struct(c("i").alias("close"), c("mate").alias("open"))), ignorenulls=True).over(before)
+    return {"head": head, "no_type": F.last(F.when(c("tok").isin(*_NO_TYPE), c("i")), ignorenulls=True).over(before), "asks": F.first(F.when(c("tok") == "?", c("i")), ignorenulls=True).over(before)}
+
+
 def read_source(named: DataFrame) -> Source:
     t = materialise(tokens(named), "tokens")
     v = streams(t)
     w = W.partitionBy("file_id", "grp").orderBy("i")
-    back = W.partitionBy("file_id", "grp").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
-    later = {name: F.last(F.when(c("tok") == sign, c("i")), ignorenulls=True).over(back) for name, sign in (("next_brace", "{"), ("next_paren", "("))}
-    lag = {f"m{k}": F.lag("mate", k).over(w) for k in range(1, 5)} | {"q_i": F.lag("i").over(w)}
+    back = W.partitionBy(*KEY).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
+    # A brace behind a sign of a type is a type's; the next one may be a body.
+    body = (c("tok") == "{") & ~F.coalesce(c("q1").isin(*_TYPE_SIGNS), F.lit(False))
+    later = {name: F.last(F.when(test, c("i")), ignorenulls=True).over(back) for name, test in (("next_brace", c("tok") == "{"), ("next_body", body), ("next_paren", c("tok") == "("))}
+    lag = {"m1": F.lag("mate").over(w), "q_i": F.lag("i").over(w), "q2_i": F.lag("i", 2).over(w)} | _arrow_heads()
     v = v.withColumns(later | lag).withColumn("sub_end", F.max("i").over(W.partitionBy(*PART))).withColumn("seg_end", F.max("i").over(W.partitionBy(*KEY)))
     # Postfix runs: a name and what hangs on it.
-    call = (c("tok") == "(") & (_is_name(c("q1")) | c("q1").isin(")", "]") | c("q1").startswith("<")) & (~c("q1").isin(*HEADS) | c("q2").isin(".", "?."))
+    generic = c("q1").startswith("<") & (F.length("q1") > 2) & F.coalesce(_is_name(c("q2")) | c("q2").isin(")", "]"), F.lit(False))
+    call = (c("tok") == "(") & (_is_name(c("q1")) | c("q1").isin(")", "]") | generic) & (~c("q1").isin(*HEADS) | c("q2").isin(".", "?."))
     hangs = c("tok").isin(".", "?.", ")", "]") | c("q1").isin(".", "?.") | call | ((c("tok") == "[") & (_is_name(c("q1")) & ~c("q1").isin(*WORDS) | c("q1").isin(")", "]"))) | (c("tok").startswith("<") & (F.length("tok") > 2)) | ((c("tok") == "!") & c("s1").isin(".", "?."))
     v = v.withColumns({"call": F.coalesce(call, F.lit(False)), "run": F.sum(F.when(F.coalesce(hangs, F.lit(False)) & c("q1").isNotNull(), 0).otherwise(1)).over(w)})
     v = materialise(v, "streams")
@@ -136,7 +156,9 @@ def members(s: Source, classes: DataFrame) -> DataFrame:
     rows = rows.withColumn("behind", behind)
     generic = F.coalesce(F.get("behind", F.lit(0))["tok"].startswith("<"), F.lit(False))
     nxt = F.when(generic, F.get("behind", F.lit(1))).otherwise(F.get("behind", F.lit(0)))
-    eq, body = _first(c("behind"), "="), _first(c("behind"), "{")
+    eq = _first(c("behind"), "=")
+    is_body = lambda k: (F.get("behind", k)["tok"] == "{") & ~F.coalesce(F.get("behind", k - 1)["tok"].isin(*_TYPE_SIGNS), F.lit(False))
+    body = F.get("behind", F.get(F.filter(F.when(F.size("behind") > 0, F.sequence(F.lit(0), F.size("behind") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.when(k > 0, is_body(k)).otherwise(F.get("behind", k)["tok"] == "{")), F.lit(0)))
     rows = rows.withColumns({"nxt": nxt, "eq": eq["i"], "colon": _first(c("behind"), ":")["i"]})
     is_method = F.coalesce(c("nxt")["tok"] == "(", F.lit(False))
     body = F.when(is_method, body)
@@ -175,21 +197,31 @@ def functions(s: Source, classes: DataFrame, ms: DataFrame, ds: DataFrame) -> Da
     v = s.v
     mates = v.filter("mate is not null").select("file_id", c("i").alias("b"), c("mate").alias("b_end"))
     # Words: function name? ( ) { }
-    word = v.filter((c("tok") == "function") & c("next_brace").isNotNull() & c("next_paren").isNotNull())
+    word = v.filter((c("tok") == "function") & ~F.coalesce(c("q1").isin(".", "?."), F.lit(False)) & c("next_body").isNotNull() & c("next_paren").isNotNull())
     own = F.when(_is_name(c("s1")), c("s1")).when((c("s1") == "*") & _is_name(c("s2")), c("s2"))
     is_async = F.coalesce(c("q1") == "async", F.lit(False))
     # What is exported by default without a name is called so.
     by_default = lambda q1, q2: F.coalesce((q1 == "default") | (is_async & (q2 == "default")), F.lit(False))
-    word = word.select(*PART, F.when(is_async, c("q_i")).otherwise(c("i")).alias("i"), F.coalesce(own, F.when(by_default(c("q1"), c("q2")), F.lit("default"))).alias("name"), own.isNotNull().alias("own_name"), by_default(c("q1"), c("q2")).alias("by_default"), F.lit("function").alias("kind"), c("next_paren").alias("open"), c("next_brace").alias("b"), F.lit(None).cast("int").alias("single"), is_async.alias("async"), (c("q1").isin("=") | (is_async & (c("q2") == "="))).alias("assigned"))
+    word = word.select(*PART, F.when(is_async, c("q_i")).otherwise(c("i")).alias("i"), F.coalesce(own, F.when(by_default(c("q1"), c("q2")), F.lit("default"))).alias("name"), own.isNotNull().alias("own_name"), by_default(c("q1"), c("q2")).alias("by_default"), F.lit("function").alias("kind"), c("next_paren").alias("open"), c("next_body").alias("b"), F.lit(None).cast("int").alias("single"), is_async.alias("async"), (c("q1").isin("=") | (is_async & (c("q2") == "="))).alias("assigned"))
     word = word.join(mates, ["file_id", "b"]).select(*[x for x in word.columns if x != "b"], c("b").alias("body"), c("b_end").alias("body_end"))
-    # Arrows: ( ) => or name =>, with a type before the arrow perhaps.
-    arrow = v.filter("tok = '=>'")
-    typed = F.when(c("q1") == ")", c("m1")).when((c("q2") == ":") & (c("q3") == ")"), c("m3")).when((c("q3") == ":") & (c("q4") == ")"), c("m4"))
-    arrow = arrow.select(*PART, c("i").alias("arrow"), typed.alias("open"), F.when(typed.isNull() & _is_name(c("q1")), c("q_i")).alias("single"), F.when(c("s1") == "{", c("s_i")).alias("b"), c("sub_end"), F.when((c("q2") == ":") | (c("q3") == ":"), F.when(c("q2") == ":", F.array("q1")).otherwise(F.array("q2", "q1"))).alias("type_words")).filter("open is not null or single is not null")
-    begins = v.select("file_id", c("i").alias("begin"), c("q1").alias("bq1"), c("q2").alias("bq2"), c("q_i").alias("bq_i"))
+    # Arrows: ( ) => or name =>, with a type of any length before the arrow perhaps.
+    opens = v.filter("tok = '('").select("file_id", c("i").alias("head_open"), F.coalesce(c("q1").isin(*_BEFORE_FUNCTION) | (c("q1").startswith("<") & (F.length("q1") > 2)), c("q1").isNull()).alias("may_begin"))
+    arrow = v.filter("tok = '=>'").withColumn("head_open", c("head.open")).join(opens, ["file_id", "head_open"], "left")
+    free = c("no_type").isNull() | (c("no_type") < c("head.close"))
+    typed = F.coalesce(c("may_begin") & free & (c("asks").isNull() | (c("asks") > c("head_open"))), F.lit(False))
+    opened = F.when(typed, c("head_open")).when(c("q1") == ")", c("m1"))
+    arrow = arrow.withColumns({"typed": typed, "open": opened}).withColumn("single", F.when(c("open").isNull() & _is_name(c("q1")), c("q_i"))).filter("open is not null or single is not null")
+    arrow = arrow.select(*PART, c("i").alias("arrow"), "open", "single", F.when(c("s1") == "{", c("s_i")).alias("b"), "sub_end", F.when(c("typed"), c("head.close") + 1).alias("colon"))
+    words = s.parts.select(*PART, c("toks").alias("part_toks"))
+    arrow = arrow.join(words, PART).withColumn("type_words", F.when(c("colon").isNotNull(), F.transform(_slice(c("part_toks"), c("colon"), c("arrow")), lambda x: x["tok"]))).drop("part_toks")
+    begins = v.select("file_id", c("i").alias("begin"), c("q1").alias("bq1"), c("q2").alias("bq2"), c("q3").alias("bq3"), c("q_i").alias("bq_i"), c("q2_i").alias("bq2_i"))
     arrow = arrow.withColumn("begin", F.coalesce("open", "single")).join(begins, ["file_id", "begin"]).join(mates, ["file_id", "b"], "left")
+    # Type parameters stand before the bracket: what precedes them is one further back.
+    generic = F.coalesce(c("open").isNotNull() & c("bq1").startswith("<") & (F.length("bq1") > 2), F.lit(False))
+    arrow = arrow.withColumns({"begin": F.when(generic, c("bq_i")).otherwise(c("begin")), "bq_i": F.when(generic, c("bq2_i")).otherwise(c("bq_i")), "bq1": F.when(generic, c("bq2")).otherwise(c("bq1")), "bq2": F.when(generic, c("bq3")).otherwise(c("bq2"))})
     is_async = F.coalesce(c("bq1") == "async", F.lit(False))
-    arrow = arrow.select(*PART, F.when(is_async, c("bq_i")).otherwise(c("begin")).alias("i"), F.when(by_default(c("bq1"), c("bq2")), F.lit("default")).alias("name"), F.lit(False).alias("own_name"), by_default(c("bq1"), c("bq2")).alias("by_default"), F.lit("arrow").alias("kind"), "open", "single", F.coalesce("b", c("arrow") + 1).alias("body"), F.coalesce("b_end", "sub_end").alias("body_end"), is_async.alias("async"), ((c("bq1") == "=") | (is_async & (c("bq2") == "="))).alias("assigned"), "type_words")
+    # An expression's body begins at the arrow itself: so the arrow is the last that tells no use.
+    arrow = arrow.select(*PART, F.when(is_async, c("bq_i")).otherwise(c("begin")).alias("i"), F.when(by_default(c("bq1"), c("bq2")), F.lit("default")).alias("name"), F.lit(False).alias("own_name"), by_default(c("bq1"), c("bq2")).alias("by_default"), F.lit("arrow").alias("kind"), "open", "single", F.coalesce("b", "arrow").alias("body"), F.coalesce("b_end", "sub_end").alias("body_end"), is_async.alias("async"), ((c("bq1") == "=") | (is_async & (c("bq2") == "="))).alias("assigned"), "type_words")
     both = word.unionByName(arrow, allowMissingColumns=True)
     # What is assigned to a variable or a field of a class takes its name.
     given = ds.filter("name is not null and eq is not null").select(*PART, c("name").alias("given"), c("exported").alias("given_exported"), c("eq").alias("eq_d"), F.lit("variable").alias("by"), _none("int").alias("class_i"), _none("string").alias("class_kind"))
@@ -287,10 +319,10 @@ class _Facts:
         kind = F.when(c("colon").isNotNull(), F.transform(_slice(c("core"), c("colon"), c("eq")), lambda x: x["tok"]))
         params = rows.select(
             *PART, "fi", "class_i", c("kind").alias("f_kind"), c("start").alias("i"), F.when(_is_name(c("head")["tok"]), c("head")["tok"]).alias("name"), F.when(c("head")["tok"].isin("{", "["), c("head")["i"]).alias("pattern"),
-            has("...").alias("variadic"), c("eq").isNotNull().alias("has_default"), F.coalesce(F.get("core", c("at") + 1)["tok"] == "?", F.lit(False)).alias("optional"), has("readonly").alias("readonly"), has("private").alias("private"), has("protected").alias("protected"), has("public").alias("public"), kind.alias("type_words"), "eq", "end",
+            has("...").alias("variadic"), c("eq").isNotNull().alias("has_default"), F.coalesce(F.get("core", c("at") + 1)["tok"] == "?", F.lit(False)).alias("optional"), has("readonly").alias("readonly"), has("private").alias("private"), has("protected").alias("protected"), has("public").alias("public"), kind.alias("type_words"), "eq", "end", F.lit(False).alias("single"),
         )
         single = fs.filter("single is not null").select(*PART, c("i").alias("fi"), "class_i", c("kind").alias("f_kind"), c("single").alias("i"))
-        single = single.join(s.v.select("file_id", "i", c("tok").alias("name")), ["file_id", "i"]).withColumns({k: F.lit(False) for k in ("variadic", "has_default", "optional", "readonly", "private", "protected", "public")})
+        single = single.join(s.v.select("file_id", "i", c("tok").alias("name")), ["file_id", "i"]).withColumns({k: F.lit(False) for k in ("variadic", "has_default", "optional", "readonly", "private", "protected", "public")} | {"single": F.lit(True)})
         self.params = materialise(params.unionByName(single, allowMissingColumns=True).filter("name is null or name <> 'this'").withColumn("idx", F.row_number().over(W.partitionBy("file_id", "fi").orderBy("i")) - 1), "parameters")
         # Patterns: names that are taken out of what is assigned or handed over, with the key or place that they come from.
         catches = s.v.filter("tok = '(' and q1 = 'catch' and q2 = '}'").select("file_id", c("i").alias("grp"))
@@ -383,7 +415,7 @@ class _Facts:
         big, s = F.lit(1 << 30), self.s
         row = lambda df, a, b: df.select(*PART, a.alias("a"), b.alias("b"))
         before = lambda eq, end: F.coalesce(eq - 1, end)
-        out = [row(self.params.filter("grp is not null"), F.lit(0), before(c("eq"), big)), row(self.taken, F.lit(0), before(c("eq"), big)), row(self.ds, F.lit(0), F.coalesce("eq", "of", big)), row(self.caught, F.lit(0), big)]
+        out = [row(self.params.filter("grp is not null and not single"), F.lit(0), before(c("eq"), big)), row(self.taken, F.lit(0), before(c("eq"), big)), row(self.ds, F.lit(0), F.coalesce("eq", "of", big)), row(self.caught, F.lit(0), big)]
         out += [row(self.ms, F.lit(0), before(c("eq"), big)), row(self.fs.filter("body is not null"), c("i"), c("body"))]
         out.append(row(self.fs.filter("single is not null"), c("single"), c("single")))
         out.append(row(s.parts.select(*PART).join(self.classes.select(*KEY, "i", "body"), KEY), c("i"), c("body")))
@@ -515,9 +547,6 @@ class _Facts:
         exporting = said.rlike(r"^(module\.exports|exports\.)") & F.coalesce(c("behind") == "=", F.lit(False))
         direct = self.runs.filter(~exporting & ~c("made") & (F.coalesce("stops_at", F.lit("")) != "(")).join(written.distinct(), ["file_id", "begin"], "left").filter("written is null")
         uses = direct.select("file_id", c("i").alias("line"), "i", "path")
-        # What stands in templates: ${a.b}.
-        inner = s.t.filter(c("tok").startswith("`")).select("file_id", "i", F.explode(F.regexp_extract_all("tok", F.lit(r"\$\{\s*([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)(?=[^\w$.(])"), 1)).alias("p"))
-        uses = uses.unionByName(inner.select("file_id", c("i").alias("line"), "i", F.split(F.replace("p", F.lit("?."), F.lit(".")), r"\.").alias("path")))
         root = F.get("path", F.lit(0))
         uses = placed(uses).filter(~((root == "super") | ((root == "this") & (F.size("path") == 1))))
         self.uses = materialise(self._scoped(uses), "uses")

@@ -8,22 +8,15 @@ length: runs of rows, told apart by running sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_CHARS = r"[\w$.,\s|\[\]'\"]*+"
-#: Comments, strings, templates, patterns between slashes, type arguments, names, numbers, signs of several characters, white space, anything else.
-TOKEN = "|".join((
-    r"(?s)//[^\n]*+", r"/\*.*?\*/",
-    r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"", r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'",
-    r"`(?:[^`\\$]++|\\.|\$(?!\{)|\$\{(?:[^`{}]++|\{[^{}]*+\}|`[^`]*+`)*+\})*+`",
-    r"(?<=(?:[(,=:\[!&|?{};]|=>|return)[ \t]{0,3})/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+",
-    rf"(?<=[\w$])<{_CHARS}(?:<{_CHARS}(?:<{_CHARS}>{_CHARS})*+>{_CHARS})*+>(?=\s*+(?:[(){{}},;=>|&\[\]:]|$))",
-    r"#?[\p{L}_$][\p{L}\p{N}_$]*+", r"[0-9][0-9A-Za-z_.]*+",
-    r"=>|\?\.(?![0-9])|\.\.\.|>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|===|!==|==|!=|<=|>=|[-+*/%&|^]=|\+\+|--|&&|\|\||\?\?|\s++|.",
-))
-OPEN, CLOSE = ("{", "(", "["), ("}", ")", "]")
+from .lex import lex
+
 NAME = r"^#?[\p{L}_$][\p{L}\p{N}_$]*$"
 #: After these a line's end does not end a statement.
 _GOES_ON = ("(", "[", "{", ",", "=", "=>", ".", "?.", "...", "?", ":", "!", "~", "+", "-", "*", "/", "%", "<", ">", "&", "|", "^", "&&", "||", "??", "==", "!=", "===", "!==", "<=", ">=", "+=", "-=", "*=", "/=", "%=", "**=", "&&=", "||=", "??=", "const", "let", "var", "new", "typeof", "case", "else", "do", "try", "in", "of", "extends", "implements", "instanceof", "export", "default", "import", "from", "async", "await", "static", "public", "private", "protected", "readonly", "abstract", "override", "get", "set", "function", "class", "interface", "enum", "void", "delete", "as", "@")
@@ -31,32 +24,51 @@ _GOES_ON = ("(", "[", "{", ",", "=", "=>", ".", "?.", "...", "?", ":", "!", "~",
 _CARRIES_ON = (")", "]", "}", ",", ";", ".", "?.", "?", ":", "=", "=>", "(", "[", "{", "+", "-", "*", "/", "%", "<", ">", "&", "|", "^", "&&", "||", "??", "==", "!=", "===", "!==", "<=", ">=", "+=", "-=", "*=", "/=", "in", "of", "instanceof", "as", "extends", "implements", "else", "catch", "finally", "from")
 
 
+#: Languages whose ``<name`` in place of a value begins no element.
+_NO_ELEMENTS = ("typescript",)
+_SCHEMA = "file_id string, i int, tok string, line int, col int, level int, step int, mate int, grp int"
+#: Tokens of one batch of rows.
+_ROWS = 50_000
+
+
 def tokens(files: DataFrame) -> DataFrame:
-    """(file_id, i, tok, line, col, level, step, mate) of ``files`` (file_id, content), comments and white space left out.
+    """(file_id, i, tok, line, col, level, step, mate, grp) of ``files`` (file_id, content, perhaps language), comments and white space left out.
 
     ``level`` counts the brackets around a token; a bracket has the level of what
     is inside, ``step`` 1 or -1, and ``mate``, the place of its other bracket.
-    Columns count UTF-8 bytes from 1.  A window never leaves its file.
+    ``grp`` is the place of the bracket around a token, 0 for none.  Columns count
+    UTF-8 bytes from 1.  Brackets are also ``${`` with its ``}``, the two ends of
+    a template that holds one, and those of a JSX element (see :mod:`.lex`).
+    Null contents have no tokens.
     """
-    each = files.select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("pos", "tok"))
-    order = W.partitionBy("file_id").orderBy("pos")
-    earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    breaks = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
-    size = F.octet_length("tok").cast("long")
-    placed = each.withColumns({"line": F.coalesce(F.sum(breaks).over(earlier), F.lit(0)) + 1, "at": F.coalesce(F.sum(size).over(earlier), F.lit(0))})
-    # Where the last line began: behind the last break of an earlier token.
-    behind = F.when(F.contains("tok", F.lit("\n")), F.col("at") + size - F.octet_length(F.substring_index("tok", "\n", -1)))
-    placed = placed.withColumn("col", F.col("at") - F.coalesce(F.last(behind, ignorenulls=True).over(earlier), F.lit(0)) + 1)
-    real = placed.filter(~F.col("tok").rlike(r"^(\s|//|/\*)"))
-    i = F.row_number().over(order)
-    step = F.when(F.col("tok").isin(*OPEN), 1).when(F.col("tok").isin(*CLOSE), -1).otherwise(0)
-    counted = real.select("file_id", i.alias("i"), "tok", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), step.alias("step"))
-    level = F.sum("step").over(W.partitionBy("file_id").orderBy("i")) + F.when(F.col("step") < 0, 1).otherwise(0)
-    levelled = counted.withColumn("level", level.cast("int"))
-    # On one level, brackets open and close in turn.
-    turn = W.partitionBy("file_id", "level", F.col("step") != 0).orderBy("i")
-    mate = F.when(F.col("step") > 0, F.lead("i").over(turn)).when(F.col("step") < 0, F.lag("i").over(turn))
-    return levelled.select("file_id", "i", "tok", "line", "col", "level", "step", mate.alias("mate"))
+    jsx = ~F.col("language").isin(*_NO_ELEMENTS) if "language" in files.columns else F.lit(True)
+    texts = files.select("file_id", "content", F.coalesce(jsx, F.lit(True)).alias("jsx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                file_id, text, elements = (batch.column(c)[k].as_py() for c in range(3))
+                told, _ = lex(text or "", elements)
+                for start in range(0, len(told), _ROWS):
+                    part = told[start : start + _ROWS]
+                    cols = list(zip(*part, strict=True))
+                    rows = [pa.array([file_id] * len(part), pa.string()), pa.array(range(start + 1, start + len(part) + 1), pa.int32()), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int32()) for c in cols[1:])]
+                    yield pa.RecordBatch.from_arrays(rows, names=["file_id", "i", "tok", "line", "col", "level", "step", "mate", "grp"])
+
+    return texts.mapInArrow(run, _SCHEMA)
+
+
+def unbalanced(files: DataFrame) -> DataFrame:
+    """``files`` (path, content, perhaps language, ...) whose brackets don't close: parsing tells little of them."""
+    jsx = ~F.col("language").isin(*_NO_ELEMENTS) if "language" in files.columns else F.lit(True)
+    texts = files.select("path", "content", F.coalesce(jsx, F.lit(True)).alias("jsx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = [k for k in range(batch.num_rows) if not lex(batch.column(1)[k].as_py() or "", batch.column(2)[k].as_py())[1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bad, pa.int64()))], names=["path"])
+
+    return texts.mapInArrow(run, "path string")
 
 
 def streams(t: DataFrame) -> DataFrame:
@@ -66,10 +78,7 @@ def streams(t: DataFrame) -> DataFrame:
     group, ``sub`` their parts between commas.  A statement ends at a semicolon,
     behind a closing brace, or at a line's end where neither side goes on.
     """
-    inside = t.filter("step <> 0").select("file_id", "level", "i", F.when(F.col("step") > 0, F.col("i")).alias("opens"), F.lit(None).alias("r"))
-    seen = t.select("file_id", (F.col("level") - F.abs("step")).alias("level"), "i", F.lit(None).cast("int").alias("opens"), F.struct("tok", "line", "col", "step", "mate").alias("r"))
-    around = F.last("opens", ignorenulls=True).over(W.partitionBy("file_id", "level").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    v = inside.unionByName(seen).withColumn("grp", F.coalesce(around, F.lit(0))).filter("r is not null").select("file_id", "grp", "i", "r.*")
+    v = t.select("file_id", "grp", "i", "tok", "line", "col", "step", "mate")
     w = W.partitionBy("file_id", "grp").orderBy("i")
     near = {f"q{k}": F.lag("tok", k).over(w) for k in range(1, 5)} | {f"s{k}": F.lead("tok", k).over(w) for k in range(1, 4)}
     v = v.withColumns(near | {"q_line": F.lag("line").over(w), "s_i": F.lead("i").over(w)})
