@@ -266,3 +266,43 @@ def test_near_stage_takes_eight_tenths(spark):
     made = [(1, text("v", 0)), (2, text("v", 109)), (3, text("o", 0)), (4, text("o", 114))]
     stage = {r.doc_id for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(made, "doc_id long, text string"), "").collect()}
     assert stage == {1, 3, 4} == {d for d, _, _, kept in brute.near_dedup(made, percent=80) if kept}
+
+
+def test_lookups_read_few_bytes(spark, tmp_path):
+    """Access, rank and select by the index in the file: a frame or two of each plane are read."""
+    from pyarrow import fs
+
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.2, 1_000_000), 50256).astype("<u2")
+    path = tmp_path / "shard.wvlt"
+    path.write_bytes(wavelet.dump_shard(ids, ["a", "b"], [400_000, 600_000], 16))
+    size, read = path.stat().st_size, []
+    with fs.LocalFileSystem().open_input_file(str(path)) as file:
+
+        def counted(at, n):
+            read.append(n)
+            return file.read_at(n, at)
+
+        shard = wavelet.Shard(counted)
+        opened = sum(read)
+        assert shard.matrix.access(765_432) == ids[765_432]
+        assert opened + 16 * 2 * 4300 > sum(read) and sum(read) < size / 10
+        read.clear()
+        where = np.flatnonzero(ids == 50)
+        assert shard.matrix.rank(50, 700_000, 1000) == ((where < 700_000) & (where >= 1000)).sum()
+        assert shard.matrix.select(50, len(where) // 2) == where[len(where) // 2]
+        assert sum(read) <= 16 * 4 * 4300 and len(read) <= 16 * 4
+        assert shard.documents()[0] == ["a", "b"] and shard.documents()[1].tolist() == [400_000, 600_000]
+        assert (shard.matrix.values() == ids).all()
+    for n in (0, 1, 511, 512, 1 << 15, (1 << 15) + 1):
+        m, _, _ = wavelet.load_shard(wavelet.dump_shard(ids[:n], [0], [n], 16))
+        assert (m.values() == ids[:n]).all()
+        if n:
+            assert m.access(n - 1) == ids[n - 1] and m.rank(int(ids[0]), n) == (ids[:n] == ids[0]).sum() and m.select(int(ids[0]), 0) == 0
+
+
+def test_rows_of_one_id_span_tasks(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(400)] + [(3, "x"), (3, "x")], "doc_id long, text string")
+    manifest = wavelet.write_shards(df, JSON, str(wavelet.shared_path(spark, "hot")), shard_tokens=100)
+    parts = {r.part: r.n for r in manifest.groupBy("part").agg({"documents": "sum"}).toDF("part", "n").collect()}
+    assert sum(parts.values()) == 402 and max(parts.values()) < 300
