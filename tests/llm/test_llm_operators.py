@@ -306,3 +306,14 @@ def test_rows_of_one_id_span_tasks(spark):
     manifest = wavelet.write_shards(df, JSON, str(wavelet.shared_path(spark, "hot")), shard_tokens=100)
     parts = {r.part: r.n for r in manifest.groupBy("part").agg({"documents": "sum"}).toDF("part", "n").collect()}
     assert sum(parts.values()) == 402 and max(parts.values()) < 300
+
+
+def test_history_rewritten_behind_a_block():
+    """A template that rewrites what it wrote before once there are 32 turns, and begins anew after."""
+    turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(40)]
+    once = lambda ts: chat.marked(ts).upper() if len(ts) == 32 else chat.marked(ts)
+    text, spans, rewrites = chat.render(turns, once)
+    assert rewrites and text == chat.marked(turns) and [text[s[2] : s[3]] for s in spans] == [t for _, t in turns]
+    odd = [("user", ""), ("assistant", "a"), ("user", "")]
+    text, spans, rewrites = chat.render(odd)
+    assert not rewrites and [text[s[2] : s[3]] for s in spans] == [t for _, t in odd]

@@ -29,10 +29,17 @@ _TURN = re.compile(
     r"\[SYS\]((?:[^\\\[]++|\\.)*+)\[/SYS\]|\[INST\]((?:[^\\\[]++|\\.)*+)\[/INST\]|<s>((?:[^\\<]++|\\.)*+)</s>|\[ROLE ((?:[^\\\]]++|\\.)*+)\]((?:[^\\\[]++|\\.)*+)\[/ROLE\]",
     re.DOTALL,
 )
-#: Stands in for a turn's text while its place is sought; no template writes private characters of its own.
+#: Stands in for a turn's text while its place is sought, lengthened until no text holds it; no template writes private characters of its own.
 _PROBE = "\ue000\ue001"
 
 
+def _probe(turns: list[Turn]) -> str:
+    probe = _PROBE
+    while any(probe in role or probe in text for role, text in turns):
+        probe += _PROBE[-1]
+    return probe
+
+
 def escape(text: str) -> str:
     """A text in which no control string can stand: each ``\\``, ``[`` and ``<`` gets a backslash."""
     return _CONTROL.sub(r"\\\g<0>", text)
@@ -78,55 +85,57 @@ def _prefixes(turns: list[Turn], template: Template) -> tuple[str, list[Span]] |
 
     Each turn costs one rendering of what came so far and one with a probe for its text.
     """
-    before, spans = template([]), []
+    before, spans, mark = template([]), [], _probe(turns)
     for i in range(len(turns)):
         now = template(turns[: i + 1])
-        probe = template([*turns[:i], (turns[i][0], _PROBE)])
-        at = probe.find(_PROBE, len(before))
+        probe = template([*turns[:i], (turns[i][0], mark)])
+        at = probe.find(mark, len(before))
         if not now.startswith(before) or at < 0 or not probe.startswith(before):
             return None
-        spans.append((len(before), len(now), at, len(now) - (len(probe) - at - len(_PROBE))))
+        spans.append((len(before), len(now), at, len(now) - (len(probe) - at - len(mark))))
         before = now
     return before, spans
 
 
 def _in_blocks(turns: list[Turn], template: Template) -> tuple[str, list[Span]] | None:
-    """The same block by block; None unless the blocks' texts, put together, are the whole conversation's.
+    """The same block by block; None unless the blocks' texts, put together, are what the template makes of the conversation up to each block's end.
 
     A template may open every text with something of its own, ``template([])``: it counts once.
     """
     head = template([])
-    out, spans, size = [head], [], len(head)
+    text, spans, size = head, [], len(head)
     for i in range(0, len(turns), BLOCK):
         done = _prefixes(turns[i : i + BLOCK], template)
         if done is None or not done[0].startswith(head):
             return None
         move = size - len(head)
         spans += [tuple(x + move for x in s) for s in done[1]]
-        out.append(done[0][len(head) :])
-        size += len(out[-1])
-    text = "".join(out)
-    return (text, spans) if text == template(turns) else None
+        text += done[0][len(head) :]
+        size = len(text)
+        if text != template(turns[: i + BLOCK]):
+            return None
+    return text, spans
 
 
 def render(turns: list[Turn], template: Template = marked) -> tuple[str, list[Span], bool]:
     """The conversation's text, each turn's (start, end, text_start, text_end) in it, and whether the template rewrites history.
 
     Beginnings within blocks of turns are rendered and compared.  That stands if
-    the blocks' texts together are what the template makes of the whole: work
-    then grows with the conversation.  Otherwise (turn numbers, say) beginnings
+    the blocks' texts together are what the template makes of the conversation up to
+    the end of each block: a sixteenth of all beginnings is rendered whole, so a
+    template that rewrites what is a block or more behind is found too.  Otherwise (turn numbers, say) beginnings
     of the whole conversation are, which costs the square of its length.  After a
     rewrite, turns are sought by probes in the whole.
     """
     done = _in_blocks(turns, template) or _prefixes(turns, template)
     if done:
         return *done, False
-    whole, spans = template(turns), []
+    whole, spans, mark = template(turns), [], _probe(turns)
     for i, (role, _) in enumerate(turns):
-        probe = template([*turns[:i], (role, _PROBE), *turns[i + 1 :]])
-        at = probe.find(_PROBE)
+        probe = template([*turns[:i], (role, mark), *turns[i + 1 :]])
+        at = probe.find(mark)
         # A turn that the template leaves out has no place.
-        end = len(whole) - (len(probe) - at - len(_PROBE)) if at >= 0 else -1
+        end = len(whole) - (len(probe) - at - len(mark)) if at >= 0 else -1
         spans.append((at, end, at, end))
     return whole, spans, True
 
