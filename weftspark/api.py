@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import text as fn
 from .model import Graph
-from .operators import authorship, derive, signals, topics, xservice
+from .operators import authorship, derive, impact, signals, topics, xservice
+from .operators import changes as changed
 from .operators.link import link
 from .parse.facts import parse
+from .parse.tokens import tokens
 from .sources.files import texts
 from .tables import materialise
 
@@ -44,6 +46,28 @@ def report(graph: Graph, files: DataFrame) -> DataFrame:
     return failed.withColumn("one", F.lit(1)).join(nodes.withColumn("one", F.lit(1)), "one").join(edges.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def declaration_hashes(graph: Graph, files: DataFrame, app_key: str) -> DataFrame:
+    """(id, signature, body, whole) of a graph's declarations, from the ``files`` (path, content in bytes) that it was extracted from.
+
+    ``whole`` hashes all that a declaration holds but its own name; ``body`` is the
+    same, null where members are declarations of their own and tell what changed.
+    """
+    named = materialise(texts(files).withColumn("file_id", F.concat(F.lit(f"{app_key}:"), "path")), "files")
+    declared = graph.nodes.filter(changed.is_declaration(graph.nodes))
+    bodies = impact.body_hashes(tokens(named), declared.select("id", "name", "file_id", "start_line", "start_col", "end_line"), nameless=True)
+    plain = F.sha2(F.concat_ws("|", "type", *(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("type_name", "exported", "static", "abstract", "readonly"))), 256)
+    signatures = declared.select("id", "type", plain.alias("plain")).join(impact.signature_hashes(graph.nodes), "id", "left")
+    own = F.when(~F.col("type").isin("Class", "Interface", "Enum"), F.col("body_hash"))
+    return signatures.join(bodies, "id", "left").select("id", F.coalesce("signature_hash", "plain").alias("signature"), own.alias("body"), F.col("body_hash").alias("whole"))
+
+
+def changes(spark: SparkSession, base: tuple[Graph, DataFrame], head: tuple[Graph, DataFrame], app_key: str, hunks: DataFrame) -> DataFrame:
+    """What happened to each declaration between two extractions (graph and files each; see :func:`operators.changes.change_set`), with the files that ``hunks`` tell as renamed."""
+    names = hunks.filter("status = 'R'").select(*(F.concat(F.lit(f"{app_key}:"), c).alias(n) for c, n in (("old_path", "old_file"), ("path", "new_file")))).distinct()
+    hashes = [materialise(declaration_hashes(g, f, app_key), "hashes") for g, f in (base, head)]
+    return changed.change_set(base[0], head[0], *hashes, names)
+
+
 def with_history(graph: Graph, log: DataFrame, changes: DataFrame, policy: str = "plain") -> Graph:
     """Commits, people and changes of the files that are in the graph."""
     files = graph.nodes.filter("type = 'File'").select("id", "path")

@@ -32,9 +32,16 @@ def semantic_diff(old: DataFrame, new: DataFrame, renames: DataFrame | None = No
     return both.select("id", change.alias("change")).filter("change is not null")
 
 
+def bag_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Distinct rows with n, how many more (or, below 0, fewer) there are than before: one aggregation of signed counts."""
+    signed = new.withColumn("n", F.lit(1)).unionByName(old.withColumn("n", F.lit(-1)))
+    return signed.groupBy(*new.columns).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
 def dependency_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows more or fewer than before, as bags."""
-    return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
+    each = bag_difference(old, new).withColumn("change", F.when(F.col("n") > 0, "added").otherwise("removed"))
+    return each.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n")))).drop("n")
 
 
 def validity(versions: DataFrame, keys: list[str], order: str) -> DataFrame:

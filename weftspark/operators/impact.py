@@ -129,16 +129,21 @@ def trace_nodes(traces: DataFrame, frames: DataFrame, declarations: DataFrame, e
     return traces.select("trace").distinct().join(best, "trace", "left")
 
 
-def body_hashes(tokens: DataFrame, declarations: DataFrame) -> DataFrame:
+def body_hashes(tokens: DataFrame, declarations: DataFrame, nameless: bool = False) -> DataFrame:
     """(id, body_hash): Sha-256 of the tokens of each of ``declarations`` (id, file_id, start_line, start_col, end_line), one a line.
 
     ``tokens`` is (file_id, i, tok, line, col), without comments and white space, so
     neither those nor a move changes a hash.  What else is on the last line counts.
+    ``nameless``: the first token that is the declaration's own ``name`` is left out.
     """
     spans = declarations.select(F.col("id").alias("span_id"), "file_id", "start_line", "start_col", "end_line")
     met = within(tokens.select("file_id", "line", "col", "i", "tok"), spans).filter("line > start_line or col >= start_col")
     held = met.groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("toks"))
-    return held.select(F.col("span_id").alias("id"), F.sha2(F.array_join(F.transform("toks", lambda x: x["tok"]), "\n"), 256).alias("body_hash"))
+    words = held.select(F.col("span_id").alias("id"), F.transform("toks", lambda x: x["tok"]).alias("words"))
+    if nameless:
+        named = words.join(declarations.select("id", "name"), "id").withColumn("k", F.array_position("words", F.col("name")).cast("int"))
+        words = named.withColumn("words", F.when(F.col("k") > 0, F.concat(F.slice("words", F.lit(1), F.col("k") - 1), F.slice("words", F.col("k") + 1, F.size("words")))).otherwise(F.col("words")))
+    return words.select("id", F.sha2(F.array_join("words", "\n"), 256).alias("body_hash"))
 
 
 def signature_hashes(nodes: DataFrame) -> DataFrame:

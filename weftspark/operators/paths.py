@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import counted, materialise
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, stops: DataFrame | None = None) -> DataFrame:
@@ -23,10 +23,10 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, stops: DataFrame | No
     for d in range(1, depth + 1):
         open_ = new if stops is None else new.join(stops, "node", "left_anti")
         found = open_.join(steps, open_.node == steps.src).select("start", F.col("dst").alias("node"), F.lit(d).alias("distance")).distinct()
-        new = materialise(found.join(seen, ["start", "node"], "left_anti"), "reach")
-        seen = seen.unionByName(new)
-        if new.isEmpty():
+        new, n = counted(found.join(seen, ["start", "node"], "left_anti"), "reach")
+        if not n:
             break
+        seen = seen.unionByName(new)
     return seen.filter("distance > 0")
 
 
@@ -44,8 +44,8 @@ def ancestors(parents: DataFrame) -> DataFrame:
         far, near = closure.filter(F.col("depth") == reached).alias("a"), closure.filter("depth > 0").alias("b")
         further = far.join(near, F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         new = further.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).join(closure, ["id", "ancestor"], "left_anti")
-        new = materialise(new, "ancestors")
-        if new.isEmpty():
+        new, n = counted(new, "ancestors")
+        if not n:
             return closure
         closure, reached = closure.unionByName(new), reached * 2
 
@@ -67,8 +67,8 @@ def first_ways(parents: DataFrame) -> DataFrame:
         way = F.concat("a.way", "b.way")
         further = a.join(b, F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", way.alias("way"))
         nodes = F.array_append(F.transform("way", lambda x: x["node"]), F.col("id"))
-        further = materialise(further.filter(F.size(F.array_distinct(nodes)) == F.size(nodes)).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
-        if further.isEmpty():
+        further, n = counted(further.filter(F.size(F.array_distinct(nodes)) == F.size(nodes)).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
+        if not n:
             return known
         known = materialise(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
         reached *= 2
@@ -95,8 +95,8 @@ def first_found(starts: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFra
         hit = hits.select("start", F.col("way").alias("ended"))
         longer = longer.join(hit, "start", "left").filter("ended is null or way < ended").groupBy("start", "at").agg(F.min("way").alias("way"))
         known = best.select("start", "at", F.col("way").alias("had"))
-        new = materialise(longer.join(known, ["start", "at"], "left").filter("had is null or way < had").select("start", "at", "way"), "ways")
-        if new.isEmpty():
+        new, n = counted(longer.join(known, ["start", "at"], "left").filter("had is null or way < had").select("start", "at", "way"), "ways")
+        if not n:
             return hits.select("start", "value")
         best = materialise(best.unionByName(new).groupBy("start", "at").agg(F.min("way").alias("way")), "ways")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import counted, materialise
 from .paths import first_found
 
 KEY = ["file_id", "name"]
@@ -74,19 +74,20 @@ def _stars(parts, modules: DataFrame) -> DataFrame:
     return parts.exports.filter("kind = 'reexport_all'").join(modules, ["file_id", "source"]).select("file_id", "target_file", "package", "seq").filter("target_file is not null or package is not null")
 
 
-def _demanded(asked: DataFrame, named: DataFrame, stars: DataFrame, upward: bool) -> DataFrame:
-    """``asked`` (file_id, name) and whatever they lead to; ``upward``: and the files whose stars lead to them."""
+def _demanded(asked: DataFrame, named: DataFrame, stars: DataFrame, upward: bool, downward: bool) -> DataFrame:
+    """``asked`` (file_id, name), with ``downward`` whatever they lead to, with ``upward`` the files whose stars lead to them."""
     known = materialise(asked.distinct(), "demanded")
     steps, stars = named.filter("to_file is not null").select(*KEY, "to_file", "to_name"), stars.filter("target_file is not null")
     new = known
     while True:
-        found = new.join(steps, KEY).select(F.col("to_file").alias("file_id"), F.col("to_name").alias("name"))
-        free = new.filter("name <> 'default'")
-        found = found.unionByName(free.join(stars, "file_id").select(F.col("target_file").alias("file_id"), "name"))
+        free, found = new.filter("name <> 'default'"), new.limit(0)
+        if downward:
+            found = new.join(steps, KEY).select(F.col("to_file").alias("file_id"), F.col("to_name").alias("name"))
+            found = found.unionByName(free.join(stars, "file_id").select(F.col("target_file").alias("file_id"), "name"))
         if upward:
             found = found.unionByName(free.withColumnRenamed("file_id", "target_file").join(stars, "target_file").select("file_id", "name"))
-        new = materialise(found.distinct().join(known, KEY, "left_anti"), "demanded")
-        if new.isEmpty():
+        new, n = counted(found.distinct().join(known, KEY, "left_anti"), "demanded")
+        if not n:
             return known
         known = known.unionByName(new)
 
@@ -103,24 +104,31 @@ def resolve_symbols(parts, modules: DataFrame, asked: DataFrame | None = None) -
     """
     named, stars = materialise(named_options(parts, modules), "options"), materialise(_stars(parts, modules), "stars")
     wanted = named.select(*KEY) if asked is None else asked.select(*KEY).filter("name is not null")
-    demanded = _demanded(wanted, named, stars, upward=asked is None)
+    # Where all names are wanted and no star is of a package, only files whose stars lead to a name know it: no other need be asked.
+    all_known = asked is None and stars.filter("package is not null").isEmpty()
+    demanded = _demanded(wanted, named, stars, upward=asked is None, downward=not all_known)
     starred = demanded.filter("name <> 'default'").join(stars, "file_id")
     options = named.join(demanded, KEY, "left_semi").unionByName(_option(starred.filter("package is not null"), 1, symbol(package=F.col("package"), member=F.col("name")))).unionByName(_option(starred.filter("target_file is not null"), 1, to=(F.col("target_file"), F.col("name"))))
+    if all_known:
+        there = demanded.select(F.col("file_id").alias("to_file"), F.col("name").alias("to_name"), F.lit(True).alias("known"))
+        options = options.join(there, ["to_file", "to_name"], "left").filter("to_file is null or known").select("file_id", "name", "rank", "to_file", "to_name", "symbol")
     rows = F.array_sort(F.collect_list(F.struct("rank", "to_file", "to_name", "symbol")))
     state = demanded.join(options.groupBy(*KEY).agg(rows.alias("options")), KEY, "left").withColumns({"at": F.lit(0), "found": _nothing(), "settled": F.lit(False)})
     done: DataFrame | None = None
     while True:
         head = F.get("options", F.col("at"))
         ended = head.isNull() | head["symbol"].isNotNull()
-        state = materialise(state.withColumns({"settled": F.coalesce(F.col("settled") | ended, F.lit(True)), "found": F.coalesce("found", head["symbol"]), "head": head}), "symbols")
-        fresh = state.filter("settled").select(*KEY, "found")
-        if fresh.isEmpty():
+        state, n = counted(state.withColumns({"settled": F.coalesce(F.col("settled") | ended, F.lit(True)), "found": F.coalesce("found", head["symbol"]), "head": head}), "symbols", "settled")
+        if not n:
             break
+        fresh = state.filter("settled").select(*KEY, "found")
         done = fresh if done is None else done.unionByName(fresh)
         # A first option that is settled gives what it found, or makes way for the next.
         told = done.select(F.col("file_id").alias("to_file"), F.col("name").alias("to_name"), F.col("found").alias("there"), F.lit(True).alias("hit"))
         rest = state.filter("not settled").select(*KEY, "options", "at", "head.to_file", "head.to_name").join(told, ["to_file", "to_name"], "left")
         state = rest.select(*KEY, "options", (F.col("at") + F.when(F.col("hit") & F.col("there").isNull(), 1).otherwise(0)).alias("at"), F.col("there").alias("found"), F.col("there").isNotNull().alias("settled"))
+    if done is not None and state.isEmpty():
+        return materialise(done.filter("found is not null").select(*KEY, "found.*"), "symbols")
     circles = state.select(*KEY, F.explode(F.slice("options", F.col("at") + 1, F.size("options"))).alias("o")).select(F.concat_ws("\u0001", *KEY).alias("src"), "o.*")
     if done is None:
         done = state.select(*KEY, "found").limit(0)

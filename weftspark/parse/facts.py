@@ -112,9 +112,23 @@ def _arrow_heads() -> dict[str, Column]:
     return {"head": head, "no_type": F.last(F.when(c("tok").isin(*_NO_TYPE), c("i")), ignorenulls=True).over(before), "asks": F.first(F.when(c("tok") == "?", c("i")), ignorenulls=True).over(before)}
 
 
+#: What ``declare`` may stand before.
+_AMBIENT = ("class", "abstract", "function", "async", "const", "let", "var", "enum", "interface", "type", "module", "namespace", "global")
+
+
+def _without_ambient(v: DataFrame) -> DataFrame:
+    """Streams without statements that only declare what is somewhere else, and all that is inside of them."""
+    w = W.partitionBy(*KEY).orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    words = [F.nth_value("tok", k).over(w) for k in (1, 2, 3)]
+    ambient = ((words[0] == "declare") & words[1].isin(*_AMBIENT)) | ((words[0] == "export") & (words[1] == "declare") & words[2].isin(*_AMBIENT))
+    v = materialise(v.withColumn("ambient", F.coalesce(ambient, F.lit(False))), "streams")
+    spans = v.filter("ambient").groupBy(*KEY).agg(F.min("i").alias("a"), F.max("i").alias("b")).select("file_id", "a", "b")
+    return v.drop("ambient").alias("v").join(spans.alias("s"), (c("v.file_id") == c("s.file_id")) & c("v.i").between(c("s.a"), c("s.b")), "left_anti")
+
+
 def read_source(named: DataFrame) -> Source:
     t = materialise(tokens(named), "tokens")
-    v = streams(t)
+    v = _without_ambient(streams(t))
     w = W.partitionBy("file_id", "grp").orderBy("i")
     back = W.partitionBy(*KEY).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
     # A brace behind a sign of a type is a type's; the next one may be a body.

@@ -70,7 +70,7 @@ def x24_who_knows(spark, sf_dir):
 
 def x24_orphan_endpoints(spark, sf_dir):
     ends = table(spark, sf_dir, "customer").select(ident("app", "c_custkey").alias("app_id"), F.col("c_mktsegment").alias("path"))
-    requests = table(spark, sf_dir, "orders").select(ident("app", "o_custkey").alias("dst"))
+    requests = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(ident("app", "o_custkey").alias("dst"))
     return audit.orphan_endpoints(ends, requests).select("app_id", "path")
 
 
@@ -110,7 +110,7 @@ WHERE NOT EXISTS (SELECT 1 FROM m i WHERE i.conv_id = m.conv_id AND i.turn <> m.
     "x24_who_knows": """
 WITH o AS (SELECT 'part:' || l_partkey AS dst, 'person:' || l_suppkey AS src, sum(l_quantity) AS share FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey, l_suppkey)
 SELECT dst, src, place FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY share DESC, src) AS place FROM o) WHERE place <= 3""",
-    "x24_orphan_endpoints": "SELECT 'app:' || c_custkey AS app_id, c_mktsegment AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "x24_orphan_endpoints": "SELECT 'app:' || c_custkey AS app_id, c_mktsegment AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
     "x24_suspects": """
 WITH n AS (
   SELECT 'customer:' || o_custkey AS start, 'order:' || o_orderkey AS node, 1 AS distance, o_orderdate AS changed FROM orders

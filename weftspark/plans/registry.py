@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, graph, impact, services, sources
+from . import changes, code, graph, impact, services, sources
 
-_MODULES = (services, graph, sources, code, impact)
+_MODULES = (services, graph, sources, code, impact, changes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Git revisions and histories as Spark data sources: ``git_files`` and ``git_log``, ``git_changes``, ``git_blame``.
+"""Git revisions and histories as Spark data sources: ``git_files`` and ``git_log``, ``git_changes``, ``git_hunks``, ``git_blame``.
 
 Each partition runs one git process over its share.  The repository must be
 reachable from every executor.
@@ -162,6 +162,74 @@ class BlameReader(FilesReader):
                         row[word] = rest
 
 
+_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+
+
+def _plain_path(path: str) -> str:
+    """A path as git quotes it where it holds quotes, tabs or line ends."""
+    if path.startswith('"') and path.endswith('"'):
+        return path[1:-1].encode("latin-1", "backslashreplace").decode("unicode_escape").encode("latin-1", "replace").decode(errors="replace") if path.isascii() else path[1:-1]
+    return path
+
+
+def parse_patch(out: str, pairs: dict[tuple[str, str], tuple[str, str]]) -> Iterator[tuple]:
+    """(base, head, status, path, old_path, side, first_line, last_line) of git's raw and patch output for pairs of trees.
+
+    Each changed file has a row for the lines of each side of each hunk; without any
+    (a rename alone, a binary file) one row without a side.
+    """
+    pair, files, at, told = ("", ""), [], -1, False
+
+    def bare() -> Iterator[tuple]:
+        if at >= 0 and not told:
+            yield (*pair, *files[at], None, None, None)
+
+    for line in out.split("\n"):
+        words = line.split(" ")
+        if len(words) == 2 and (words[0], words[1]) in pairs:
+            yield from bare()
+            pair, files, at, told = pairs[words[0], words[1]], [], -1, False
+        elif line.startswith(":"):
+            status, *names = line.split("\t")
+            names = [_plain_path(n) for n in names]
+            files.append((status.split(" ")[4][0], names[-1], names[0]))
+        elif line.startswith("diff --git "):
+            yield from bare()
+            at, told = at + 1, False
+        elif at >= 0 and (m := _HUNK.match(line)):
+            for side, first, count in (("removed", m[1], m[2]), ("added", m[3], m[4])):
+                n = int(count) if count is not None else 1
+                if n:
+                    told = True
+                    yield (*pair, *files[at], side, int(first), int(first) + n - 1)
+    yield from bare()
+
+
+class HunksReader(_Reader):
+    """Changed lines between pairs of revisions, ``pairs`` (``base head``, one a line) or ``base`` and ``head``; one git process for all pairs of a share."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        listed = options.get("pairs") or f"{options['base']} {options.get('head', 'HEAD')}"
+        self.pairs = [tuple(x.split()) for x in listed.split("\n") if x.strip()]
+
+    def listed(self) -> list:
+        trees = git(self.repo, "rev-parse", *(f"{r}^{{tree}}" for pair in self.pairs for r in pair)).decode().split()
+        return [(pair, (a, b)) for pair, a, b in zip(self.pairs, trees[::2], trees[1::2], strict=True)]
+
+    def read(self, partition: _Share) -> Iterator[tuple]:
+        asked: dict[tuple[str, str], list[tuple[str, str]]] = {}
+        for pair, trees in partition.items:
+            asked.setdefault(tuple(trees), []).append(tuple(pair))
+        if not asked:
+            return
+        out = git(self.repo, "-c", "core.quotePath=false", "diff-tree", "--stdin", "-r", "--raw", "--patch", "-U0", "-M", "--no-color", "--no-ext-diff", "--abbrev=40", *self.scope(), stdin="".join(f"{a} {b}\n" for a, b in asked).encode())
+        trees = {k: k for k in asked}
+        for a, b, status, path, old, *lines in parse_patch(out.decode(errors="replace"), trees):
+            for pair in asked[a, b]:
+                yield (*pair, status, self.own_path(path), self.own_path(old), *lines)
+
+
 def _source(title: str, columns: str, reader_type: type) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
@@ -181,6 +249,7 @@ SOURCES = (
     _source("git_files", "path string, hash string, content binary", FilesReader),
     _source("git_log", "pos int, sha string, author_name string, author_email string, committer_name string, committer_email string, authored_at string, committed_at string, parents string, subject string", LogReader),
     _source("git_changes", "sha string, status string, path string, renamed_from string", ChangesReader),
+    _source("git_hunks", "base string, head string, status string, path string, old_path string, side string, first_line int, last_line int", HunksReader),
     _source("git_blame", "path string, line int, sha string, author_name string, author_email string, author_time long", BlameReader),
 )
 

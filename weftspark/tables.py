@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_root: list[str] = []
 
@@ -35,3 +36,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, test: str = "true") -> tuple[DataFrame, int]:
+    """:func:`materialise`, and how many rows pass ``test``, counted while they are written: a loop needs no job of its own to see whether it has ended."""
+    seen = Observation()
+    written = materialise(df.observe(seen, F.count_if(F.expr(test)).alias("n")), name)
+    return written, int(seen.get["n"])
