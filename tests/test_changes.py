@@ -115,6 +115,19 @@ def test_bags_and_owners(spark):
     assert {tuple(r) for r in history.bag_difference(one, two).collect()} == {(1, -1), (2, -1), (3, 1), (None, 1)}
 
 
+def test_change_set_of_small_graphs(spark):
+    """A renamed file, a renamed symbol in it, a body that changed, one that came and one that went; dependencies follow names."""
+    columns = "id string, type string, name string, owner_id string, file_id string, start_line int"
+    node = lambda f, n, line: (f"{f}#{n}", "Function", n, f, f, line)
+    base = Graph(spark.createDataFrame([node("k:a", "keep", 1), node("k:a", "old", 5), node("k:a", "gone", 9), node("k:b", "user", 1), node("k:b", "fix", 4)], columns), spark.createDataFrame([("CALLS", "k:b#user", "k:a#old", "old", None), ("READS", "k:b#fix", "k:a#keep", None, None), ("READS", "k:b#user", "x", None, None)], "type string, src string, dst string, member string, idx int"))
+    head = Graph(spark.createDataFrame([node("k:n", "keep", 1), node("k:n", "new", 5), node("k:b", "user", 3), node("k:b", "fix", 4), node("k:b", "fresh", 9)], columns), spark.createDataFrame([("CALLS", "k:b#user", "k:n#new", "old", None), ("READS", "k:b#user", "x", None, None), ("READS", "k:b#user", "x", None, None), ("READS", "k:b#fix", "k:n#keep", None, None)], "type string, src string, dst string, member string, idx int"))
+    hashes = lambda rows: spark.createDataFrame([(i, "s", b, b) for i, b in rows], "id string, signature string, body string, whole string")
+    got = changes.change_set(base, head, hashes([("k:a#keep", "1"), ("k:a#old", "2"), ("k:a#gone", "3"), ("k:b#user", "4"), ("k:b#fix", "5")]), hashes([("k:n#keep", "1"), ("k:n#new", "2"), ("k:b#user", "4"), ("k:b#fix", "6"), ("k:b#fresh", "7")]), spark.createDataFrame([("k:a", "k:n")], "old_file string, new_file string"))
+    told = {r.id: r for r in got.collect()}
+    assert {(i, r.change, r.old_id) for i, r in told.items()} == {("k:n#keep", "renamed", "k:a#keep"), ("k:n#new", "renamed", "k:n#old"), ("k:n#gone", "removed", None), ("k:b#user", "deps", None), ("k:b#fix", "body", None), ("k:b#fresh", "added", None)}
+    assert [(x.type, x.target, x.n) for x in told["k:b#user"].gained] == [("READS", "x", 1)] and told["k:b#user"].lost == [] and told["k:b#fix"].lost == []
+
+
 def test_patch_of_odd_names():
     out = 'a b\n:100644 100644 1 2 M\t"src/q\\"uote\\tx.ts"\ndiff --git "a/src/q\\"uote" x\n@@ -0,0 +1 @@\n+@@ -9 +9 @@\n+diff --git a b\n:000000 x\n'
     assert list(git.parse_patch(out.split("\n:000000")[0] + "\n", {("a", "b"): ("p", "q")})) == [("p", "q", "M", 'src/q"uote\tx.ts', 'src/q"uote\tx.ts', "added", 1, 1)]

@@ -113,12 +113,12 @@ def change_set(base: Graph, head: Graph, base_hashes: DataFrame, head_hashes: Da
     deps.  What only moved is left out unless ``moved``.
     """
     types = lambda g: g.nodes.filter(is_declaration(g.nodes)).select("id", "type", F.col("start_line").alias("place"))
-    was = types(base).join(base_hashes, "id", "left")
+    first = was = types(base).join(base_hashes, "id", "left")
     now = types(head).join(head_hashes, "id", "left")
     old_ids = was.withColumn("old_id", F.col("id"))
     if file_renames is not None:
         was, old_ids = renamed(was, file_renames), renamed(old_ids, file_renames)
-    diff = materialise(semantic_diff(was, now).filter(F.lit(moved) | (F.col("change") != "moved")), "diff")
+    diff = materialise(semantic_diff(first, now, file_renames).filter(F.lit(moved) | (F.col("change") != "moved")), "diff")
     gone = diff.filter("change = 'removed'").join(was.select("id", "type", F.col("whole").alias("body")), "id")
     come = diff.filter("change = 'added'").join(now.select("id", "type", F.col("whole").alias("body")), "id")
     again = materialise(symbol_renames(gone, come), "renames")
