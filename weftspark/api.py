@@ -11,7 +11,7 @@ from .operators import authorship, derive, impact, signals, topics, xservice
 from .operators import changes as changed
 from .operators.link import link
 from .parse.facts import parse
-from .parse.tokens import tokens
+from .parse.tokens import tokens, unbalanced
 from .sources.files import texts
 from .tables import materialise
 
@@ -39,11 +39,20 @@ def extract(spark: SparkSession, files: DataFrame, app_key: str, aliases: list[t
     return graph.add(edges=derive.invokes(graph.nodes, graph.edges)).add(edges=derive.flows(graph.nodes, graph.edges))
 
 
+def failures(files: DataFrame) -> DataFrame:
+    """(path, reason) of ``files`` (path, content in bytes) that parsing tells little or nothing of: no valid UTF-8, or brackets that don't close."""
+    broken = files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.lit("not UTF-8").alias("reason"))
+    return broken.unionByName(unbalanced(texts(files)).select("path", F.lit("brackets do not close").alias("reason")))
+
+
 def report(graph: Graph, files: DataFrame) -> DataFrame:
-    """One row: files, failed (those that are no valid UTF-8), nodes and edges of an extraction."""
-    failed = files.agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.is_valid_utf8(F.col("content").cast("string"))).alias("failed"))
-    nodes, edges = (df.agg(F.count(F.lit(1)).alias(n)) for n, df in (("nodes", graph.nodes), ("edges", graph.edges)))
-    return failed.withColumn("one", F.lit(1)).join(nodes.withColumn("one", F.lit(1)), "one").join(edges.withColumn("one", F.lit(1)), "one").drop("one")
+    """One row: files, failed (see :func:`failures`), nodes and edges of an extraction."""
+    failed = failures(files).agg(F.countDistinct("path").alias("failed"))
+    each = [files.agg(F.count(F.lit(1)).alias("files")), failed, *(df.agg(F.count(F.lit(1)).alias(n)) for n, df in (("nodes", graph.nodes), ("edges", graph.edges)))]
+    row = each[0].withColumn("one", F.lit(1))
+    for other in each[1:]:
+        row = row.join(other.withColumn("one", F.lit(1)), "one")
+    return row.drop("one")
 
 
 def declaration_hashes(graph: Graph, files: DataFrame, app_key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..tables import counted, materialise
+from ..tables import counted, discard, materialise
 from .history import bag_difference, renamed, semantic_diff
 from .spans import overlapping
 
@@ -40,7 +40,9 @@ def declared_owners(nodes: DataFrame) -> DataFrame:
         there = state.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("done").alias("ends"))
         joined = state.filter("not done").join(there, "to", "left")
         moved = joined.select("id", F.coalesce("next", "to").alias("to"), (F.col("next").isNull() | (F.col("ends") & (F.col("next") == F.col("to"))) | F.col("ends")).alias("done"))
+        old = state
         state, waiting = counted(state.filter("done").unionByName(moved), "owners", "not done")
+        discard(old)
     return state.select("id", F.col("to").alias("owner"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.confidence import weaker
-from ..tables import materialise
+from ..tables import discard, materialise
 from .dedup import edge_set, first_wins
 from .paths import ancestors, first_ways, nearest
 from .symbols import FIELDS, resolve_symbols, symbol
@@ -170,7 +170,8 @@ def walk(resolved: DataFrame, parts: Parts, exports: DataFrame, members: DataFra
             F.when(F.col("reached.node").isNotNull(), F.array_append("chain", F.col("reached.node"))).otherwise(F.col("chain")).alias("chain"),
             (F.col("open") & moved).alias("open"),
         )
-        state = materialise(s, "walk")
+        old, state = state, materialise(s, "walk")
+        discard(old)
     return state
 
 

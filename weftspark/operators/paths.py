@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import counted, materialise
+from ..tables import counted, discard, materialise
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, stops: DataFrame | None = None) -> DataFrame:
@@ -70,7 +70,8 @@ def first_ways(parents: DataFrame) -> DataFrame:
         further, n = counted(further.filter(F.size(F.array_distinct(nodes)) == F.size(nodes)).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
         if not n:
             return known
-        known = materialise(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
+        old, known = known, materialise(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("way").alias("way")), "ways")
+        discard(old, further)
         reached *= 2
 
 
@@ -88,7 +89,9 @@ def first_found(starts: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFra
     new, hits = best, None
     while True:
         met = new.join(ends, "at").select("start", F.array_append("way", step(F.lit(""))).alias("way"), "value")
+        old = hits
         hits = materialise((met if hits is None else hits.unionByName(met)).groupBy("start").agg(F.min("way").alias("way"), F.min_by("value", "way").alias("value")), "found")
+        discard(old)
         longer = new.join(edges, new["at"] == edges["src"]).select("start", F.col("dst").alias("at"), "way", "rank")
         longer = longer.filter((F.col("at") != F.col("start")) & ~F.exists("way", lambda x: x["node"] == F.col("at")))
         longer = longer.select("start", "at", F.array_append("way", step(F.col("at"))).alias("way"))
@@ -98,7 +101,8 @@ def first_found(starts: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFra
         new, n = counted(longer.join(known, ["start", "at"], "left").filter("had is null or way < had").select("start", "at", "way"), "ways")
         if not n:
             return hits.select("start", "value")
-        best = materialise(best.unionByName(new).groupBy("start", "at").agg(F.min("way").alias("way")), "ways")
+        old, best = best, materialise(best.unionByName(new).groupBy("start", "at").agg(F.min("way").alias("way")), "ways")
+        discard(old)
 
 
 def nearest(lookups: DataFrame, closure: DataFrame, names: DataFrame) -> DataFrame:

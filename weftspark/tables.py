@@ -35,7 +35,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it again."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written = path
+    return written
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialised tables that no later step reads; others are left as they are."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def counted(df: DataFrame, name: str, test: str = "true") -> tuple[DataFrame, int]:
