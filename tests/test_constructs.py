@@ -29,6 +29,7 @@ declare class Ghost { m(): void }
 export declare const hidden: string;
 class Box { m(): { a: B } { return inside(); } abs: (x: A) => B = (x) => k(x) }
 interface Shape { area(): number; }
+function typed(a): B { return a; }
 """,
     "v.tsx": """export function View({ rows, onPick }) {
   const label = `a ${one(`b ${two(`c ${three(`d ${four(`e ${five({ a: { b: { c: 1 } } })} it's`)}`)}`)}`)} f`;
@@ -79,6 +80,7 @@ def test_signatures_of_any_length(graph):
     nodes, _ = graph
     types = {n: nodes[f"{N}#{n}"].type_name for n in ("one", "two", "guard", "gen", "boxed")}
     assert types["one"] == "A | B | C" and types["two"] == "Promise<A.B.C>" and types["gen"] == "T" and types["guard"].startswith("x is Map")
+    assert nodes[f"{N}#over"].type_name.startswith("{") and nodes[f"{N}#typed"].type_name == "B"
     assert nodes[f"{N}#later"]["async"] and nodes[f"{N}#later"].kind == "arrow"
     names = {i.removeprefix(f"{N}#") for i, n in nodes.items() if i.startswith(N) and n.type in ("Function", "Class", "Variable", "Field")}
     assert not any(x in y for x in ("amb", "Ghost", "hidden", "over.over") for y in names)

@@ -247,10 +247,12 @@ def functions(s: Source, classes: DataFrame, ms: DataFrame, ds: DataFrame) -> Da
     lead = F.filter(_core(c("toks")), lambda x: ~x["tok"].isin("export", "default", "async", "declare"))
     declares = (c("kind") == "function") & c("own_name") & F.coalesce(F.get(lead, F.lit(0))["tok"] == "function", F.lit(False)) & (F.get(lead, F.lit(0))["i"] - c("i") <= 1)
     colon = F.when(c("kind") == "function", _first(_slice(c("toks"), c("open"), c("body")), ":")["i"])
-    words = F.transform(_slice(c("toks"), colon, c("body")), lambda x: x["tok"])
+    # The colon is a column of its own: inside of another lambda it would not be found.
+    both = both.withColumn("colon", colon)
+    words = F.transform(_slice(c("toks"), c("colon"), c("body")), lambda x: x["tok"])
     both = both.select(
         *PART, "i", F.when(c("takes"), c("given")).otherwise(c("name")).alias("name"), F.when(c("takes") & (c("by") == "field"), "method").when(declares, "declaration").when(c("kind") == "arrow", "arrow").otherwise("expression").alias("kind"),
-        "open", "single", "body", "body_end", F.when(c("takes") & (c("by") == "field"), c("class_i")).alias("class_i"), F.coalesce("type_words", F.when(colon.isNotNull(), words)).alias("type_words"), "async", "exported", F.coalesce(c("takes"), F.lit(False)).alias("takes"), declares.alias("declares"),
+        "open", "single", "body", "body_end", F.when(c("takes") & (c("by") == "field"), c("class_i")).alias("class_i"), F.coalesce("type_words", F.when(c("colon").isNotNull(), words)).alias("type_words"), "async", "exported", F.coalesce(c("takes"), F.lit(False)).alias("takes"), declares.alias("declares"),
     )
     kind = F.when(c("name") == "constructor", "constructor").when(c("mods.get"), "getter").when(c("mods.set"), "setter").otherwise("method")
     methods = ms.filter("is_method").select(*PART, "i", "name", kind.alias("kind"), "open", _none("int").alias("single"), "body", "body_end", "class_i", F.when(c("type").isNotNull(), F.transform("type", lambda x: x["tok"])).alias("type_words"), c("mods.async").alias("async"), F.lit(False).alias("exported"), F.lit(True).alias("takes"), F.lit(False).alias("declares"), "mods")
