@@ -213,3 +213,5 @@ def test_files_without_anything(spark, graph):
     files = spark.createDataFrame(rows, "path string, language string, hash string, content binary")
     g = Graph(spark.range(3), spark.range(2))
     assert tuple(api.report(g, files).first()) == (2, 1, 3, 2)
+    odd = spark.createDataFrame([("open.js", "javascript", bytearray(b"f({")), ("bad.js", "javascript", bytearray(b"\xff")), ("fine.js", "javascript", bytearray(b"`${f()}`"))], "path string, language string, content binary")
+    assert {tuple(r) for r in api.failures(odd).collect()} == {("open.js", "brackets do not close"), ("bad.js", "not UTF-8")}

@@ -41,8 +41,9 @@ def extract(spark: SparkSession, files: DataFrame, app_key: str, aliases: list[t
 
 def failures(files: DataFrame) -> DataFrame:
     """(path, reason) of ``files`` (path, content in bytes) that parsing tells little or nothing of: no valid UTF-8, or brackets that don't close."""
-    broken = files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.lit("not UTF-8").alias("reason"))
-    return broken.unionByName(unbalanced(texts(files)).select("path", F.lit("brackets do not close").alias("reason")))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    broken = files.filter(~valid).select("path", F.lit("not UTF-8").alias("reason"))
+    return broken.unionByName(unbalanced(texts(files.filter(valid))).select("path", F.lit("brackets do not close").alias("reason")))
 
 
 def report(graph: Graph, files: DataFrame) -> DataFrame:
