@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, code, graph, impact, parsing, services, sources
+from . import changes, code, contracts, graph, impact, parsing, services, sources
 
-_MODULES = (services, graph, sources, code, parsing, impact, changes)
+_MODULES = (services, graph, sources, code, parsing, impact, changes, contracts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
