@@ -1,4 +1,4 @@
-"""Small configurations, read on the driver: tsconfig files with comments, and the authorship section."""
+"""Small configurations, read on the driver: tsconfig files with comments, the authorship section, and rules about changes."""
 
 from __future__ import annotations
 
@@ -93,3 +93,71 @@ class Authorship:
         if out.commits_limit < 0:
             raise ValueError(f"commits_limit {out.commits_limit}")
         return out
+
+
+def glob_pattern(glob: str) -> tuple[str, str]:
+    """Folders before a glob's first wild card, and a pattern for the whole text: ``*`` within a folder, ``**`` across, ``?`` one character."""
+    plain = re.match(r"[^*?]*", glob)[0]
+    out = []
+    for part in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", glob):
+        out.append({"**/": "(.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or re.sub(r"([^\w/ -])", r"\\\1", part))
+    return plain[: plain.rfind("/") + 1], f"(?s)^{''.join(out)}$"
+
+
+@dataclass(frozen=True)
+class Gates:
+    """Rules about changes, as a configuration holds them."""
+
+    enforce: bool = False
+    rules: tuple[tuple[str, str, int, str], ...] = ()
+    critical: tuple[tuple[str, tuple[str, ...], int], ...] = ()
+    stop_nodes: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, config: dict, known: tuple[tuple[str, str, int], ...]) -> Gates:
+        """``known`` (rule, level, most) with what ``config`` says instead; unknown rules, levels and modes are errors."""
+        mode, told, rules = config.get("mode", "advisory"), dict(config.get("rules") or {}), []
+        if mode not in ("advisory", "enforce"):
+            raise ValueError(f"mode {mode!r}")
+        for rule, level, most in known:
+            own = told.pop(rule, None) or {}
+            level = own.get("level", level)
+            if level not in ("off", "warning", "error"):
+                raise ValueError(f"level {level!r} of {rule}")
+            limits = [int(v) for k, v in own.items() if k.startswith("max_")]
+            rules.append((rule, level, limits[0] if limits else most, own.get("allow_label", "")))
+        if told:
+            raise ValueError(f"unknown rules {sorted(told)}")
+        critical = tuple((a["name"], tuple(a.get("match") or ()), int(a.get("require_reviewers", 0))) for a in config.get("critical") or ())
+        return cls(mode == "enforce", tuple(rules), critical, tuple(config.get("stop_nodes") or ()))
+
+    def active(self, labels: tuple[str, ...] = ()) -> tuple[tuple[str, str, int], ...]:
+        """(rule, level, most) of rules that are on and that no label of the change allows to be broken."""
+        return tuple((r, level, most) for r, level, most, label in self.rules if level != "off" and (not label or label not in labels))
+
+    def patterns(self) -> list[tuple[str, str, str, str]]:
+        """(area, kind, prefix, pattern) of the critical areas."""
+        return [(name, *_kind(glob)) for name, globs, _ in self.critical for glob in globs]
+
+    def stops(self) -> list[tuple[str, str, str, str]]:
+        """The same of the nodes that impact doesn't go beyond."""
+        return [("stop", *_kind(glob)) for glob in self.stop_nodes]
+
+
+def _kind(glob: str) -> tuple[str, str, str]:
+    if glob.startswith("endpoint:"):
+        return "endpoint", *glob_pattern(glob.removeprefix("endpoint:"))
+    return "node" if "#" in glob else "path", *glob_pattern(glob)
+
+
+def load_gates(path: str | None, known: tuple[tuple[str, str, int], ...]) -> Gates:
+    """Rules of a JSON or, where PyYAML is there, YAML file; without a file the known ones."""
+    if not path or not os.path.exists(path):
+        return Gates.of({}, known)
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return Gates.of(json.loads(plain_json(text)), known)
+    import yaml
+
+    return Gates.of(yaml.safe_load(text) or {}, known)
