@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftspark.functions import confidence
 from weftspark.functions import text as fn
 from weftspark import cli
-from weftspark.operators import authorship, dedup, history, link, paths, spans, store, xservice
+from weftspark.operators import authorship, dedup, history, link, manifest, paths, spans, store, xservice
 from weftspark.operators.link import resolve_modules
 from weftspark.sources import config, git
 from weftspark.sources.files import source_files
@@ -176,14 +176,6 @@ def test_yaml_section():
     assert config.load_authorship("/nowhere.yaml") == config.Authorship() and not config.Authorship().enabled
 
 
-def test_versions_of_a_stored_table(spark, tmp_path):
-    path = str(tmp_path / "t")
-    assert store.current(spark, path) is None
-    for i in (1, 2):
-        store.swap(spark.range(i), path)
-        assert store.current(spark, path).count() == i
-
-
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     """Three small applications, of which two tie for the host that the third calls."""
@@ -200,7 +192,7 @@ def stored(spark, tmp_path_factory):
 
 
 def test_commands(spark, stored, capsys):
-    edges = store.read_graph(spark, f"{stored}/edges", "web")
+    edges = store.read_graph(spark, stored, "web").edges
     assert edges.filter("type = 'IMPORTS' and dst = 'web:src/lib/base.ts'").count() == 1  # by tsconfig's alias
     told = cli.link(spark, stored).first()
     assert (told.ambiguous, told.exact) == (1, 0)
@@ -223,11 +215,12 @@ def test_commands(spark, stored, capsys):
 
 def test_reject_and_confirm(spark, stored, tmp_path):
     graph = f"{tmp_path}/graph"
-    for name, schema, rows in (("requests", cli.REQUESTS, [("REQUESTS", "app:a", "app:b", "url", "b:1", "ambiguous")]), ("reviews", cli.REVIEWS, [("a:review:1", "app:a", "REQUESTS", "app:b", "url:b:1", "pending", [])])):
-        store.swap(spark.createDataFrame(rows, schema), f"{graph}/{name}")
+    review = spark.createDataFrame([("a:review:1", "app:a", "REQUESTS", "app:b", "url:b:1", "pending", [])], cli.REVIEWS)
+    request = spark.createDataFrame([("REQUESTS", "app:a", "app:b", "url", "b:1", "ambiguous")], cli.REQUESTS)
+    manifest.update(spark, graph, lambda base: {"requests": {"": request}, "reviews": {"": review}})
     cli.decide(spark, graph, "a:review:1", "confirmed")
     assert cli._stored(spark, graph)[1].first().status == "confirmed"
-    store.swap(spark.createDataFrame([("a:review:1", "app:a", "REQUESTS", "app:b", "url:b:1", "pending", [])], cli.REVIEWS), f"{graph}/reviews")
+    manifest.update(spark, graph, lambda base: {"reviews": {"": review}})
     cli.decide(spark, graph, "a:review:1", "rejected")
     requests, reviews = cli._stored(spark, graph)
     assert requests.count() == 0 and reviews.first().status == "rejected"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import api
 from .functions.text import language_of
 from .model import node_json
-from .operators import audit, store
+from .operators import audit, manifest, store
 from .sources import git
 from .sources.config import load_authorship, tsconfig_aliases
 from .sources.files import read_graph_json, source_files
@@ -83,46 +83,56 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         raise ValueError(f"unknown types {unknown}")
     if a.json:
         node_json(graph.nodes).write.mode("overwrite").text(a.json)
-    for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
-        store.overwrite_app(df.withColumn("app_key", F.lit(key)), f"{a.out}/{name}")
+    store.save_app(spark, a.out, key, graph)
     return told
 
 
-def _stored(spark: SparkSession, graph: str) -> tuple[DataFrame, DataFrame]:
+def _stored(spark: SparkSession, graph: str, version: manifest.Version | None = None) -> tuple[DataFrame, DataFrame]:
     """REQUESTS edges and reviews of a graph, empty where nothing was linked yet."""
-    tables = [(store.current(spark, f"{graph}/{name}"), schema) for name, schema in (("requests", REQUESTS), ("reviews", REVIEWS))]
+    version = version or manifest.latest(spark, graph)
+    tables = [(manifest.read(spark, graph, name, version), schema) for name, schema in (("requests", REQUESTS), ("reviews", REVIEWS))]
     return tuple(spark.createDataFrame([], schema) if df is None else df for df, schema in tables)
 
 
 def link(spark: SparkSession, graph: str) -> DataFrame:
-    """Link all applications anew; decided reviews keep their status.  The report is returned."""
-    nodes = store.read_graph(spark, f"{graph}/nodes").filter("type = 'Application'")
-    apps = materialise(nodes.select(F.col("app_key").alias("key"), "name", "host_candidates", "env_vars_read"), "applications")
-    new_edges, new_reviews, told = api.link_services(apps)
-    edges, reviews = store.replace_links(*_stored(spark, graph), new_edges, new_reviews, apps)
-    edges, reviews = materialise(edges, "requests"), materialise(reviews, "reviews")
-    store.swap(edges, f"{graph}/requests")
-    store.swap(reviews, f"{graph}/reviews")
-    return told
+    """Link all applications anew; decided reviews keep their status.  Links and reviews change together.  The report is returned."""
+    reports = []
+
+    def change(base: manifest.Version) -> manifest.Changes:
+        nodes = store.read_graph(spark, graph, version=base).nodes.filter("type = 'Application'")
+        apps = materialise(nodes.select(F.substr("id", F.lit(len("app:") + 1)).alias("key"), "name", "host_candidates", "env_vars_read"), "applications")
+        new_edges, new_reviews, told = api.link_services(apps)
+        reports.append(told)
+        edges, reviews = store.replace_links(*_stored(spark, graph, base), new_edges, new_reviews, apps)
+        return {"requests": {"": edges}, "reviews": {"": reviews}}
+
+    manifest.update(spark, graph, change)
+    return reports[-1]
 
 
 def decide(spark: SparkSession, graph: str, id_: str, status: str, target: str | None = None) -> None:
-    """Confirm any review; override and reject pending ones only, with their link."""
-    edges, reviews = _stored(spark, graph)
-    if status != "confirmed":
+    """Confirm any review; override and reject pending ones only, with their link.  Link and review change together."""
+
+    def change(base: manifest.Version) -> manifest.Changes:
+        edges, reviews = _stored(spark, graph, base)
+        decided = store.set_status(reviews, spark.createDataFrame([(id_, status)], "id string, status string"))
+        if status == "confirmed":
+            return {"reviews": {"": decided}}
         pair = store.pending(reviews, id_).select(F.col("call_id").alias("src"), F.col("chosen_id").alias("dst"))
         if status == "overridden":
             to = target if target.startswith("app:") else f"app:{target}"
             edges = store.retarget(edges, pair.withColumn("new_dst", F.lit(to)))
         else:
             edges = store.delete_requests(edges, pair)
-        store.swap(edges.select(*(f.split()[0] for f in REQUESTS.split(", "))), f"{graph}/requests")
-    store.swap(store.set_status(reviews, spark.createDataFrame([(id_, status)], "id string, status string")), f"{graph}/reviews")
+        return {"requests": {"": edges.select(*(f.split()[0] for f in REQUESTS.split(", ")))}, "reviews": {"": decided}}
+
+    manifest.update(spark, graph, change)
 
 
 def find_unlinked(spark: SparkSession, graph: str) -> DataFrame:
-    read = lambda name: store.read_graph(spark, f"{graph}/{name}")
-    return audit.audit(read("nodes"), read("edges"), _stored(spark, graph)[0])
+    version = manifest.latest(spark, graph)
+    found = store.read_graph(spark, graph, version=version)
+    return audit.audit(found.nodes, found.edges, _stored(spark, graph, version)[0])
 
 
 def scratch_link(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

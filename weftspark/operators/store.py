@@ -1,19 +1,22 @@
 """Changes of the stored graph, as functions from old and new rows to merged ones.
 
-Nothing is changed in place: results are written as a table's next version and
-named as the current one when they are whole (:func:`swap`).
+Nothing is changed in place: results are the next version of the whole store
+(:mod:`.manifest`).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import Graph, stored_properties
+from ..tables import materialise
+from . import manifest
 from .dedup import merge_properties
 
 LINK_TYPES = ("REQUESTS", "PRODUCES", "CONSUMES")
+#: The part of the nodes that belong to no one application.
+SHARED = "*"
 
 
 def without_app(nodes: DataFrame, edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -83,41 +86,47 @@ def pending(reviews: DataFrame, id_: str) -> DataFrame:
     return found
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Write ``df`` as the table's next version and then name it in ``path``/CURRENT, which readers follow.
+def _merged(df: DataFrame, keys: list[str], first: list) -> DataFrame:
+    """One row of each key, each column the last that is not null in order of ``first``; ties go by the whole row, so that a retry gives the same."""
+    rest = [c for c in df.columns if c not in keys]
+    ordered = df.withColumn("__order", F.struct(*first, F.xxhash64(*df.columns)))
+    return merge_properties(ordered, keys, rest, "__order")
+
+
+def app_parts(key: str, graph: Graph, shared: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a store holds of an application: its own nodes, the nodes that it shares with others (packages, topics, people), its edges.
 
-    A version is whole before it is named; naming is one rename over the old
-    name's file.  Readers of the version before keep their files.
+    Shared nodes are merged with those that are ``shared`` already, by (type, id);
+    an edge is one by (src, type, dst) with the last non-null value of each
+    property, and dropped where an end is no node.
     """
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    name = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    current = hadoop.Path(f"{path}/CURRENT")
-    context = hadoop.FileContext.getFileContext(current.toUri(), spark._jsc.hadoopConfiguration())
-    draft = hadoop.Path(f"{path}/CURRENT.{uuid.uuid4().hex}")
-    out = draft.getFileSystem(spark._jsc.hadoopConfiguration()).create(draft)
-    out.write(bytearray(name.encode()))
-    out.close()
-    modes = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    modes[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(draft, current, modes)
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table that :func:`swap` wrote last; None if there is none."""
-    named = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    if not named.getFileSystem(spark._jsc.hadoopConfiguration()).exists(named):
-        return None
-    name = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{name}")
-
-
-def overwrite_app(df: DataFrame, path: str) -> None:
-    """Replace only the partitions of the applications in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("app_key").parquet(path)
-
-
-def read_graph(spark: SparkSession, path: str, app_key: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df if app_key is None else df.filter(F.col("app_key") == app_key)
+    own = F.startswith("id", F.lit(f"{key}:")) | (F.col("id") == f"app:{key}")
+    nodes = graph.nodes.withColumn("__new", F.lit(1))
+    mine = materialise(_merged(nodes.filter(own).drop("__new"), ["type", "id"], []), "own-nodes")
+    common = nodes.filter(~own)
+    if shared is not None:
+        common = shared.withColumn("__new", F.lit(0)).unionByName(common, allowMissingColumns=True)
+    common = materialise(_merged(common, ["type", "id"], [F.col("__new")]).drop("__new"), "shared-nodes")
+    edges = _merged(stored_properties(graph.edges), ["src", "type", "dst"], [F.coalesce("seq", F.lit(-1))])
+    ids = mine.select("id").unionByName(common.select("id")).distinct()
+    whole = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return mine, common, whole.select(*graph.edges.columns)
+
+
+def save_app(spark: SparkSession, path: str, key: str, graph: Graph) -> manifest.Version:
+    """Put an application's graph in place of what the store at ``path`` had of it; nodes and edges change together."""
+
+    def change(base: manifest.Version) -> manifest.Changes:
+        mine, common, edges = app_parts(key, graph, manifest.read(spark, path, "nodes", base, SHARED))
+        return {"nodes": {key: mine, SHARED: common}, "edges": {key: edges}}
+
+    return manifest.update(spark, path, change)
+
+
+def read_graph(spark: SparkSession, path: str, app_key: str | None = None, version: manifest.Version | None = None) -> Graph:
+    """The whole graph, or the nodes and edges of one application without the shared nodes."""
+    version = version or manifest.latest(spark, path)
+    nodes, edges = (manifest.read(spark, path, t, version, app_key) for t in ("nodes", "edges"))
+    if nodes is None or edges is None:
+        raise ValueError(f"nothing of {app_key or 'any application'} in {path}")
+    return Graph(nodes, edges)
