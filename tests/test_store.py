@@ -1,11 +1,15 @@
 """Versions of a whole store, and applications put into it."""
 
+import json
+from pathlib import Path
+
 import pytest
 
-from weftspark.model import EDGE_SCHEMA, Graph
+from weftspark.functions.text import range_text
+from weftspark.model import EDGE_SCHEMA, Graph, graph_document
 from weftspark.operators import manifest, store
 
-NODE = "type string, id string, name string, loc string"
+NODE = "type string, id string, name string, kind string"
 
 
 def rows(df):
@@ -90,3 +94,26 @@ def test_applications_share_nodes_and_keep_no_loose_edges(spark, tmp_path):
     assert rows(again.edges.select("src")) == [("a:a.js#h",), ("ab:a.js#g",)] and rows(store.read_graph(spark, path, "a").nodes.select("id")) == [("a:a.js#h",), ("app:a",)]
     with pytest.raises(ValueError):
         store.read_graph(spark, path, "b")
+
+
+def test_a_graph_is_one_json_document(spark, tmp_path):
+    g = graph(spark, "a", [f"f{i}" for i in range(40)], [("CALLS", f"a:a.js#f{i % 9}", "pkg:lodash", None, 'm"\n', 1) for i in range(30)])
+    for i, told in enumerate((g, Graph(g.nodes.limit(0), g.edges.limit(0)))):
+        graph_document(told).write.text(str(tmp_path / str(i)))
+        parts = sorted(Path(tmp_path / str(i)).glob("part-*"))
+        document = json.loads("".join(p.read_text() for p in parts))
+        assert sorted(n["id"] for n in document["nodes"]) == sorted(r.id for r in told.nodes.collect())
+        assert sorted((e["src"], e["member"]) for e in document["edges"]) == sorted((r.src, r.member) for r in told.edges.collect())
+
+
+def test_the_first_application_takes_a_review(spark):
+    reviews = spark.createDataFrame([("a:b:review:1", 1), ("a:review:2", 2), ("ab:review:3", 3), ("none", 4), ("a:", 5), (None, 6)], "id string, n int")
+    apps = lambda *keys: spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, seq int")
+    found = lambda a: {r.n: r.app_key for r in store.review_apps(reviews, a).collect()}
+    assert found(apps("a", "a:b")) == {1: "a", 2: "a", 3: None, 4: None, 5: None, 6: None}
+    assert found(apps("a:b", "a", "ab")) == {1: "a:b", 2: "a", 3: "ab", 4: None, 5: None, 6: None}
+
+
+def test_ranges_in_words(spark):
+    df = spark.createDataFrame([("a..b", 5, "HEAD"), ("a..b", 0, None), ("", 3, "main"), (None, None, None)], "c string, n int, r string")
+    assert [r[0] for r in df.select(range_text(df.c, df.n, df.r)).collect()] == ["a..b (limit 5)", "a..b", "rev=main limit=3", "rev="]

@@ -153,3 +153,12 @@ def readable(path: Column) -> Column:
     """Whether a relative path is a source file outside of skipped and hidden folders."""
     skipped = "|".join(SKIPPED_DIRS)
     return language_of(path).isNotNull() & ~path.rlike(rf"(^|/)({skipped}|\.[^/]+)/")
+
+
+def range_text(commits: Column, limit: Column, rev: Column) -> Column:
+    """What part of a history is read, in words: a range of commits where there is one, else a revision; null counts as empty and as no limit."""
+    capped = F.coalesce(limit, F.lit(0)) > 0
+    number = limit.cast("string")
+    ranged = F.concat(commits, F.when(capped, F.concat(F.lit(" (limit "), number, F.lit(")"))).otherwise(""))
+    whole = F.concat(F.lit("rev="), F.coalesce(rev, F.lit("")), F.when(capped, F.concat(F.lit(" limit="), number)).otherwise(""))
+    return F.when(F.coalesce(commits, F.lit("")) != "", ranged).otherwise(whole)

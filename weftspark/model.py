@@ -74,3 +74,19 @@ def node_json(nodes: DataFrame) -> DataFrame:
     """One JSON document a node, its location's fields at the root, absent ones left out."""
     flat = flatten(nodes) if "loc" in nodes.columns else nodes
     return flat.select(F.to_json(F.struct(*flat.columns)).alias("value"))
+
+
+def graph_document(graph: Graph) -> DataFrame:
+    """Lines (value, in order) of one JSON document: ``nodes``, flat, and ``edges``; without any, empty arrays.
+
+    Rows are sorted by range, so that part files written from this, one after the
+    other, are the document: nothing is gathered in one place.
+    """
+    told = node_json(graph.nodes).select(F.lit(1).alias("section"), "value")
+    told = told.unionByName(graph.edges.select(F.lit(3).alias("section"), F.to_json(F.struct(*graph.edges.columns)).alias("value")))
+    counted = told.groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("section").agg(F.min("value").alias("first"))
+    copies = counted.join(F.broadcast(first), "section").select("section", "value", "first", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    lines = copies.select("section", F.col("value").alias("key"), "copy", F.when((F.col("value") == F.col("first")) & (F.col("copy") == 1), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    frame = graph.nodes.sparkSession.createDataFrame([(0, "", 0, '{"nodes": ['), (2, "", 0, '], "edges": ['), (4, "", 0, "]}")], "section int, key string, copy long, value string")
+    return lines.unionByName(frame).orderBy("section", "key", "copy").select("value")

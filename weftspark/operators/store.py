@@ -56,6 +56,19 @@ def upsert_reviews(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("id", *(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) if c == "status" else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in rest))
 
 
+def review_apps(reviews: DataFrame, apps: DataFrame) -> DataFrame:
+    """``reviews`` (id, ..) with the ``app_key`` of the first of ``apps`` (key, seq) whose key and a colon begin the id, and something follows; null if none.
+
+    The keys that an id may begin with are its parts before a colon: an equal join.
+    """
+    parts = F.split("id", ":", -1)
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ":"))
+    asked = reviews.select("id").distinct().filter(F.size(parts) > 1).select("id", F.explode(begins).alias("key"))
+    met = asked.filter(F.length("id") > F.length("key") + 1).join(apps.select("key", "seq"), "key")
+    first = met.groupBy("id").agg(F.min_by("key", F.struct("seq", "key")).alias("app_key"))
+    return reviews.join(first, "id", "left")
+
+
 def set_status(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     """``reviews`` with the status of ``decisions`` (id, status)."""
     d = decisions.select("id", F.col("status").alias("__s"))

@@ -44,6 +44,13 @@ def x18_review_upsert(spark, sf_dir):
     return store.upsert_reviews(old.unionByName(gone), new).select("id", "chosen_id", "hint", "status")
 
 
+def x18_review_apps(spark, sf_dir):
+    """Orders as reviews of applications that nations are, some of these keys the beginning of others."""
+    n = table(spark, sf_dir, "nation").select(F.expr("concat('n', n_nationkey % 8, if(n_nationkey < 8, '', concat(':', cast(n_nationkey as string))))").alias("key"), (F.lit(50) - F.col("n_nationkey")).alias("seq"))
+    o = table(spark, sf_dir, "orders").select(F.expr("concat('n', o_custkey % 11, ':', o_orderkey % 40, if(o_orderkey % 3 = 0, '', ':review:'), if(o_orderkey % 3 = 2, cast(o_orderkey as string), ''))").alias("id"))
+    return store.review_apps(o.distinct(), n)
+
+
 def x18_retarget(spark, sf_dir):
     linked = xservice.links(applications(spark, sf_dir))
     second = linked.filter("resolution = 'ambiguous' and kind = 'url'").select(F.concat(F.lit("app:"), "src").alias("src"), F.concat(F.lit("app:"), "target").alias("dst"), F.concat(F.lit("app:"), F.get("candidates", F.lit(1))["target"]).alias("new_dst"))
@@ -71,11 +78,15 @@ def x18_node_upsert(spark, sf_dir):
     return store.upsert_nodes(old, new)
 
 
-QUERIES = (x1_link_services, x1_link_report, x2_review_ids, x2_candidates, x3_signals_topn, x3_endpoint_signals, x18_review_upsert, x18_retarget, x18_delete_requests, x18_replace_app, x18_node_upsert)
+QUERIES = (x1_link_services, x1_link_report, x2_review_ids, x2_candidates, x3_signals_topn, x3_endpoint_signals, x18_review_upsert, x18_review_apps, x18_retarget, x18_delete_requests, x18_replace_app, x18_node_upsert)
 
 _REVIEWS = "reviews AS (SELECT src || ':review:' || substr(sha1('app:' || src || '|' || kind || '|' || hint), 1, 12) AS id, 'app:' || src AS call_id, 'REQUESTS' AS edge_type, 'app:' || target AS chosen_id, kind || ':' || hint AS hint, 'pending' AS status, n_candidates FROM linked WHERE resolution = 'ambiguous')"
 
 SQL = {
+    "x18_review_apps": """
+WITH n AS (SELECT 'n' || (n_nationkey % 8) || CASE WHEN n_nationkey < 8 THEN '' ELSE ':' || n_nationkey END AS key, 50 - n_nationkey AS seq FROM nation),
+o AS (SELECT DISTINCT 'n' || (o_custkey % 11) || ':' || (o_orderkey % 40) || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ':review:' ELSE ':review:' || o_orderkey END AS id FROM orders)
+SELECT id, arg_min(key, seq) AS app_key FROM o LEFT JOIN n ON starts_with(id, key || ':') AND length(id) > length(key) + 1 GROUP BY id""",
     "x1_link_services": f"WITH {APPS_SQL} SELECT src, kind, hint, target, score, n_candidates, resolution FROM linked",
     "x1_link_report": f"WITH {APPS_SQL} SELECT count(*) FILTER (WHERE resolution = 'exact') AS exact, count(*) FILTER (WHERE resolution = 'inferred') AS inferred, count(*) FILTER (WHERE resolution = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE target IS NULL) AS unmatched FROM linked",
     "x2_review_ids": f"WITH {APPS_SQL}, {_REVIEWS} SELECT * FROM reviews",

@@ -105,6 +105,13 @@ def x22_http_path_join(spark, sf_dir):
     return p.select("page_id", fn.http_path(F.substring_index("s", "/", 1), F.expr("substr(s, 2 + length(substring_index(s, '/', 1)))")).alias("path"), fn.http_path(F.lit(" "), F.lit("")).alias("root"))
 
 
+def x22_range_text(spark, sf_dir):
+    """Orders as readings of a history: some have a range, some a limit, some lack one of both."""
+    o = table(spark, sf_dir, "orders")
+    commits, limit, rev = F.expr("case o_orderkey % 3 when 0 then concat(o_orderstatus, '..HEAD') when 1 then '' end"), F.expr("case when o_custkey % 4 > 0 then o_custkey % 4 - 1 end"), F.expr("if(o_orderkey % 5 > 0, o_orderpriority, null)")
+    return o.select("o_orderkey", fn.range_text(commits, limit, rev).alias("told"))
+
+
 def x22_host_names(spark, sf_dir):
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(fn.hosts_in(u), ",").alias("hosts"), fn.before(F.regexp_extract(u, "://([^/?#]*)", 1), ".").alias("head"), fn.names_match(fn.before(F.regexp_extract(u, "://([^/?#]*)", 1), "."), F.lit("Blog")).alias("blog"))
@@ -139,7 +146,7 @@ def x23_renamed(spark, sf_dir):
     return history.renamed(ids, renames)
 
 
-QUERIES = (x4_topics, x4_topic_nodes, x9_ownership_share, x9_created_last_modified, x10_innermost_span, x11_next_edges, x19_person_identity, x19_email_policy, x20_status_kind, x20_commit_edges, x21_package_name, x21_alias_match, x21_candidates, x22_http_path_join, x22_host_names, x23_hotspots, x23_semantic_diff, x23_dependency_diff, x23_as_of_version, x23_renamed)
+QUERIES = (x4_topics, x4_topic_nodes, x9_ownership_share, x9_created_last_modified, x10_innermost_span, x11_next_edges, x19_person_identity, x19_email_policy, x20_status_kind, x20_commit_edges, x21_package_name, x21_alias_match, x21_candidates, x22_http_path_join, x22_range_text, x22_host_names, x23_hotspots, x23_semantic_diff, x23_dependency_diff, x23_as_of_version, x23_renamed)
 
 _TOPICS = """
 WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, event_type, event_id % 2 AS odd FROM events),
@@ -187,6 +194,9 @@ SELECT page_id, arg_min(path, rank) AS path FROM c JOIN there USING (path) GROUP
     "x22_http_path_join": f"""
 WITH p AS (SELECT page_id, split_part({_S}, '/', 1) AS a, substr({_S}, length(split_part({_S}, '/', 1)) + 2) AS b FROM pages)
 SELECT page_id, coalesce(nullif(CASE WHEN a = '' THEN '' ELSE '/' || a END || CASE WHEN b = '' THEN '' WHEN starts_with(b, '/') THEN b ELSE '/' || b END, ''), '/') AS path, '/' AS root FROM p""",
+    "x22_range_text": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '..HEAD' || CASE WHEN o_custkey % 4 > 1 THEN ' (limit ' || (o_custkey % 4 - 1) || ')' ELSE '' END
+  ELSE 'rev=' || CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority ELSE '' END || CASE WHEN o_custkey % 4 > 1 THEN ' limit=' || (o_custkey % 4 - 1) ELSE '' END END AS told FROM orders""",
     "x22_host_names": "SELECT page_id, array_to_string(regexp_extract_all(url, '(?i)(?:https?|wss|ws)://([a-z0-9][a-z0-9.-]*(?::\\d{2,5})?)', 1), ',') AS hosts, split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1) AS head, lower(split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1)) = 'blog' OR starts_with(split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1), 'blog-') AS blog FROM pages".replace("\\\\", "\\"),
     "x23_hotspots": "SELECT 'part:' || l_partkey AS decl, count(DISTINCT l_orderkey) AS commits, count(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY l_partkey ORDER BY commits DESC, authors DESC, decl LIMIT 20",
     "x23_semantic_diff": """
