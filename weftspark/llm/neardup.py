@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..tables import counted
 from .common import discard, free_name, materialise, partition_count, shape, slices, text_bytes
 
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 2
@@ -244,75 +245,122 @@ def _shares() -> F.Column:
     return F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
 
 
-def _met_one(rows: DataFrame, key: str, how: ByEstimate | BySets) -> DataFrame:
-    """(key, id, comp): of each key the members similar to that of smallest id, which is their comp; itself too, and all rows of its id."""
+def _joined(members: list[tuple], how: ByEstimate | BySets) -> list[tuple]:
+    """Links that hold similar ``members`` together: over one of them first, as between tasks; the rest in pairs."""
+    comp: dict = {}
+    left = members
+    for _ in range(PIVOTS):
+        if not left:
+            break
+        pivot = left[0][0]
+        for m, met in zip(left, how.to_one(left[0], left).tolist(), strict=True):
+            if met or m[0] == pivot:
+                comp.setdefault(m[0], pivot)
+        left = [m for m in left if m[0] not in comp]
+    links = [(c, i) for i, c in comp.items() if c != i]
+    comps = [comp.get(m[0], m[0]) for m in members]
+    return links + how.links(members, comps) if len(set(comps)) > 1 else links
+
+
+def _sizes(rows: DataFrame, key: str, how: ByEstimate | BySets) -> tuple[DataFrame, int]:
+    """(key, shares, pivot, last: the smallest and largest id) per key, and how many keys are of several shares."""
     # Written: sizes are summed up within tasks, and the join of a key with many rows can be split (AQE).
-    sizes = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), _weight(how.columns), F.min("id").alias("pivot")).filter("n > 1"), "sizes")
-    placed = rows.join(sizes, key)
+    each = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), _weight(how.columns), F.min("id").alias("pivot"), F.max("id").alias("last"))
+    return counted(each.select(key, _shares().alias("shares"), "pivot", "last"), "sizes", "shares > 1")
+
+
+def _met_one(rows: DataFrame, sizes: DataFrame, key: str, how: ByEstimate | BySets, whole: bool) -> tuple[DataFrame, int]:
+    """(key, id, comp and the columns of ``how``), and how many are large keys' rows without comp.
+
+    Members of a key of several shares are compared with that of smallest id, which
+    is their comp if they are similar (itself too, and all rows of its id).  If ``rows``
+    are the ``whole`` keys, one of a single share is joined to its end: of it only
+    links are told, from comp to id, with no key.
+    """
     first = F.col("id") == F.col("pivot")
-    share = F.when(first, F.sequence(F.lit(0), _shares() - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), _shares()).cast("int")))
-    dealt = placed.select(key, F.explode(share).alias("share"), (~first).alias("later"), "id", *how.columns)
+    share = F.when(first, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "shares").cast("int")))
+    dealt = rows.join(sizes, key).select(key, F.explode(share).alias("share"), (~first).alias("later"), (F.col("shares") > 1).alias("large"), "id", *how.columns)
     dealt = dealt.repartition(partition_count(rows), key, "share").sortWithinPartitions(key, "share", "later", "id")
+    out_type = shape(dealt.select(key, "id", F.col("id").alias("comp"), *how.columns))
+    kinds = [to_arrow_type(f.dataType) for f in out_type]
+
+    def told(links: list[tuple]) -> pa.RecordBatch:
+        n = len(links)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kinds[0]), pa.array([i for _, i in links], kinds[1]), pa.array([c for c, _ in links], kinds[2]), *(pa.nulls(n, k) for k in kinds[3:])], names=out_type.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, pivot = None, None
+        held: list[tuple] = []
+        found: dict[tuple, None] = {}
         for batch in batches:
             at = list(zip(batch.column(key).to_pylist(), batch.column("share").to_pylist(), strict=True))
             members = list(zip(batch.column("id").to_pylist(), *(batch.column(c).to_pylist() for c in how.columns), strict=True))
+            large = batch.column("large").to_pylist()
             comp: list = [None] * len(at)
+            keep = [False] * len(at)
             i = 0
             while i < len(at):
                 if at[i] != here:
+                    found.update(dict.fromkeys(_joined(held, how)))
+                    held = []
                     here, pivot = at[i], members[i]
                 end = i + 1
                 while end < len(at) and at[end] == here:
                     end += 1
-                for k, met in enumerate(how.to_one(pivot, members[i:end]).tolist(), i):
-                    if met or members[k][0] == pivot[0]:
-                        comp[k] = pivot[0]
+                if whole and not large[i]:
+                    held += members[i:end]
+                else:
+                    for k, met in enumerate(how.to_one(pivot, members[i:end]).tolist(), i):
+                        first = members[k][0] == pivot[0]
+                        comp[k] = pivot[0] if met or first else None
+                        keep[k] = not first or here[1] == 0  # the pivot is in every share
                 i = end
-            out = pa.RecordBatch.from_arrays([batch.column(key), batch.column("id"), pa.array(comp, batch.column("id").type)], names=[key, "id", "comp"])
-            yield out.filter(pa.array([c is not None for c in comp], pa.bool_()))
+            if any(keep):
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("id"), pa.array(comp, kinds[2]), *(batch.column(c) for c in how.columns)], names=out_type.names).filter(pa.array(keep, pa.bool_()))
+            if len(found) > 50_000:
+                yield told(list(found))
+                found = {}
+        found.update(dict.fromkeys(_joined(held, how)))
+        yield told(list(found))
 
-    found = dealt.mapInArrow(run, shape(dealt.select(key, "id", F.col("id").alias("comp"))))
-    met = materialise(found.distinct(), "met")
-    discard(sizes)
-    return met
+    return counted(dealt.mapInArrow(run, out_type), "met", f"{key} is not null and comp is null")
 
 
 def links_within(rows: DataFrame, key: str, how: ByEstimate | BySets) -> DataFrame:
     """(a, b): links that join what similar members of each ``key`` of ``rows`` (key, id and the columns of ``how``; written) hold together.
 
-    No pair of members stays unknown but of those that are joined already.
+    No pair of members stays unknown but of those that are joined already.  Keys of
+    one block are joined in one task; only larger ones take the further steps.
     """
-    left, links, comps, rounds = rows, None, None, []
-    for _ in range(PIVOTS):
-        met = _met_one(left, key, how)
-        rounds.append(met)
-        new = met.select(F.col("comp").alias("a"), F.col("id").alias("b")).filter("a <> b")
-        links = new if links is None else links.unionByName(new)
-        comps = met if comps is None else comps.unionByName(met)
-        left = left.join(comps.select(key, "id"), [key, "id"], "left_anti")
-    # Keys whose members are not all in one comp.
-    state = materialise(rows.select(key, "id").distinct().join(comps, [key, "id"], "left").select(key, "id", F.coalesce("comp", "id").alias("comp")), "comps")
-    several = materialise(state.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(key), "apart")
-    apart = rows.join(several, key, "left_semi").join(state, [key, "id"])
-    apart = materialise(apart, "apart-rows")
+    sizes, _ = _sizes(rows, key, how)
+    met, left = _met_one(rows, sizes.filter("pivot < last"), key, how, whole=True)
+    discard(sizes)
+    links = met.filter("comp <> id").select(F.col("comp").alias("a"), F.col("id").alias("b"))
+    if not left:
+        return links
+    state = met.filter(F.col(key).isNotNull())
+    for _ in range(1, PIVOTS):
+        sizes, several = _sizes(state.filter("comp is null"), key, how)
+        if several:  # else what is left of a key is a block at most
+            met, _ = _met_one(state.filter("comp is null"), sizes, key, how, whole=False)
+            links = links.unionByName(met.filter("comp <> id").select(F.col("comp").alias("a"), F.col("id").alias("b")))
+            state = state.filter("comp is not null").unionByName(met)
+        discard(sizes)
+        if not several:
+            break
     # Members of one large comp are not compared with each other; small comps are blocks together.
-    sizes = materialise(apart.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"), _weight(how.columns)), "comp-sizes")
+    state = state.withColumn("comp", F.coalesce("comp", "id"))
+    sizes = state.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"), _weight(how.columns))
     large = (F.col("n") > BLOCK // 4) | (F.col("bytes") > BLOCK_BYTES // 4)
     owner = F.when(large, F.col("comp").cast("string")).otherwise("")
-    kinds = sizes.select(key, "comp", large.alias("large"), F.concat(F.when(large, "1").otherwise("0"), owner).alias("kind"), "n", "bytes")
-    blocks = kinds.groupBy(key, "kind").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("large").alias("large")).withColumn("blocks", _shares())
-    blocks = materialise(blocks.select(key, "kind", "large", "blocks"), "blocks")
-    each = blocks.select(key, "kind", "large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    code = F.concat_ws("/", "k", "kind")
-    one, two = (each.select(key, code.alias(c), F.col("kind").alias(f"kind_{c}"), F.col("large").alias(f"large_{c}")) for c in ("i", "j"))
-    pairs = one.join(two, key).filter("i <= j and not (large_i and large_j and kind_i = kind_j)").select(key, "i", "j")
-    sides = materialise(pairs.select(key, F.col("i").alias("code"), "i", "j").unionByName(pairs.filter("i <> j").select(key, F.col("j").alias("code"), "i", "j")), "sides")
-    coded = apart.join(kinds.select(key, "comp", "kind"), [key, "comp"]).join(blocks.select(key, "kind", "blocks"), [key, "kind"])
-    coded = coded.withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select(key, code.alias("code"), "id", "comp", *how.columns)
-    dealt = coded.join(sides, [key, "code"]).repartition(partition_count(rows), key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+    kinds = materialise(sizes.select(key, "comp", large.alias("large"), F.concat(F.when(large, "1").otherwise("0"), owner).alias("kind"), "n", "bytes"), "comp-sizes")
+    blocks = materialise(kinds.groupBy(key, "kind").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(key, "kind", _shares().alias("blocks")), "blocks")
+    others = blocks.select(key, F.col("kind").alias("other"), F.col("blocks").alias("of"))
+    meet = kinds.join(blocks, [key, "kind"]).join(others, key).filter("not large or kind <> other").select(key, "comp", "kind", "blocks", "other", "of")
+    own = F.concat_ws("/", F.pmod(F.xxhash64("id"), "blocks").cast("int"), "kind").alias("own")
+    each = state.join(meet, [key, "comp"]).select(key, own, F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("k"), "other", "id", "comp", *how.columns)
+    each = each.withColumn("other", F.concat_ws("/", "k", "other")).select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", *how.columns)
+    dealt = each.repartition(partition_count(rows), key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
     kind = to_arrow_type(rows.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +375,8 @@ def links_within(rows: DataFrame, key: str, how: ByEstimate | BySets) -> DataFra
         yield _link_batch([x for x in found if x[0] != x[1]], kind)
 
     last = materialise(dealt.mapInArrow(run, shape(rows.select(F.col("id").alias("a"), F.col("id").alias("b")))), "links")
-    out = materialise(links.unionByName(last), "links")
-    discard(state, several, apart, sizes, blocks, sides, last, *rounds)
-    return out
+    discard(kinds, blocks)
+    return links.unionByName(last)
 
 
 def _link_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -416,23 +463,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select("u", "v", F.lit(True).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias("up")))
         # Written, so that the join of an id with many links can be split (AQE).
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        told = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count_if("up").alias("ups"), F.count_if(~F.col("up")).alias("downs"))
+        # Done when each id has one link, to an id that has none.
+        least, open_ids = counted(told, "least", "ups > 1 or (ups = 1 and downs > 0)")
+        if not open_ids:
+            discard(least)
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+        large = both.filter("not up").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = materialise(small.filter("u <> v").distinct(), "stars")
-        # Done when each id has one link, to an id that has none.
-        same = _summed(edges) == _summed(new)
         discard(edges, least)
         edges = new
-        if same:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-
-
-def _summed(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
