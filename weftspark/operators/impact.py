@@ -137,7 +137,8 @@ def body_hashes(tokens: DataFrame, declarations: DataFrame, nameless: bool = Fal
     ``nameless``: the first token that is the declaration's own ``name`` is left out.
     """
     spans = declarations.select(F.col("id").alias("span_id"), "file_id", "start_line", "start_col", "end_line")
-    met = within(tokens.select("file_id", "line", "col", "i", "tok"), spans).filter("line > start_line or col >= start_col")
+    # Spark guesses the size of tokens by that of the files that hold the texts, far too low: neither side is broadcast.
+    met = within(tokens.select("file_id", "line", "col", "i", "tok").hint("merge"), spans).filter("line > start_line or col >= start_col")
     held = met.groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("toks"))
     words = held.select(F.col("span_id").alias("id"), F.transform("toks", lambda x: x["tok"]).alias("words"))
     if nameless:
