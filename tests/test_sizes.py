@@ -1,7 +1,12 @@
 """What larger tables need: nothing is gathered on the driver by a guess, and work that grows with the rows of the result."""
 
 from weftspark.operators import impact
+from weftspark.parse import facts
 from weftspark.parse.tokens import tokens
+from weftspark.plans import parsing
+from weftspark.tables import joined_by_size, materialise
+
+LIMITS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
 def joins(df) -> str:
@@ -16,3 +21,24 @@ def test_bodies_are_hashed_without_a_broadcast(spark, tmp_path):
     found = impact.body_hashes(tokens(texts.select("file_id", "content")), texts.selectExpr("file_id as id", "file_id", "start_line", "start_col", "end_line"))
     assert joins(found) == "SortMergeJoin"
     assert found.count() == 3000 and found.select("body_hash").distinct().count() == 1
+
+
+def test_written_tables_are_joined_by_their_rows(spark):
+    """300,000 rows that a small file holds are not broadcast unmeasured; settings come back, also behind an error."""
+    before = [spark.conf.get(x, None) for x in LIMITS]
+    packed = materialise(spark.range(300_000).selectExpr("id as i", "'one text for all of them' as t"), "packed")
+    assert joins(packed.join(packed.select("i"), "i")) == "BroadcastHashJoin"
+    try:
+        with joined_by_size(spark):
+            assert joins(packed.join(packed.select("i"), "i")) == "SortMergeJoin"
+            raise KeyError
+    except KeyError:
+        pass
+    assert [spark.conf.get(x, None) for x in LIMITS] == before
+
+
+def test_functions_are_found_by_measured_joins(spark, sf_dir, monkeypatch):
+    seen, found = [], facts.functions
+    monkeypatch.setattr(facts, "functions", lambda *x: seen.append(int(spark.conf.get(LIMITS[0]).rstrip("b"))) or found(*x))
+    told = parsing.x25_functions(spark, sf_dir)
+    assert seen == [(10 << 20) // 64] and joins(told) == ""

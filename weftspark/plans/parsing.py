@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..parse import facts
 from ..parse.tokens import tokens
-from ..tables import materialise
+from ..tables import joined_by_size, materialise
 from .views import table
 
 
@@ -34,10 +34,11 @@ def _source(spark, sf_dir):
 
 def x25_functions(spark, sf_dir):
     """Functions of every form: name, kind, whether async, line, and the words of what they return."""
-    s = facts.read_source(_source(spark, sf_dir))
-    classes = materialise(facts.holders(s), "holders")
-    members, declared = materialise(facts.members(s, classes), "members"), materialise(facts.declarators(s), "declarators")
-    found = facts.functions(s, classes, members, declared)
+    with joined_by_size(spark):
+        s = facts.read_source(_source(spark, sf_dir))
+        classes = materialise(facts.holders(s), "holders")
+        members, declared = materialise(facts.members(s, classes), "members"), materialise(facts.declarators(s), "declarators")
+        found = materialise(facts.functions(s, classes, members, declared), "functions")
     return found.select("file_id", "name", "kind", "async", "line", F.coalesce(F.array_join("type_words", " "), F.lit("")).alias("returns"))
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: list[str] = []
+#: Times that rows in memory may be as large as their Parquet file.
+PACKED = 64
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,6 +44,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+@contextmanager
+def joined_by_size(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are joined by the sizes that rows have, not by those of files; the session's settings come back at the end.
+
+    Tokens and places pack so well that Spark takes hundreds of MB for less than its limit of broadcasts, and would
+    gather them on the driver.  So only files are broadcast that stay below the limit when unpacked; what is larger is
+    shuffled, and broadcast if adaptive execution then sees that it is small.  Holds for :func:`materialise`, not for what is returned unwritten.
+    """
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if most > 0:
+        spark.conf.set(names[0], str(most // PACKED))
+        spark.conf.set(names[1], before[names[1]] or str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items() if most > 0 else ():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the files of materialised tables that no later step reads; others are left as they are."""
     for df in tables:
