@@ -1,6 +1,10 @@
 """What larger tables need: nothing is gathered on the driver by a guess, and work that grows with the rows of the result."""
 
-from weftspark.operators import impact
+import random
+
+from pyspark.sql import functions as F
+
+from weftspark.operators import heirs, impact, link
 from weftspark.parse import facts
 from weftspark.parse.tokens import tokens
 from weftspark.plans import parsing
@@ -42,3 +46,29 @@ def test_functions_are_found_by_measured_joins(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(facts, "functions", lambda *x: seen.append(int(spark.conf.get(LIMITS[0]).rstrip("b"))) or found(*x))
     told = parsing.x25_functions(spark, sf_dir)
     assert seen == [(10 << 20) // 64] and joins(told) == ""
+
+
+def graph(seed, n=40):
+    """Parents of ids, random lower ones, and a circle of two: (id, parent, seq)."""
+    rnd = random.Random(seed)
+    rows = [(f"n{i}", f"n{rnd.randrange(i)}", k) for i in range(1, n) for k in range(rnd.randint(0, 3))]
+    a, b = f"n{n * 3 // 4}", f"n{n * 5 // 6}"
+    return rnd, [*rows, (a, b, -1), (b, a, 7)]
+
+
+def test_members_handed_down_are_those_of_the_first_ways(spark):
+    rnd, parents = graph(3)
+    members = spark.createDataFrame([(f"n{i}", f"m{rnd.randrange(8)}", f"n{i}.{k}") for i in range(40) for k in range(rnd.randint(0, 2))], "holder string, name string, node string").dropDuplicates(["holder", "name"]).localCheckpoint()
+    parents = spark.createDataFrame(parents, "id string, parent string, seq int")
+    settled, left = heirs.handed_down(members.groupBy(F.col("holder").alias("id")).agg(F.expr("collect_list(struct(name, 0 as rank, node as value)) as held")), parents.filter("id <> parent").groupBy("id", "parent").agg(F.expr("min(seq) + 1 as every"), F.expr("cast(array() as array<struct<name:string,there:string,rank:int>>) as some")), few=0)
+    assert left.count() and settled.count() > 10
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(link.inherited_members(members, parents, few=0)) == rows(link.inherited_members(members, parents))
+
+
+def test_levels_are_settled_once(spark):
+    """Work grows with what is held, not with the ways to all ancestors: of a ladder there are 2 to the 60."""
+    parents = spark.createDataFrame([(i, i - k, k) for i in range(2, 60) for k in (1, 2)], "id long, parent long, seq int")
+    members = spark.createDataFrame([(0, "a", 0), (1, "a", 1), (1, "b", 1), (30, "b", 30)], "holder long, name string, node long")
+    got = {(r.holder, r.name): r.member for r in link.inherited_members(members, parents, few=40).collect()}
+    assert got == {(i, "a"): min(i, 1) for i in range(60)} | {(i, "b"): 1 if i < 30 else 30 for i in range(1, 60)}

@@ -9,12 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.confidence import weaker
-from ..tables import discard, materialise
+from ..tables import discard, joined_by_size, materialise
 from .dedup import edge_set, first_wins
+from .heirs import FEW, handed_down
 from .paths import ancestors, first_ways, nearest
 from .symbols import FIELDS, resolve_symbols, symbol
 
@@ -112,8 +114,33 @@ def roots(parts: Parts, modules: DataFrame, exports: DataFrame) -> DataFrame:
     )
 
 
-def inherited_members(members: DataFrame, parents: DataFrame) -> DataFrame:
-    """(holder, name, member) with those of ``parents`` (id, parent, seq): own first, then depth first through parents in order."""
+def inherited_members(members: DataFrame, parents: DataFrame, few: int = FEW) -> DataFrame:
+    """(holder, name, member) with those of ``parents`` (id, parent, seq): own first, then depth first through parents in order.
+
+    Level by level (see :func:`handed_down`); what is in circles, or below them, and the last ``few`` by their ways.
+    """
+    ways = parents.filter("id <> parent").groupBy("id", "parent").agg(F.min("seq").alias("seq"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("seq", "parent"))
+    entry = F.struct("name", F.lit(0).alias("rank"), F.col("node").alias("value"))
+    own = members.groupBy(F.col("holder").alias("id")).agg(F.collect_list(entry).alias("held"))
+    some = F.array().cast("array<struct<name:string,there:string,rank:int>>")
+    found = handed_down(own, ways.select("id", "parent", place.alias("every"), some.alias("some")), few=few)
+    if found is None:
+        return _by_ways(members, parents)
+    settled, left = found
+    told = lambda df: df.select(F.col("id").alias("holder"), F.explode("held").alias("x")).select("holder", "x.name", F.col("x.value").alias("member"))
+    if left.isEmpty():
+        return told(settled)
+    with joined_by_size(members.sparkSession):
+        above = materialise(parents.join(left, "id", "left_semi"), "parents")
+        beside = told(settled.join(above.select(F.col("parent").alias("id")), "id", "left_semi")).withColumnRenamed("member", "node")
+        own = members.join(left.withColumnRenamed("id", "holder"), "holder", "left_semi").select("holder", "name", "node")
+        rest = _by_ways(materialise(own.unionByName(beside), "members"), above).join(left.withColumnRenamed("id", "holder"), "holder", "left_semi")
+        return told(settled).unionByName(materialise(rest, "inherited"))
+
+
+def _by_ways(members: DataFrame, parents: DataFrame) -> DataFrame:
+    """As :func:`inherited_members`, by the first way to each ancestor: any height in few rounds, but a row for each of the ways."""
     own = members.select("holder", "name", F.col("node").alias("member"))
     ways = first_ways(parents)
     none = F.array().cast(ways.schema["way"].dataType)
