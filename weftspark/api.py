@@ -13,7 +13,7 @@ from .operators.link import link
 from .parse.facts import parse
 from .parse.tokens import tokens, unbalanced
 from .sources.files import texts
-from .tables import materialise
+from .tables import joined_by_size, materialise
 
 
 def extract(spark: SparkSession, files: DataFrame, app_key: str, aliases: list[tuple] | None = None) -> Graph:
@@ -21,6 +21,11 @@ def extract(spark: SparkSession, files: DataFrame, app_key: str, aliases: list[t
 
     Files are taken in order of their path wherever the first or last of them wins.
     """
+    with joined_by_size(spark):
+        return _extracted(spark, files, app_key, aliases)
+
+
+def _extracted(spark: SparkSession, files: DataFrame, app_key: str, aliases: list[tuple] | None) -> Graph:
     source = materialise(texts(files), "files")
     parts, own = parse(source, app_key)
     table = spark.createDataFrame([(app_key, *a) for a in aliases], "app_key string, prefix string, suffix string, wildcard boolean, target string, base_url string") if aliases else None
@@ -36,7 +41,8 @@ def extract(spark: SparkSession, files: DataFrame, app_key: str, aliases: list[t
     signalled = signals.with_signals(app, shown, reads, source.select(F.lit(app_key).alias("app_key"), "content"))
     nodes = nodes.join(signalled.drop("app_key"), "id", "left")
     graph = Graph(nodes, edges).add(topics.topic_nodes(told), told.select("type", "src", "dst", "resolution"))
-    return graph.add(edges=derive.invokes(graph.nodes, graph.edges)).add(edges=derive.flows(graph.nodes, graph.edges))
+    derived = [materialise(derived, "derived") for derived in (derive.invokes(graph.nodes, graph.edges), derive.flows(graph.nodes, graph.edges))]
+    return graph.add(edges=derived[0]).add(edges=derived[1])
 
 
 def failures(files: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _own_root: list[str] = []
 #: Times that rows in memory may be as large as their Parquet file.
 PACKED = 64
+#: Joins of one plan that may broadcast at a time: all that they gather passes through the driver.
+AT_ONCE = 8
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,14 +52,14 @@ def joined_by_size(spark: SparkSession) -> Iterator[None]:
 
     Tokens and places pack so well that Spark takes hundreds of MB for less than its limit of broadcasts, and would
     gather them on the driver.  So only files are broadcast that stay below the limit when unpacked; what is larger is
-    shuffled, and broadcast if adaptive execution then sees that it is small.  Holds for :func:`materialise`, not for what is returned unwritten.
+    shuffled, and broadcast if adaptive execution then sees that it is small, also with what other joins broadcast.  Holds for :func:`materialise`, not for what is returned unwritten.
     """
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = {name: spark.conf.get(name, None) for name in names}
     most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     if most > 0:
         spark.conf.set(names[0], str(most // PACKED))
-        spark.conf.set(names[1], before[names[1]] or str(most))
+        spark.conf.set(names[1], before[names[1]] or str(most // AT_ONCE))
     try:
         yield
     finally:
