@@ -93,10 +93,10 @@ def test_exports_handed_on_are_those_of_pairs(spark):
 
 
 def test_an_extraction_joins_by_measured_sizes(spark, monkeypatch):
-    """Inside, broadcasts are few and small; what follows from the graph is written, so that settings of the session can't gather it later."""
+    """Inside, only what is measured small is broadcast; what follows from the graph is written, so that settings of the session can't gather it later."""
     seen, kept = [], api.materialise
     monkeypatch.setattr(api, "materialise", lambda df, name: seen.append((name, *(int(spark.conf.get(x).rstrip("b")) for x in LIMITS))) or kept(df, name))
     files = spark.createDataFrame([("a.js", "javascript", "", bytearray(b"function f(a) { return a; }\nfunction g(b) { return f(b); }\n"))], "path string, language string, hash string, content binary")
     graph = api.extract(spark, files, "k")
-    assert {x[1:] for x in seen} == {((10 << 20) // 64, (10 << 20) // 8)} and [x[0] for x in seen].count("derived") == 2
+    assert {x[1:] for x in seen} == {((10 << 20) // 64, 10 << 20)} and [x[0] for x in seen].count("derived") == 2
     assert [tuple(r) for r in graph.edges.filter("type = 'INVOKES'").select("src", "dst").collect()] == [("k:a.js#g", "k:a.js#f")]
